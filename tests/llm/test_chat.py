@@ -19,7 +19,7 @@ def rows(spark, data):
 
 
 def test_digest(spark):
-    data = [(1, t, ["system", "user", "assistant"][min(t, 1) if t < 2 else 1 + t % 2 ^ 1], f"turn {t} " + "word " * (60 * t), "x") for t in range(12)]
+    data = [(1, t, "system" if t == 0 else "user" if t % 2 else "assistant", f"turn {t} " + "word " * (60 * t), "x") for t in range(12)]
     data += [(2, 0, "user", None, "x"), (2, 1, None, "a", "x"), (3, 0, "assistant", "same", "x"), (3, 0, "assistant", "same", "x"), (None, None, "user", "", "x")]
     got = {r.conv_id: r for r in chat.digest(rows(spark, data)).collect()}
     assert set(got) == {1, 2, 3, None, -1}
