@@ -9,6 +9,7 @@ result with the same schema.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -78,6 +79,12 @@ def drop_written(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the context cleaner delete shuffle files of plans that are done with, before the next large shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

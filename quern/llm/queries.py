@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, embeddings, order_minhash, substrings
+from quern.llm import bpe, chat, decontaminate, embeddings, lines, order_minhash, substrings
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op6_order_minhash": op6_order_minhash,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_chat_format": op10_chat_format,
 }
