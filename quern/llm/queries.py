@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, embeddings, lines, lm_score, order_minhash, quality, substrings
+import corpus_pipeline
+from quern.llm import bpe, chat, decontaminate, embeddings, lines, lm_score, order_minhash, quality, substrings, toxicity
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.report(table(spark, sf_dir, "documents"))
 
@@ -53,10 +58,12 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_lm_score": op3_lm_score,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_order_minhash": op6_order_minhash,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_chat_format": op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
