@@ -86,3 +86,17 @@ def size_cost(area_s: Column, area_r: Column, feret_s: Column, feret_r: Column)
     least = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(1e-6)))
     term = lambda a, b: F.coalesce(F.abs(F.log(least(a) / least(b))), F.lit(0.0))
     return term(area_s, area_r) + 0.5 * term(feret_s, feret_r)
+
+
+def pixel_to_um(c: Column, low: float, span: float, pixels: int, step: int = 1, half: bool = True, flip: bool = False) -> Column:
+    """A (downsampled) pixel coordinate as a place; half: pixel centres lie half a pixel in; flip: the axis runs the other way."""
+    at = (c - (0.5 if half else 0.0)) * step * (span / pixels)
+    return low + span - at if flip else low + at
+
+
+def scan_extent(pixels: Column, cell: float = 25.0) -> Column:
+    """Width of a scan from its image: one cell for six pixels."""
+    return F.bround((pixels + 1) / 6, 0) * cell
+
+
+MIRROR_Y = Transform(reflected=True)
