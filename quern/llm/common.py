@@ -12,6 +12,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -81,8 +82,10 @@ def drop_written(df: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the context cleaner delete shuffle files of plans that are done with, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -32,14 +32,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links to itself and links with a null say nothing; repeated and reversed links count once.
     """
-    now = written(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    now = written(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().hint("rebalance"), "links")
     before = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if (seen.n, seen.h) == before or not seen.n:
             break
         before = (seen.n, seen.h)
-        last, now = now, written(_small_star(_large_star(now)), "links")
+        last, now = now, written(_small_star(_large_star(now)).hint("rebalance"), "links")
         drop_written(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -10,11 +10,12 @@ leaves a band of (1 - THRESHOLD) * max(words) diagonals. Before texts are moved,
 sketch of the words regardless of order drops pairs that share too few words.
 
 1. Documents with equal words are one class from here on.
-2. In each bucket (repeat and key) the members are verified against its smallest
-   member. That is one pair a row, however large the bucket.
-3. Members of a bucket whose parts are still apart after distributed union-find are
-   compared among themselves, in blocks, so a link between two members that are both
-   unlike the smallest one isn't lost. Hot buckets are many block pairs.
+2. In each bucket (repeat and key) the members of other parts are verified against a
+   leader, first the smallest member, then members drawn by hash, TURNS times. That is
+   one pair a row and turn at most, however large the bucket; union-find after each
+   turn spares what is linked.
+3. In buckets of at most SMALL members, what is still apart is compared in full, so a link
+   between two members that are both unlike their leaders isn't lost there.
 4. Union-find over all verified links gives the groups.
 
 Defined results: a text of 1 to SHINGLE - 1 words is one k-mer; null, empty and wordless
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ragged, small_batches, text_or_empty, written
+from quern.llm.common import free_shuffles, ragged, small_batches, text_or_empty, written
 from quern.llm.components import components
 from quern.llm.decontaminate import WORDS
 from quern.llm.substrings import _TABLE, _power, mix
@@ -42,8 +43,12 @@ BLOCK_WORDS = 1 << 19
 #: needs a Jaccard similarity of 2/3 or more on labelled words, so 32 draws are shared on average and fewer
 #: than LEAST_BAG by about one borderline pair in 100,000.
 BAG, LEAST_BAG = 48, 18
-#: Members of one side of a compared block.
-BLOCK = 512
+#: Repeats whose buckets are verified before the others.
+FIRST = 3
+#: Buckets of at most SMALL members are compared in full in the end; larger ones have TURNS leaders.
+SMALL, TURNS = 32, 6
+#: Groups of small buckets that one task call takes; a small bucket is never cut.
+PACKS = 4096
 _FOLD = np.array(bytearray(WORDS), np.uint8)
 _SEEDS = mix(np.arange(1, 2 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -274,13 +279,8 @@ def _verify_task(threshold: float):
     return run
 
 
-def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those whose lengths and bag sketches allow the similarity; no text is moved for the others."""
-    one = pairs.join(classes.select(F.col("id").alias("a"), F.col("bag").alias("x"), F.col("n_words").alias("n")), "a")
-    two = one.join(classes.select(F.col("id").alias("b"), F.col("bag").alias("y"), F.col("n_words").alias("m")), "b")
-    length = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-    shared = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-    return two.filter(length).filter(shared >= LEAST_BAG).select("a", "b")
+def _shared(x: str, y: str):
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -290,26 +290,27 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(_verify_task(threshold), "a long, b long")
 
 
-def _block_task(threshold: float):
-    """Pairs of two blocks of one bucket whose parts differ, at the first repeat in which they agree."""
+def _pairs_task(threshold: float):
+    """Pairs of each bucket's members whose parts differ, at the first repeat in which they agree."""
 
     def run(key, table):
         n = table.num_rows
-        left = table.column("is_left").to_numpy()
-        ids, part, words, repeat = (table.column(c).to_numpy() for c in ("id", "part", "n_words", "repeat"))
+        ids, part, words, repeat, bucket = (table.column(c).to_numpy() for c in ("id", "part", "n_words", "repeat", "key"))
         keys, bag = (table.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) for c in ("keys", "bag"))
-        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        order = np.lexsort((ids, bucket, repeat))
+        cuts = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(repeat[order]) != 0)) + 1
         out_a, out_b = [], []
-        for i in x:
-            longer = np.maximum(words[i], words[y])
-            ok = y[(part[y] != part[i]) & (ids[y] > ids[i]) & (np.abs(words[y] - words[i]) <= (1 - threshold) * longer + 1e-9)]
-            ok = ok[(bag[ok] == bag[i]).sum(1) >= LEAST_BAG] if len(ok) else ok
-            if len(ok):
-                agree = keys[ok] == keys[i]
-                ok = ok[agree.argmax(1) == repeat[i]]
-                out_a += [ids[i]] * len(ok)
-                out_b += ids[ok].tolist()
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        for members in np.split(order, cuts):
+            i, j = np.triu_indices(len(members), 1)
+            i, j = members[i], members[j]
+            ok = (part[i] != part[j]) & (np.minimum(words[i], words[j]) >= threshold * np.maximum(words[i], words[j]) - 1e-9)
+            i, j = i[ok], j[ok]
+            ok = (bag[i] == bag[j]).sum(1) >= LEAST_BAG
+            i, j = i[ok], j[ok]
+            ok = (keys[i] == keys[j]).argmax(1) == repeat[i]
+            out_a.append(ids[i[ok]])
+            out_b.append(ids[j[ok]])
+        return pa.table([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
 
     return run
 
@@ -323,17 +324,18 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, repeats: int = REPEATS
     own = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("_text"))
     made = written(own.mapInArrow(_sketch_task(repeats, pick, shingle), _KEYS), "sketches")
     classes = written(made.filter("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bag").alias("bag"), F.first("n_words").alias("n_words")), "classes")
-    rows = classes.select("id", "n_words", F.posexplode("keys").alias("repeat", "key"))
-    least = rows.groupBy("repeat", "key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    met = written(rows.join(least, ["repeat", "key"]).select("repeat", "key", "id", "n_words", "least", "n"), "met")
-    star = met.filter("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    star = written(likely(star, classes, threshold), "likely")
-    asked = met.select("id").distinct()
-    texts = written(own.join(asked, "id").join(classes.select("id", "h1", "h2"), "id").dropDuplicates(["id", "h1", "h2"]).select("id", "_text"), "texts")
-    links = written(verified(star, texts, threshold), "star")
-    parts = components(links, "a", "b")
-    more = _rest(met, classes, parts, threshold)
-    links = links.unionByName(verified(more, texts, threshold))
+    rows = classes.select("id", F.posexplode("keys").alias("repeat", "key"))
+    least = rows.groupBy("repeat", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = written(rows.join(least, ["repeat", "key"]).join(classes.select("id", "n_words", "bag"), "id"), "met")
+    texts = written(own.join(met.select("id").distinct(), "id").join(classes.select("id", "h1", "h2"), "id").dropDuplicates(["id", "h1", "h2"]).select("id", "_text"), "texts")
+    parts = written(met.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct(), "parts")
+    for turn in range(TURNS):
+        # Members of a large group have a leader in each repeat; what the first repeats link isn't asked again.
+        some = met.filter(F.col("repeat") < FIRST) if turn == 0 else met.filter(f"size > {SMALL}") if turn > 1 else met
+        parts = _united(parts, verified(_led(some, parts, turn, threshold), texts, threshold))
+        free_shuffles(docs.sparkSession)
+    parts = _united(parts, verified(_rest(met.filter(f"size <= {SMALL}"), classes, parts, threshold), texts, threshold))
+    links = parts.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     # A class with several ids under one id of another class needs no link of its own: ids are what is grouped.
     same = made.filter("n_words > 0").join(classes.select("h1", "h2", F.col("id").alias("class_id")), ["h1", "h2"])
     same = same.select("doc_id", "class_id", "n_words").distinct()
@@ -343,16 +345,40 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, repeats: int = REPEATS
     return out.select("doc_id", "class_id", F.coalesce("component", "doc_id").alias("group_id"), "n_words")
 
 
+def _united(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts with the components of links merged: only the links' own parts pass union-find again."""
+    for side in ("a", "b"):
+        links = links.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
+    moved = components(links.select("part_a", "part_b"), "part_a", "part_b").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return written(parts.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "parts")
+
+
+def _placed(met: DataFrame, parts: DataFrame) -> DataFrame:
+    return met.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
+
+
+def _led(met: DataFrame, parts: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of each bucket's leader of this turn and the members of other parts that may be similar.
+
+    The first leader is the smallest member, later ones are drawn by a hash of id and turn. Lengths and bag
+    sketches are compared within the join, so it makes no more rows than may be similar.
+    """
+    placed = _placed(met, parts)
+    draw = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    top = placed.withColumn("draw", draw).groupBy("repeat", "key").agg(F.min("draw").alias("draw"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
+    leaders = placed.withColumn("draw", draw).join(top.select("repeat", "key", "draw"), ["repeat", "key", "draw"])
+    leaders = leaders.select("repeat", "key", F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("n_words").alias("n"), F.col("bag").alias("x"))
+    likely = (F.col("part") != F.col("part_a")) & (F.least("n", "n_words") >= threshold * F.greatest("n", "n_words") - 1e-9) & (_shared("x", "bag") >= LEAST_BAG)
+    on = (placed["repeat"] == leaders["repeat"]) & (placed["key"] == leaders["key"])
+    return placed.join(leaders, on & likely).select("a", F.col("id").alias("b")).distinct()
+
+
 def _rest(met: DataFrame, classes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a bucket, aren't in one part, and aren't pairs with the bucket's smallest member."""
-    placed = met.filter("id != least").join(parts.withColumnRenamed("node", "id"), "id", "left").select("repeat", "key", "id", "n_words", F.coalesce("component", "id").alias("part"))
-    apart = placed.groupBy("repeat", "key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("p < q")
-    rows = placed.join(apart.select("repeat", "key", "blocks"), ["repeat", "key"]).join(classes.select("id", "keys", "bag"), "id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "repeat"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["repeat", "key", "id", "n_words", "part", "keys", "bag"]
-    sides = rows.select(*columns, F.col("block").alias("i"), other.alias("j"), F.lit(True).alias("is_left")).unionByName(rows.select(*columns, other.alias("i"), F.col("block").alias("j"), F.lit(False).alias("is_left")))
-    return sides.groupBy("repeat", "key", "i", "j").applyInArrow(_block_task(threshold), "a long, b long").distinct()
+    """Pairs of members of small buckets that aren't in one part: all of them, a bounded number for each row."""
+    placed = _placed(met, parts)
+    apart = placed.groupBy("repeat", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("repeat", "key")
+    rows = placed.join(apart, ["repeat", "key"]).join(classes.select("id", "keys"), "id")
+    return rows.select("repeat", "key", "id", "n_words", "part", "keys", "bag").groupBy(F.pmod(F.xxhash64("repeat", "key"), F.lit(PACKS)).alias("pack")).applyInArrow(_pairs_task(threshold), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, **options: object) -> DataFrame:
