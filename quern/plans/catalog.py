@@ -241,7 +241,7 @@ _filter("flt_5_anchors_or_all", "SELECT row_idx FROM fx_third", X.THIRD, lambda
 _filter("flt_6_anchor_gate", "SELECT row_idx FROM fx_ref WHERE (feret_max_um IS NULL OR feret_max_um >= 20) AND quality >= 70", X.REF, lambda s, d: L.anchor_gate(X.ref(s, d)))
 _filter("flt_7_spatial_set", "SELECT row_idx FROM fx_ref WHERE feret_max_um IS NULL OR feret_max_um >= 20", X.REF, lambda s, d: X.ref(s, d).filter(L.at_least_or_unknown(F.col("feret_max_um"), 20)))
 _filter("flt_8_landmarks", "SELECT row_idx FROM fx_ref WHERE feret_max_um >= 100 OR (major_um / minor_um >= 3 AND feret_max_um >= 100)", X.REF, lambda s, d: L.landmarks(X.ref(s, d)))
-_filter("flt_15_adaptive", "SELECT row * 64 + col AS row_idx FROM (SELECT *, value - avg(value) OVER () AS r FROM fx_pixels) WHERE abs(r) > 40", X.PIXELS, lambda s, d: X.pixels(s, d).crossJoin(F.broadcast(X.pixels(s, d).agg(F.avg("value").alias("m")))).filter(F.abs(F.col("value") - F.col("m")) > 40).select((F.col("row") * 64 + F.col("col")).alias("row_idx")))
+_filter("flt_15_adaptive", "SELECT row * 64 + col AS row_idx FROM (SELECT row, col, value, sum(s) OVER w / sum(n) OVER w AS local FROM (SELECT row, col, value, sum(value) OVER v AS s, count(*) OVER v AS n FROM fx_pixels WINDOW v AS (PARTITION BY row ORDER BY col ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WINDOW w AS (PARTITION BY col ORDER BY row ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE abs(value - local) > 25", X.PIXELS, lambda s, d: imaging.box_mean(X.pixels(s, d), 5).filter(F.abs(F.col("value") - F.col("local")) > 25).select((F.col("row") * 64 + F.col("col")).alias("row_idx")))
 _filter("flt_16_saturation", "SELECT row * 64 + col AS row_idx FROM (SELECT *, value / 255 AS a, value / 510 AS b FROM fx_pixels) WHERE CASE WHEN a > 0 THEN (a - b) / a ELSE 0 END > 0.3 AND a > 0.08", X.PIXELS, lambda s, d: X.pixels(s, d).filter(imaging.is_saturated(F.col("value") / 255, F.col("value") / 510, F.col("value") / 510)).select((F.col("row") * 64 + F.col("col")).alias("row_idx")))
 _filter("flt_17_threshold", "SELECT row * 64 + col AS row_idx FROM fx_pixels WHERE value > 25", X.PIXELS, lambda s, d: X.pixels(s, d).filter("value > 25").select((F.col("row") * 64 + F.col("col")).alias("row_idx")))
 _filter("flt_19_view_filter", "SELECT row_idx FROM fx_ref WHERE quality BETWEEN 20 AND 90 AND feret_max_um BETWEEN 50 AND 200 AND material IN ('Polypropylene (PP)', 'Polycarbonate (PC)')", X.REF, lambda s, d: L.instrument_view(X.ref(s, d), (20, 90), (50, 200), ["Polypropylene (PP)", "Polycarbonate (PC)"]))
