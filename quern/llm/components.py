@@ -43,3 +43,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         drop_written(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def united(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts with the components of links merged: only the links' own parts pass union-find again."""
+    for side in ("a", "b"):
+        links = links.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
+    moved = components(links.select("part_a", "part_b"), "part_a", "part_b").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return written(parts.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "parts")

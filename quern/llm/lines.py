@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import fingerprint, free_shuffles, written
-from quern.llm.components import components
+from quern.llm.components import united
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 12, 0.8, 10, 4
-#: Lines of at most SHORT characters get SHORT_BANDS keys of two minima besides.
-SHORT, SHORT_BANDS = 120, 12
+SHINGLE, THRESHOLD, BANDS, ROWS = 12, 0.8, 8, 4
+#: Keys that take one minimum of each of ROWS bands, besides those of each band.
+CROSS = 0
+#: Lines of at most SHORT[1] characters get SHORT_BANDS keys of two minima; those of at most SHORT[0], no others.
+SHORT, SHORT_BANDS = (90, 120), 8
 #: Two lines that are both longer than SKETCHED are verified if they share this part of their minima. A similarity
 #: of 0.8 gives 0.8 on average; 0.4 is over 4 standard deviations below, from the draws and the sample of word starts.
 SKETCHED, LEAST_SHARED = 160, 0.4
@@ -48,19 +50,14 @@ def _lines(text: str) -> Column:
     return F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
 
 
-def shingles(line: Column, k: int = SHINGLE) -> Column:
-    """The distinct k-character strings of a line; a shorter line is its own."""
-    return F.when(F.char_length(line) < k, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))))
+def _cut(line: Column, k: int) -> Column:
+    """The k-character strings of a line, repeats included; a shorter line is its own."""
+    return F.when(F.char_length(line) < k, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
 def word_start_shingles(line: Column, k: int = SHINGLE) -> Column:
-    """Those that begin a word."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{{k - 1}}}))"), F.lit(1))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    """Those that begin a word: each match takes a shingle ahead and then steps over its word."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{{k - 1}}}))\S+\s*"), F.lit(1))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -78,7 +75,7 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
 def signatures(keyed: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
     """Every distinct line: id, h1, h2, a document that has it, its occurrences n and length, band keys and sketch.
 
-    Short lines have few shingles at word starts, so they get keys of two minima besides.
+    Short lines have few shingles at word starts, so they get keys of two minima.
     Lines that are shorter than a shingle have no keys: only equal ones are near.
     """
     rng = random.Random(20)
@@ -90,19 +87,21 @@ def signatures(keyed: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
     # All buffers are of fixed width, so this is a hash aggregate with partial sums before the shuffle.
     made = marks.groupBy("h1", "h2").agg(F.min("_doc").alias("doc"), F.sum("one").alias("n"), F.max("size").alias("size"), *minima)
     m = [F.col(f"m{i}") for i in range(bands * rows)]
-    long_keys = [F.xxhash64(F.lit(b), *m[b * rows : (b + 1) * rows]) for b in range(bands)]
+    picks = [m[b * rows : (b + 1) * rows] for b in range(bands)] + [m[b :: bands][:rows] for b in range(min(CROSS, bands))]
+    long_keys = [F.xxhash64(F.lit(b), *pick) for b, pick in enumerate(picks)]
     short_keys = [F.xxhash64(F.lit(-1 - b), *m[2 * b : 2 * b + 2]) for b in range(min(SHORT_BANDS, bands * rows // 2))]
-    keys = F.when(m[0].isNull(), F.array().cast("array<bigint>")).when(F.col("size") <= SHORT, F.array(*long_keys, *short_keys)).otherwise(F.array(*long_keys))
+    size = F.col("size")
+    keys = F.when(m[0].isNull(), F.array().cast("array<bigint>")).when(size <= SHORT[0], F.array(*short_keys)).when(size <= SHORT[1], F.array(*long_keys, *short_keys)).otherwise(F.array(*long_keys))
     sketch = F.when(m[0].isNotNull(), F.array(*[x.bitwiseAND(F.lit(127)).cast("tinyint") for x in m]))
     return made.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc", "n", "size", keys.alias("bands"), sketch.alias("sketch"))
 
 
-def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and line of the wanted (id, h1, h2, doc): one document of each line is looked through."""
+def _texts(keyed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """id, line and number of distinct shingles n of the wanted (id, h1, h2, doc): one document of each line is looked through."""
     of_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2", "id")).alias("asked"))
-    hit = keyed.join(of_doc, keyed["_doc"] == of_doc["doc"]).select(F.explode(_lines("_text")).alias("line"), "doc").filter("line != ''")
+    hit = keyed.join(of_doc, keyed["_doc"] == of_doc["doc"]).select(F.explode(F.array_distinct(_lines("_text"))).alias("line"), "doc").filter("line != ''")
     hit = hit.select("doc", "line", fingerprint(F.col("line"), 1).alias("h1"), fingerprint(F.col("line"), 2).alias("h2"))
-    return hit.join(wanted.select("doc", "h1", "h2", "id"), ["doc", "h1", "h2"]).groupBy("id").agg(F.max("line").alias("line"))
+    return hit.join(wanted.select("doc", "h1", "h2", "id"), ["doc", "h1", "h2"]).select("id", "line").withColumn("n", F.size(F.array_distinct(_cut(F.col("line"), k))))
 
 
 def _likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -115,86 +114,100 @@ def _likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # As a generated row, each shingle set is made once, though the similarity names it twice.
-    sets = two.select("a", "b", F.explode(F.array(F.struct(shingles(F.col("x"), k).alias("p"), shingles(F.col("y"), k).alias("q")))).alias("s"))
-    return sets.filter(jaccard(F.col("s.p"), F.col("s.q")) >= threshold).select("a", "b")
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("n").alias("n")), "a")
+    two = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("n").alias("m")), "b")
+    near = two.filter(F.least("n", "m") >= threshold * F.greatest("n", "m"))
+    both = F.size(F.array_intersect(_cut(F.col("x"), k), _cut(F.col("y"), k)))
+    # As a generated row, the count is made once, though the similarity names it twice.
+    return near.select("a", "b", (F.col("n") + F.col("m")).alias("sum"), F.explode(F.array(both)).alias("both")).filter(F.col("both") / (F.col("sum") - F.col("both")) >= threshold).select("a", "b")
+
+
+def _ranked() -> Column:
+    """A line's id below its occurrences (counted to 127), as one long: the buffer of a hash aggregate.
+
+    monotonically_increasing_id() fills 55 bits with up to four million partitions.
+    """
+    return F.shiftleft(F.least(F.col("n"), F.lit(127)), 55).bitwiseOR(F.col("id")).alias("ranked")
+
+
+def _id(ranked: str) -> Column:
+    return F.col(ranked).bitwiseAND(F.lit((1 << 55) - 1))
 
 
 def _top(members: DataFrame, *key: str) -> DataFrame:
-    """Each bucket's leader: the line with most occurrences, then the smallest id; lone lines lead nothing."""
-    top = members.groupBy(*key).agg(F.max(F.struct("n", (-F.col("id")).alias("i"))).alias("top"), F.count("*").alias("many"))
-    return top.filter("many > 1").select(*key, (-F.col("top.i")).alias("leader"))
+    """Each bucket's leader, a line with most occurrences; lone lines lead nothing."""
+    top = members.groupBy(*key).agg(F.max("ranked").alias("top"), F.count("*").alias("many"))
+    return top.filter("many > 1").select(*key, _id("top").alias("leader"))
 
 
 def link(keyed: DataFrame, threshold: float, bands: int, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(lines, links): all distinct lines, and links (a, b) between ids that join near lines."""
+    """(lines, parts): all distinct lines, and the component of each id that shares a bucket."""
     spark = keyed.sparkSession
     lines = written(signatures(keyed, bands, rows, k), "lines")
     free_shuffles(spark)
-    members = lines.select("id", "n", F.explode("bands").alias("key"))
+    members = lines.select(_ranked(), F.explode("bands").alias("key"))
     met = written(members.join(_top(members, "key"), "key"), "met")
     free_shuffles(spark)
+    met = met.withColumn("id", _id("ranked"))
     known = written(lines.join(met.select("id").distinct(), "id", "left_semi"), "known")
-    texts = written(_texts(keyed, known), "texts")
+    texts = written(_texts(keyed, known, k), "texts")
     free_shuffles(spark)
 
-    def round_of(pairs: DataFrame) -> DataFrame:
-        likely = written(_likely(pairs.filter("a != b").distinct(), known), "likely")
-        return _verified(likely, texts, threshold, k)
+    def round_of(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """parts with what the pairs (a, b) of different parts link."""
+        pairs = pairs.filter("a != b").distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
+        pairs = pairs.filter("part_a != part_b").select("a", "b")
+        likely = written(_likely(pairs, known).hint("rebalance"), "likely")
+        return united(parts, _verified(likely, texts, threshold, k))
 
-    def apart(links: DataFrame) -> DataFrame:
+    def apart(parts: DataFrame) -> DataFrame:
         """Members outside their leader's part."""
-        part = components(links, "a", "b").withColumnRenamed("node", "id")
-        placed = met.join(part, "id", "left").select("key", "id", "n", "leader", F.coalesce("component", "id").alias("part"))
+        placed = met.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
         led = placed.filter("id = leader").select("key", F.col("part").alias("led"))
-        return written(placed.filter("id != leader").join(led, "key").filter("part != led").select("key", "id", "n"), "apart")
+        return written(placed.filter("id != leader").join(led, "key").filter("part != led").select("key", "id", "ranked").hint("rebalance"), "apart")
 
-    links = written(round_of(met.select(F.col("leader").alias("a"), F.col("id").alias("b"))), "links")
-    second = _top(apart(links), "key").select("key", F.col("leader").alias("a"))
-    links = written(links.unionByName(round_of(met.join(second, "key").select("a", F.col("id").alias("b")))), "links")
+    parts = known.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    parts = round_of(met.select(F.col("leader").alias("a"), F.col("id").alias("b")), parts)
+    second = _top(apart(parts), "key").select("key", F.col("leader").alias("a"))
+    parts = round_of(met.join(second, "key").select("a", F.col("id").alias("b")), parts)
     # Then by two neighbouring bands at once, where fewer meet.
-    both = F.explode(F.filter(F.transform(F.slice("bands", 1, bands), lambda x, i: F.struct(x.alias("key"), F.get("bands", (i + 1) % bands).alias("next"))), lambda x: x["key"] == F.col("key"))).alias("both")
-    fine = apart(links).join(known.select("id", "bands"), "id").select("id", "n", both).select("id", "n", "both.key", "both.next")
+    pairs = F.transform("bands", lambda x, i: F.struct(x.alias("key"), F.get("bands", (i + 1) % F.size("bands")).alias("next")))
+    both = F.explode(F.filter(pairs, lambda x: x["key"] == F.col("key"))).alias("both")
+    fine = apart(parts).join(known.select("id", "bands"), "id").select("id", "ranked", both).select("id", "ranked", "both.key", "both.next")
     third = fine.join(_top(fine, "key", "next"), ["key", "next"]).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    return lines, written(links.unionByName(round_of(third)), "links")
+    return lines, round_of(third, parts)
 
 
 def mark(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """_doc, _dh, keep array<boolean>: for each document with lines, which of its pieces between line feeds stay."""
+    """_doc, _dh, gone array<int>: of each document that loses any, the pieces between line feeds that go."""
     keyed = _keyed(docs)
-    lines, links = link(keyed, threshold, bands, rows, k)
-    part = components(links, "a", "b").withColumnRenamed("node", "id")
-    of_line = lines.select("id", "h1", "h2").join(part, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("part"))
+    lines, parts = link(keyed, threshold, bands, rows, k)
+    # Only lines that occur again, or that may be linked, can go; the others aren't looked at any more.
+    part = parts.withColumnRenamed("node", "id")
+    again = lines.select("id", "h1", "h2", "n").join(part, "id", "left").filter("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("part"))
     at = F.struct("_doc", "_pos", "_dh")
-    every = _occurrences(keyed).select("_doc", "_pos", "_dh", "h1", "h2").join(of_line, ["h1", "h2"])
-    every = written(every.select("_doc", "_pos", "_dh", "part"), "occurrences")
-    # The first occurrence of each component, by hash aggregates over fixed-width columns.
-    doc = every.groupBy("part").agg(F.min("_doc").alias("_doc"))
-    pos = every.join(doc, ["part", "_doc"]).groupBy("part", "_doc").agg(F.min("_pos").alias("_pos"))
-    first = every.join(pos, ["part", "_doc", "_pos"]).groupBy("part").agg(F.min(at).alias("first"))
-    flagged = every.join(first, "part").select("_doc", "_dh", "_pos", (at == F.col("first")).alias("keep"))
-    return flagged.groupBy("_doc", "_dh").agg(F.sort_array(F.collect_set(F.struct("_pos", "keep"))).alias("seen"))
+    every = written(_occurrences(keyed).select("_doc", "_pos", "_dh", "h1", "h2").join(again, ["h1", "h2"]).select("part", at.alias("at")), "occurrences")
+    first = every.groupBy("part").agg(F.min("at").alias("first"))
+    gone = every.join(first, "part").filter("at != first").select("at.*")
+    return gone.groupBy("_doc", "_dh").agg(F.sort_array(F.collect_set("_pos")).alias("gone"))
 
 
 def dedup(docs: DataFrame, **options: object) -> DataFrame:
     """docs with n_lines and n_kept (non-blank lines), text without the repeated lines. Other columns stay."""
-    keep = mark(docs, **options)
+    marked = mark(docs, **options)
     text = F.col("text").cast("string")
     own = docs.withColumns({"_doc0": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "_dh0": F.xxhash64(text)})
-    out = own.join(keep, (own["_doc0"] == keep["_doc"]) & (own["_dh0"] == keep["_dh"]), "left")
-    gone = F.transform(F.filter("seen", lambda s: ~s["keep"]), lambda s: s["_pos"])
-    pieces = F.split(text, "\n", -1)
-    # gone is sorted, so what stays between its places is sliced; a document without repeats isn't split.
-    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_pieces")))
+    out = own.join(marked, (own["_doc0"] == marked["_doc"]) & (own["_dh0"] == marked["_dh"]), "left")
+    # gone is sorted, so what stays between its places is sliced.
+    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("_pieces")))
     spans = F.filter(F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct((a + 2).alias("s"), (b - a - 1).alias("n"))), lambda s: s["n"] > 0)
     rest = F.array_join(F.transform(spans, lambda s: F.array_join(F.slice("_pieces", s["s"], s["n"]), "\n")), "\n")
-    out = out.withColumn("_gone", gone).withColumn("_pieces", pieces)
-    n = F.coalesce(F.size("seen"), F.lit(0))
-    lost = F.coalesce(F.size("_gone"), F.lit(0))
-    columns = [F.when(lost > 0, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_kept")]
-    return out.select(*columns, n.cast("long").alias("n_lines"), (n - lost).cast("long").alias("n_kept"))
+    out = out.withColumn("_pieces", F.split(text, "\n", -1))
+    n = F.coalesce(F.size(F.filter("_pieces", lambda x: F.trim(x) != "")), F.lit(0))
+    columns = [F.when(F.col("gone").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_kept")]
+    return out.select(*columns, n.cast("long").alias("n_lines"), (n - F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import free_shuffles, ragged, small_batches, text_or_empty, written
-from quern.llm.components import components
+from quern.llm.components import components, united
 from quern.llm.decontaminate import WORDS
 from quern.llm.substrings import _TABLE, _power, mix
 
@@ -332,9 +332,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, repeats: int = REPEATS
     for turn in range(TURNS):
         # Members of a large group have a leader in each repeat; what the first repeats link isn't asked again.
         some = met.filter(F.col("repeat") < FIRST) if turn == 0 else met.filter(f"size > {SMALL}") if turn > 1 else met
-        parts = _united(parts, verified(_led(some, parts, turn, threshold), texts, threshold))
+        parts = united(parts, verified(_led(some, parts, turn, threshold), texts, threshold))
         free_shuffles(docs.sparkSession)
-    parts = _united(parts, verified(_rest(met.filter(f"size <= {SMALL}"), classes, parts, threshold), texts, threshold))
+    parts = united(parts, verified(_rest(met.filter(f"size <= {SMALL}"), classes, parts, threshold), texts, threshold))
     links = parts.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     # A class with several ids under one id of another class needs no link of its own: ids are what is grouped.
     same = made.filter("n_words > 0").join(classes.select("h1", "h2", F.col("id").alias("class_id")), ["h1", "h2"])
@@ -345,14 +345,6 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, repeats: int = REPEATS
     return out.select("doc_id", "class_id", F.coalesce("component", "doc_id").alias("group_id"), "n_words")
 
 
-def _united(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """parts with the components of links merged: only the links' own parts pass union-find again."""
-    for side in ("a", "b"):
-        links = links.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
-    moved = components(links.select("part_a", "part_b"), "part_a", "part_b").select(F.col("node").alias("component"), F.col("component").alias("root"))
-    return written(parts.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "parts")
-
-
 def _placed(met: DataFrame, parts: DataFrame) -> DataFrame:
     return met.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
 
