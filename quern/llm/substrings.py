@@ -42,7 +42,7 @@ from quern.llm.common import ragged, small_batches, text_or_empty, written
 LENGTH = 50
 GRAM = 24
 #: Bytes that are parsed together, bytes of text after which a task sends what it has, and bytes of a bucket.
-BLOCK, FLUSH, BUCKET = 1 << 21, 48 << 20, 4 << 20
+BLOCK, FLUSH, BUCKET = 1 << 21, 20 << 20, 4 << 20
 #: Suffixes that are sorted together.
 SUFFIXES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
