@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import chunks, ragged, small_batches, text_or_empty
+from quern.llm.common import chunks, lean, ragged, small_batches, text_or_empty
 
 LONG = 256
-CACHE = 1 << 19
-CELLS = 1 << 19
+CACHE = 1 << 18
+CELLS = 1 << 18
 NONE = np.int32(2**31 - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple[str, str], "Encoder"] = {}
@@ -108,7 +108,7 @@ class Encoder:
             yield self.split.findall(text)
             return
         found = (m.group() for m in self.split.finditer(text))
-        while block := list(islice(found, 1 << 18)):
+        while block := list(islice(found, 1 << 17)):
             yield block
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ class Encoder:
                 if got:
                     of.append((i, len(block)))
                     block += got
-                if len(block) > 1 << 18:
+                if len(block) > 1 << 17:
                     flush()
         if block:
             flush()
@@ -259,6 +259,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
                     sizes = np.concatenate([[0], np.cumsum(encoder.token_lens[ids])])[ends]
                     columns.append(pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(sizes.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        encoder._forget()
+        lean()
 
     return docs.select(*names, text_or_empty(text).alias("_text")).mapInArrow(run, T.StructType(fields))
 

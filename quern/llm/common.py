@@ -9,6 +9,8 @@ result with the same schema.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -22,10 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch between the JVM and Python; documents may be long.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 _written: list[tuple[SparkSession, str]] = []
 
 
+def lean() -> None:
+    """Gives back what a Python worker no longer needs; workers are reused and share their executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import small_batches, text_or_empty
+from quern.llm.common import lean, small_batches, text_or_empty
 
 WINDOW = 10
 GRAM = 3
@@ -209,6 +209,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_byt
                     sizes.append(len(words))
                     spans.append(before + [{"begin": a, "end": b, "item": matcher.ids[i]} for a, b, i in matcher.spans(words)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k + 1)), pa.array(sizes, pa.int64()), pa.array(spans, arrow)], names=schema.names)
+            lean()
 
         return run
 
@@ -252,6 +253,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, most_words: int = 0, most_cove
                     texts[k] = cut(texts[k], spans, most_words, most_coverage)
             own[at] = pa.array(texts, own[at].type)
             yield pa.RecordBatch.from_arrays(own, names=columns)
+        lean()
 
     # The row travels as one struct, so no column of the input can clash with the spans.
     found = match(docs.select(F.struct(*columns).alias("_row"), "text"), benchmark, window, group_bytes)

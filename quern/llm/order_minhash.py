@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_shuffles, ragged, small_batches, text_or_empty, written
+from quern.llm.common import free_shuffles, lean, ragged, small_batches, text_or_empty, written
 from quern.llm.components import components, united
 from quern.llm.decontaminate import WORDS
-from quern.llm.substrings import _TABLE, _power, mix
+from quern.llm.substrings import _TABLE, _power, _powers, mix
 
 SHINGLE, PICK, REPEATS, THRESHOLD = 5, 2, 32, 0.8
 BLOCK_WORDS = 1 << 19
@@ -49,6 +49,8 @@ FIRST = 3
 SMALL, TURNS = 32, 6
 #: Groups of small buckets that one task call takes; a small bucket is never cut.
 PACKS = 4096
+#: Pairs of texts whose words are hashed together.
+PAIRS = 128
 _FOLD = np.array(bytearray(WORDS), np.uint8)
 _SEEDS = mix(np.arange(1, 2 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -262,19 +264,23 @@ def _sketch_task(repeats: int, pick: int, shingle: int):
                 lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(bags(words, counts)[counts > 0].ravel())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(both[0]), pa.array(both[1]), pa.array(counts.astype(np.int32)), *lists], schema=_KEYS_ARROW)
                 at = end
+        _powers.clear()
+        lean()
 
     return run
 
 
 def _verify_task(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, PAIRS) for whole in batches for i in range(0, whole.num_rows, PAIRS)):
             sides = []
             for k in (2, 3):
                 words, counts = word_hashes(*_flat(batch.column(k)))
                 sides.append(np.split(words, np.cumsum(counts)[:-1]))
             keep = pa.array([similar(x, y, threshold) for x, y in zip(*sides, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+        _powers.clear()
+        lean()
 
     return run
 
