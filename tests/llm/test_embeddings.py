@@ -50,3 +50,12 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {**dict.fromkeys(range(42), 0), 50: 50, 70: 50, 100: 50}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_oracle(spark):
+    from quern.llm.queries import ORACLES, QUERIES
+    from tests.compare import connect, same
+
+    sf_dir = "/root/testdata/sf0.001"
+    own, other = same(QUERIES["op7_embedding_dedup"](spark, sf_dir), connect(sf_dir), ORACLES["op7_embedding_dedup"])
+    assert own == other
