@@ -96,6 +96,7 @@ def free_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
+    lean()
 
 
 def text_or_empty(name: str = "text") -> Column:
