@@ -14,8 +14,10 @@ sketch of the words regardless of order drops pairs that share too few words.
    leader, first the smallest member, then members drawn by hash, TURNS times. That is
    one pair a row and turn at most, however large the bucket; union-find after each
    turn spares what is linked.
-3. In buckets of at most SMALL members, what is still apart is compared in full, so a link
-   between two members that are both unlike their leaders isn't lost there.
+3. Every bucket that still holds more than one part is compared in full, large ones block
+   by block, so a link between two members that are both unlike their leaders isn't lost.
+   Only members of its largest part aren't compared among themselves. The likeliest
+   pairs are verified first; what they link isn't verified again.
 4. Union-find over all verified links gives the groups.
 
 Defined results: a text of 1 to SHINGLE - 1 words is one k-mer; null, empty and wordless
@@ -25,6 +27,7 @@ the same doc_id are one document if any of them links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +48,14 @@ BLOCK_WORDS = 1 << 19
 BAG, LEAST_BAG = 48, 18
 #: Repeats whose buckets are verified before the others.
 FIRST = 3
-#: Buckets of at most SMALL members are compared in full in the end; larger ones have TURNS leaders.
+#: Leader turns spare comparisons in full: buckets of more than SMALL members have TURNS, others two.
 SMALL, TURNS = 32, 6
-#: Groups of small buckets that one task call takes; a small bucket is never cut.
+#: Members on one side of a comparison in full; larger buckets are cut into blocks, and all pairs of blocks compared.
+BLOCK = 1024
+#: Groups of comparisons that one task call takes.
 PACKS = 4096
+#: Draws of the bag sketch that the pairs of one step of verification share at least.
+STEPS = (36, 27, LEAST_BAG)
 #: Pairs of texts whose words are hashed together.
 PAIRS = 128
 _FOLD = np.array(bytearray(WORDS), np.uint8)
@@ -296,27 +303,40 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(_verify_task(threshold), "a long, b long")
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many draws each row of x shares with each row of y."""
+    if len(x) * len(y) <= 1 << 10:
+        return (x[:, None] == y[None]).sum(2)
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for p, q in zip(x.T, y.T, strict=True):
+        out += p[:, None] == q[None]
+    return out
+
+
 def _pairs_task(threshold: float):
-    """Pairs of each bucket's members whose parts differ, at the first repeat in which they agree."""
+    """Pairs (a < b) of the first and second members of each unit whose parts differ and that may be similar."""
 
     def run(key, table):
         n = table.num_rows
-        ids, part, words, repeat, bucket = (table.column(c).to_numpy() for c in ("id", "part", "n_words", "repeat", "key"))
-        keys, bag = (table.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) for c in ("keys", "bag"))
-        order = np.lexsort((ids, bucket, repeat))
-        cuts = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(repeat[order]) != 0)) + 1
-        out_a, out_b = [], []
-        for members in np.split(order, cuts):
-            i, j = np.triu_indices(len(members), 1)
-            i, j = members[i], members[j]
-            ok = (part[i] != part[j]) & (np.minimum(words[i], words[j]) >= threshold * np.maximum(words[i], words[j]) - 1e-9)
-            i, j = i[ok], j[ok]
-            ok = (bag[i] == bag[j]).sum(1) >= LEAST_BAG
-            i, j = i[ok], j[ok]
-            ok = (keys[i] == keys[j]).argmax(1) == repeat[i]
-            out_a.append(ids[i[ok]])
-            out_b.append(ids[j[ok]])
-        return pa.table([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
+        ids, part, words, unit = (table.column(c).to_numpy() for c in ("id", "part", "n_words", "unit"))
+        first, second = (table.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second"))
+        bag = table.column("bag").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        order = np.lexsort((words, unit))
+        out = [(ids[:0], ids[:0], words[:0])]
+        for members in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            x, y = members[first[members]], members[second[members]]
+            long = words[y]
+            for i in (x[at : at + 256] for at in range(0, len(x), 256)):
+                low, high = np.searchsorted(long, [threshold * words[i[0]] - 1e-6, words[i[-1]] / threshold + 1e-6])
+                j = y[low:high]
+                shared = _alike(bag[i], bag[j])
+                p, q = np.nonzero(shared >= LEAST_BAG)
+                shared, p, q = shared[p, q], i[p], j[q]
+                ok = (part[p] != part[q]) & (np.minimum(words[p], words[q]) >= threshold * np.maximum(words[p], words[q]) - 1e-9)
+                ok &= (ids[p] < ids[q]) | ~(second[p] & first[q])  # within one block, each pair once
+                p, q = p[ok], q[ok]
+                out.append((np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), shared[ok].astype(np.int32)))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "shared"])
 
     return run
 
@@ -340,7 +360,11 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, repeats: int = REPEATS
         some = met.filter(F.col("repeat") < FIRST) if turn == 0 else met.filter(f"size > {SMALL}") if turn > 1 else met
         parts = united(parts, verified(_led(some, parts, turn, threshold), texts, threshold))
         free_shuffles(docs.sparkSession)
-    parts = united(parts, verified(_rest(met.filter(f"size <= {SMALL}"), classes, parts, threshold), texts, threshold))
+    rest = written(_rest(met, parts, threshold), "rest")
+    free_shuffles(docs.sparkSession)
+    for most, least in zip((BAG + 1, *STEPS), STEPS):
+        parts = united(parts, verified(_apart(rest.filter(f"shared >= {least} and shared < {most}"), parts), texts, threshold))
+        free_shuffles(docs.sparkSession)
     links = parts.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     # A class with several ids under one id of another class needs no link of its own: ids are what is grouped.
     same = made.filter("n_words > 0").join(classes.select("h1", "h2", F.col("id").alias("class_id")), ["h1", "h2"])
@@ -371,12 +395,44 @@ def _led(met: DataFrame, parts: DataFrame, turn: int, threshold: float) -> DataF
     return placed.join(leaders, on & likely).select("a", F.col("id").alias("b")).distinct()
 
 
-def _rest(met: DataFrame, classes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members of small buckets that aren't in one part: all of them, a bounded number for each row."""
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose parts differ."""
+    for side in ("a", "b"):
+        pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
+    return pairs.filter("part_a != part_b").select("a", "b")
+
+
+def _rest(met: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, shared): all pairs of members of a bucket that aren't in one part and may be similar.
+
+    A bucket of at most BLOCK members is one unit. A larger one is cut by length, by whether a member is of the
+    bucket's largest part, and by a hash of the id; two blocks are a unit if their lengths allow the similarity.
+    """
+    at = ["repeat", "key"]
     placed = _placed(met, parts)
-    apart = placed.groupBy("repeat", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("repeat", "key")
-    rows = placed.join(apart, ["repeat", "key"]).join(classes.select("id", "keys"), "id")
-    return rows.select("repeat", "key", "id", "n_words", "part", "keys", "bag").groupBy(F.pmod(F.xxhash64("repeat", "key"), F.lit(PACKS)).alias("pack")).applyInArrow(_pairs_task(threshold), "a long, b long").distinct()
+    sizes = placed.groupBy(*at, "part").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy(*at).agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("many")).filter("many > 1")
+    rows = placed.join(apart.select(*at, F.col("top.part").alias("main")), at)
+    columns = ["id", "n_words", "part", "bag"]
+    small = rows.filter(f"size <= {BLOCK}").select(*columns, F.xxhash64(*at).alias("unit"), F.lit(True).alias("first"), F.lit(True).alias("second"))
+    # Of two lengths in steps of the threshold, those that allow the similarity are neighbours.
+    step = F.floor(F.log(F.col("n_words")) / (1e-6 - math.log(threshold)))
+    large = rows.filter(f"size > {BLOCK}").select(*at, *columns, step.alias("step"), (F.col("part") == F.col("main")).alias("is_main"))
+    kind = [*at, "step", "is_main"]
+    cuts = large.groupBy(*kind).agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    block = F.pmod(F.xxhash64("id", "repeat"), F.col("cuts")).alias("block")
+    large = written(large.join(cuts, kind).select(*kind, block, *columns), "blocks")
+    blocks = cuts.select(*kind, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("block"))
+    name = [*kind[2:], "block"]
+    other = blocks.select(*at, *[F.col(c).alias(f"{c}_2") for c in name])
+    mine, its = F.struct(*name), F.struct(*[f"{c}_2" for c in name])
+    units = blocks.join(other, at).filter((mine <= its) & (F.abs(F.col("step") - F.col("step_2")) <= 1) & ~(F.col("is_main") & F.col("is_main_2")))
+    units = written(units.withColumns({"unit": F.xxhash64(*at, mine, its), "own": mine == its}), "units")
+    left = large.join(units, [*kind, "block"]).select(*columns, "unit", F.lit(True).alias("first"), F.col("own").alias("second"))
+    theirs = units.filter("not own").select(*at, *[F.col(f"{c}_2").alias(c) for c in name], "unit")
+    right = large.join(theirs, [*kind, "block"]).select(*columns, "unit", F.lit(False).alias("first"), F.lit(True).alias("second"))
+    every = small.unionByName(left).unionByName(right)
+    return every.groupBy(F.pmod("unit", F.lit(PACKS)).alias("pack")).applyInArrow(_pairs_task(threshold), "a long, b long, shared int").distinct()
 
 
 def near_dedup(docs: DataFrame, **options: object) -> DataFrame:

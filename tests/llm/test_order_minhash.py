@@ -87,3 +87,18 @@ def test_members_unlike_the_smallest(spark, monkeypatch):
     docs = [(0, " ".join(passage)), (1, " ".join(passage + rest)), (2, " ".join(passage + rest[:-4] + ["q", "r"]))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.group_id for r in o.report(df).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_large_buckets_are_compared_in_full(spark, monkeypatch):
+    """Near copies in pairs, all in the buckets of one passage, each pair unlike the rest; a bucket is many blocks."""
+    monkeypatch.setattr(o, "BLOCK", 16)
+    rng = random.Random(6)
+    passage, docs = say(rng, 150), []
+    for k in range(60):
+        rest = say(rng, 80 + k % 30)
+        docs += [(2 * k, " ".join(passage + rest)), (2 * k + 1, " ".join(passage + [x if i % 4 else f"q{k}" for i, x in enumerate(rest)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {i: t.split() for i, t in docs}
+    want = {i: i - i % 2 if distance(texts[i], texts[i - i % 2]) <= 0.2 * max(len(texts[i]), len(texts[i - i % 2])) else i for i in texts}
+    assert len(set(want.values())) < len(want)
+    assert {r.doc_id: r.group_id for r in o.report(df).collect()} == want
