@@ -12,9 +12,9 @@ and every other occurrence goes.
    a draw that equal sets share.
 2. Banding: ROWS minima make a key. In each bucket the members are compared with its
    leader, the line with most occurrences: a pair a row at most.
-3. Members outside their leader's component are compared with a second leader, and
-   what is apart even then with the leader of the finer bucket of two bands. Every
-   round is a pair a row at most, so many unlike lines in one bucket cost no square.
+3. Members outside their leader's component are compared with a second leader. Then
+   every bucket that still holds several components is compared in full, in blocks,
+   only the members of its largest component not among themselves.
 4. Candidates whose sketches allow it are verified by their exact Jaccard similarity
    over all shingles.
 5. Components by distributed union-find.
@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from quern.llm.common import fingerprint, free_shuffles, written
 from quern.llm.components import united
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 12, 0.8, 8, 4
+SHINGLE, THRESHOLD, BANDS, ROWS = 12, 0.8, 10, 4
 #: Keys that take one minimum of each of ROWS bands, besides those of each band.
 CROSS = 0
-#: Lines of at most SHORT[1] characters get SHORT_BANDS keys of two minima; those of at most SHORT[0], no others.
-SHORT, SHORT_BANDS = (90, 120), 8
+#: Lines of at most SHORT characters get SHORT_BANDS keys of two minima besides.
+SHORT, SHORT_BANDS = 120, 12
+#: Lines of a bucket that one task compares with all others of it.
+BLOCK = 512
 #: Two lines that are both longer than SKETCHED are verified if they share this part of their minima. A similarity
 #: of 0.8 gives 0.8 on average; 0.4 is over 4 standard deviations below, from the draws and the sample of word starts.
 SKETCHED, LEAST_SHARED = 160, 0.4
@@ -91,7 +93,7 @@ def signatures(keyed: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
     long_keys = [F.xxhash64(F.lit(b), *pick) for b, pick in enumerate(picks)]
     short_keys = [F.xxhash64(F.lit(-1 - b), *m[2 * b : 2 * b + 2]) for b in range(min(SHORT_BANDS, bands * rows // 2))]
     size = F.col("size")
-    keys = F.when(m[0].isNull(), F.array().cast("array<bigint>")).when(size <= SHORT[0], F.array(*short_keys)).when(size <= SHORT[1], F.array(*long_keys, *short_keys)).otherwise(F.array(*long_keys))
+    keys = F.when(m[0].isNull(), F.array().cast("array<bigint>")).when(size <= SHORT, F.array(*long_keys, *short_keys)).otherwise(F.array(*long_keys))
     sketch = F.when(m[0].isNotNull(), F.array(*[x.bitwiseAND(F.lit(127)).cast("tinyint") for x in m]))
     return made.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc", "n", "size", keys.alias("bands"), sketch.alias("sketch"))
 
@@ -108,9 +110,14 @@ def _likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose sketches allow the similarity; no text is moved for the others."""
     one = pairs.join(lines.select(F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("n")), "a")
     two = one.join(lines.select(F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("m")), "b")
+    return two.filter(_allowed()).select("a", "b")
+
+
+def _allowed() -> Column:
+    """Whether the sketches x and y of lines of n and m characters allow the similarity."""
     shared = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
     short = F.least("n", "m") <= SKETCHED
-    return two.filter(F.when(short, F.lit(True)).otherwise(shared >= LEAST_SHARED * F.size("x"))).select("a", "b")
+    return F.when(short, F.lit(True)).otherwise(shared >= LEAST_SHARED * F.size("x"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -172,12 +179,21 @@ def link(keyed: DataFrame, threshold: float, bands: int, rows: int, k: int) -> t
     parts = round_of(met.select(F.col("leader").alias("a"), F.col("id").alias("b")), parts)
     second = _top(apart(parts), "key").select("key", F.col("leader").alias("a"))
     parts = round_of(met.join(second, "key").select("a", F.col("id").alias("b")), parts)
-    # Then by two neighbouring bands at once, where fewer meet.
-    pairs = F.transform("bands", lambda x, i: F.struct(x.alias("key"), F.get("bands", (i + 1) % F.size("bands")).alias("next")))
-    both = F.explode(F.filter(pairs, lambda x: x["key"] == F.col("key"))).alias("both")
-    fine = apart(parts).join(known.select("id", "bands"), "id").select("id", "ranked", both).select("id", "ranked", "both.key", "both.next")
-    third = fine.join(_top(fine, "key", "next"), ["key", "next"]).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    return lines, round_of(third, parts)
+    return lines, round_of(_in_full(met, known, parts), parts)
+
+
+def _in_full(met: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of all members of a bucket whose parts differ and whose sketches allow the similarity."""
+    placed = met.select("key", "id").join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("many")).filter("many > 1")
+    apart = apart.select("key", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks"))
+    rows = written(placed.join(apart, "key").join(known.select("id", "size", "sketch"), "id"), "rows")
+    block = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("block")
+    left = rows.filter("part != main").select("key", block, F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("sketch").alias("x"), F.col("size").alias("n"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("part").alias("part_b"), (F.col("part") == F.col("main")).alias("is_main"), F.col("sketch").alias("y"), F.col("size").alias("m"))
+    on = (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("part_a") != F.col("part_b")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _allowed()
+    return left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def mark(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:

@@ -75,3 +75,15 @@ def test_rows_with_one_id_and_empty(spark):
     got = sorted((str(r.doc_id), r.n_kept, r.text) for r in L.dedup(df).collect())
     assert got == [("1", 1, "a line of text"), ("1", 1, "a line of text"), ("1", 1, "other words here"), ("2", 1, "A line of text"), ("None", 0, "")]
     assert L.report(df.limit(0)).count() == 0
+
+
+def test_unlike_lines_in_one_bucket(spark):
+    """Near lines in pairs; all lines open alike, so they share buckets, but the pairs are unlike."""
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    opening, docs = say(40), []
+    for k in range(50):
+        line = f"{opening} {say(25)}"
+        docs += [(2 * k, line), (2 * k + 1, line + f" {k}.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in L.without_repeats(df).collect()} == {2 * k for k in range(50)}
