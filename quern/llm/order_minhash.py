@@ -28,6 +28,7 @@ the same doc_id are one document if any of them links.
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_shuffles, lean, ragged, small_batches, text_or_empty, written
+from quern.llm.common import fingerprint, free_shuffles, lean, ragged, small_batches, text_or_empty, written
 from quern.llm.components import components, united
 from quern.llm.decontaminate import WORDS
 from quern.llm.substrings import _TABLE, _power, _powers, mix
@@ -438,11 +439,15 @@ def _rest(met: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
 def near_dedup(docs: DataFrame, **options: object) -> DataFrame:
     """docs without all but the smallest doc_id of each group of near-duplicates; rows keep their columns.
 
-    Of repeated rows of the document that stays, one stays.
+    Of rows that are equal in doc_id and words, one stays. Rows without a doc_id aren't compared and all stay.
     """
     found = groups(docs, **options).groupBy("doc_id").agg(F.min("group_id").alias("_group"))
     drop = found.filter("doc_id != _group").select(F.col("doc_id").alias("_gone"))
-    return docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti").dropDuplicates(["doc_id"])
+    left = docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
+    words = F.trim(F.regexp_replace(F.translate(text_or_empty(), string.ascii_uppercase, string.ascii_lowercase), r"[\x00-\x7F&&[^a-z0-9]]+", " "))
+    words = F.when(words == "", text_or_empty()).otherwise(words)
+    marks = {"_h1": fingerprint(words, 1), "_h2": fingerprint(words, 2), "_row": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())}
+    return left.withColumns(marks).dropDuplicates(["doc_id", *marks]).drop(*marks)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -102,3 +102,9 @@ def test_large_buckets_are_compared_in_full(spark, monkeypatch):
     want = {i: i - i % 2 if distance(texts[i], texts[i - i % 2]) <= 0.2 * max(len(texts[i]), len(texts[i - i % 2])) else i for i in texts}
     assert len(set(want.values())) < len(want)
     assert {r.doc_id: r.group_id for r in o.report(df).collect()} == want
+
+
+def test_rows_without_an_id_or_with_one_id_stay(spark):
+    rows = [(None, "one text"), (None, "quite another"), (1, "some words here"), (1, "Some words, here"), (1, "nothing like it"), (2, "alone")]
+    got = o.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), "".join(c for c in r.text.lower() if c != ",")) for r in got) == [("1", "nothing like it"), ("1", "some words here"), ("2", "alone"), ("None", "one text"), ("None", "quite another")]

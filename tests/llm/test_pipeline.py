@@ -37,3 +37,8 @@ def test_stages(spark):
     encoder = bpe.Encoder.load(path, pattern)
     assert encoder.count([""])[0] == 0 and docs.filter(F.size("token_ids") != F.col("n_tokens")).count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, DIR).select("doc_id").collect()} == {r.doc_id for r in rows}
+
+
+def test_blank_documents_without_a_match_stay(spark):
+    docs = spark.createDataFrame([(1, "  ", "en", "x", 2), (2, "", "en", "x", 0), (3, None, "en", "x", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.benchmark_decontamination(spark, docs, DIR).collect()} == {1, 2, 3}
