@@ -6,12 +6,16 @@ shingles is THRESHOLD or more (a shorter line's set is itself). Linked lines for
 components; of each component the occurrence with the smallest (doc_id, place) stays
 and every other occurrence goes.
 
-1. Signatures: the shingles that begin at word starts are hashed, and BANDS * ROWS
-   minima are taken in one hash aggregate per line, with partial aggregation before
-   the only shuffle; texts aren't shuffled here. A minimum over h XOR a constant is
-   a draw that equal sets share.
-2. Banding: ROWS minima make a key. In each bucket the members are compared with its
-   leader, the line with most occurrences: a pair a row at most.
+1. Signatures: hashes of SIGNED-character shingles, of which BANDS * ROWS minima are
+   taken in one hash aggregate per line, with partial aggregation before the only
+   shuffle; texts aren't shuffled here. A minimum over h XOR a constant is a draw that
+   equal sets share. Short lines use every shingle. Longer ones use a sample that only
+   the shingles decide: those at word starts, or, if a line has hardly any blanks, those
+   whose hash is a multiple of a power of two; the longest lines a quarter of them. The
+   ranges of lengths overlap by the similarity, so near lines have a range in common.
+2. Banding: ROWS minima make a key (short lines: SHORT_ROWS, SHORT_BANDS times). In each
+   bucket the members are compared with its leader, the line with most occurrences: a
+   pair a row at most.
 3. Members outside their leader's component are compared with a second leader. Then
    every bucket that still holds several components is compared in full, in blocks,
    only the members of its largest component not among themselves.
@@ -22,7 +26,8 @@ and every other occurrence goes.
 Defined results: null and empty texts have no lines and come back as they are; blank
 lines are never repeats and stay; rows with equal doc_id and text are one document and
 all keep the same lines; the last tie-break of occurrences is the hash of the text. A
-null doc_id comes after all others.
+null doc_id comes after all others. Extra columns stay; n_lines and n_kept replace
+columns of that name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,19 +37,24 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fingerprint, free_shuffles, written
+from quern.llm.common import drop_written, fingerprint, free_shuffles, written
 from quern.llm.components import united
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 12, 0.8, 10, 4
-#: Keys that take one minimum of each of ROWS bands, besides those of each band.
-CROSS = 0
-#: Lines of at most SHORT characters get SHORT_BANDS keys of two minima besides.
-SHORT, SHORT_BANDS = 120, 12
+#: Characters of the shingles that the similarity is about, and of those that are signed; the latter are longer, as
+#: hardly any two unlike lines have them in common by three or four minima.
+SHINGLE, SIGNED, THRESHOLD = 4, 7, 0.8
+BANDS, ROWS = 10, 4
+SHORT_BANDS, SHORT_ROWS = 13, 3
+#: Lines of up to SHORT[1] characters sign every shingle, lines of over SHORT[0] and up to LONG[1] those of the
+#: sample, lines of over LONG[0] a quarter of the sample.
+SHORT, LONG = (100, 125), (320, 400)
+#: A line of more characters a word than that has no word starts to speak of.
+BLANKLESS = 18
 #: Lines of a bucket that one task compares with all others of it.
 BLOCK = 512
-#: Two lines that are both longer than SKETCHED are verified if they share this part of their minima. A similarity
-#: of 0.8 gives 0.8 on average; 0.4 is over 4 standard deviations below, from the draws and the sample of word starts.
-SKETCHED, LEAST_SHARED = 160, 0.4
+#: Pairs are verified if they share this part of their minima. A similarity of THRESHOLD gives 0.7 or so of the
+#: signed shingles on average; 0.3 is over 4 standard deviations below, from the draws and the sample.
+LEAST_SHARED = 0.3
 _NULL_ID = 2**63 - 1
 
 
@@ -52,14 +62,12 @@ def _lines(text: str) -> Column:
     return F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
 
 
-def _cut(line: Column, k: int) -> Column:
-    """The k-character strings of a line, repeats included; a shorter line is its own."""
-    return F.when(F.char_length(line) < k, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
-
-
-def word_start_shingles(line: Column, k: int = SHINGLE) -> Column:
-    """Those that begin a word: each match takes a shingle ahead and then steps over its word."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{{k - 1}}}))\S+\s*"), F.lit(1))
+def shingles(line: Column, k: int) -> Column:
+    """The distinct k-character strings of a line as 64-bit hashes; a shorter line is its own."""
+    at = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - (4 * k - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * k))))
+    # The encoded line is bound by a lambda, so that it isn't copied for each of its shingles.
+    every = F.transform(F.array(F.encode(line, "UTF-32")), at)[0]
+    return F.when(F.char_length(line) < k, F.array(F.xxhash64(line))).otherwise(F.array_distinct(every))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -74,59 +82,86 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
     return out.select("_doc", "_dh", "_pos", "_line", fingerprint(line, 1).alias("h1"), fingerprint(line, 2).alias("h2"))
 
 
-def signatures(keyed: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """Every distinct line: id, h1, h2, a document that has it, its occurrences n and length, band keys and sketch.
+def signatures(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SIGNED) -> DataFrame:
+    """Every distinct line: id, h1, h2, a document that has it, its occurrences n, band keys, and two sketches.
 
-    Short lines have few shingles at word starts, so they get keys of two minima.
-    Lines that are shorter than a shingle have no keys: only equal ones are near.
+    Sketch p is of short lines (every shingle) or of long ones (a quarter of the sample), q of those between (the
+    sample); on the overlaps of these ranges a line has both. Lines of less than SHINGLE characters have none: only
+    equal ones are near.
     """
     rng = random.Random(20)
     flips = [rng.randrange(-(2**31), 2**31) for _ in range(bands * rows)]
-    lines = _occurrences(keyed).select("h1", "h2", "_doc", F.char_length("_line").alias("size"), word_start_shingles(F.col("_line"), k).alias("s"))
-    marks = lines.select("h1", "h2", "_doc", "size", F.posexplode_outer("s").alias("at", "s"))
-    marks = marks.select("h1", "h2", "_doc", "size", F.when(F.col("s").isNotNull(), F.hash("s")).alias("x"), (F.coalesce("at", F.lit(0)) == 0).cast("int").alias("one"))
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(flips)]
+    size, words, i = F.col("size"), F.col("words"), F.col("i")
+    lines = _occurrences(keyed).withColumn("size", F.char_length("_line"))
+    # Lines that have shingles but are shorter than k are repeated, so that "----" meets "----------".
+    lines = lines.withColumn("_line", F.when(size.between(SHINGLE, k - 1), F.repeat("_line", F.lit(k))).otherwise(F.col("_line")))
+    lines = lines.withColumn("words", F.when(size > SHORT[0], F.split("_line", " ")).otherwise(F.array().cast("array<string>")))
+    lines = lines.withColumn("blankless", size > BLANKLESS * F.size("words"))
+    dense = F.when((size <= SHORT[1]) | F.col("blankless"), F.greatest(F.char_length("_line") - (k - 1), F.lit(0))).otherwise(0)
+    lines = lines.withColumn("dense", dense).withColumn("starts", F.when(F.col("blankless"), 0).otherwise(F.size("words")))
+    lines = lines.select("h1", "h2", "_doc", "size", "words", "blankless", "dense", "starts", F.when(F.col("dense") > 0, F.encode("_line", "UTF-32")).alias("points"))
+    # One row for each shingle, made and hashed in generated code.
+    marks = lines.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("dense") + F.col("starts") - 1, F.lit(0)))).alias("i"))
+    word = lambda n: F.coalesce(F.get(words, i - F.col("dense") + n), F.lit(""))
+    by_place = F.xxhash64(F.substring("points", i * 4 + 1, F.lit(4 * k)))
+    by_word = F.xxhash64(F.substring(F.concat(word(0), F.lit(" "), word(1), F.lit(" "), word(2)), F.lit(1), F.lit(k)))
+    placed, started = i < F.col("dense"), (i >= F.col("dense")) & (i - F.col("dense") < F.col("starts"))
+    marks = marks.select("h1", "h2", "_doc", "size", "blankless", "i", placed.alias("placed"), F.when(placed, by_place).when(started, by_word).alias("x"))
+    x = F.col("x")
+    drawn = lambda bits: F.shiftrightunsigned(x, 64 - bits) == 0
+    sampled = F.when(F.col("blankless"), drawn(3)).otherwise(~F.col("placed"))
+    thinned = F.when(F.col("blankless"), drawn(5)).otherwise(~F.col("placed") & drawn(2))
+    p = (size <= SHORT[1]) & F.col("placed") | (size > LONG[0]) & thinned
+    q = (size > SHORT[0]) & (size <= LONG[1]) & sampled
+    low = F.xxhash64("x").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)
+    marks = marks.select("h1", "h2", "_doc", "size", (i == 0).cast("int").alias("one"), p.alias("in_p"), q.alias("in_q"), "x").filter("in_p or in_q or one = 1")
+    marks = marks.withColumn("y", low.cast("int"))
+    marks = marks.select("h1", "h2", "_doc", "size", "one", F.when(F.col("in_p"), F.col("y")).alias("p"), F.when(F.col("in_q"), F.col("y")).alias("q"))
+    minima = [F.min(F.col(c).bitwiseXOR(F.lit(flip))).alias(f"{c}{n}") for c in "pq" for n, flip in enumerate(flips)]
     # All buffers are of fixed width, so this is a hash aggregate with partial sums before the shuffle.
     made = marks.groupBy("h1", "h2").agg(F.min("_doc").alias("doc"), F.sum("one").alias("n"), F.max("size").alias("size"), *minima)
-    m = [F.col(f"m{i}") for i in range(bands * rows)]
-    picks = [m[b * rows : (b + 1) * rows] for b in range(bands)] + [m[b :: bands][:rows] for b in range(min(CROSS, bands))]
-    long_keys = [F.xxhash64(F.lit(b), *pick) for b, pick in enumerate(picks)]
-    short_keys = [F.xxhash64(F.lit(-1 - b), *m[2 * b : 2 * b + 2]) for b in range(min(SHORT_BANDS, bands * rows // 2))]
-    size = F.col("size")
-    keys = F.when(m[0].isNull(), F.array().cast("array<bigint>")).when(size <= SHORT, F.array(*long_keys, *short_keys)).otherwise(F.array(*long_keys))
-    sketch = F.when(m[0].isNotNull(), F.array(*[x.bitwiseAND(F.lit(127)).cast("tinyint") for x in m]))
-    return made.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc", "n", "size", keys.alias("bands"), sketch.alias("sketch"))
-
-
-def _texts(keyed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """id, line and number of distinct shingles n of the wanted (id, h1, h2, doc): one document of each line is looked through."""
-    of_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2", "id")).alias("asked"))
+
+    def keys(c: str, tag: int, many: int, each: int) -> Column:
+        made = F.array(*[F.xxhash64(F.lit(tag + b), *[f"{c}{n}" for n in range(b * each, (b + 1) * each)]) for b in range(min(many, bands * rows // each))])
+        return F.when(F.col(f"{c}0").isNotNull(), made).otherwise(F.array().cast("array<bigint>"))
+
+    sketch = lambda c: F.when(F.col(f"{c}0").isNotNull(), F.array(*[F.col(f"{c}{n}").bitwiseAND(F.lit(127)).cast("tinyint") for n in range(len(flips))]))
+    of_p = F.when(size <= SHORT[1], keys("p", 0, max(SHORT_BANDS, bands), SHORT_ROWS)).otherwise(keys("p", 1000, bands, rows))
+    return made.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc", "n", F.concat(of_p, keys("q", 2000, bands, rows)).alias("bands"), sketch("p").alias("p"), sketch("q").alias("q"), (size <= SHORT[1]).alias("short"))
+
+
+def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and line of the wanted (id, h1, h2, doc): one document of each line is looked through."""
+    of_doc = wanted.select("doc").distinct()
     hit = keyed.join(of_doc, keyed["_doc"] == of_doc["doc"]).select(F.explode(F.array_distinct(_lines("_text"))).alias("line"), "doc").filter("line != ''")
     hit = hit.select("doc", "line", fingerprint(F.col("line"), 1).alias("h1"), fingerprint(F.col("line"), 2).alias("h2"))
-    return hit.join(wanted.select("doc", "h1", "h2", "id"), ["doc", "h1", "h2"]).select("id", "line").withColumn("n", F.size(F.array_distinct(_cut(F.col("line"), k))))
+    return hit.join(wanted.select("doc", "h1", "h2", "id"), ["doc", "h1", "h2"]).select("id", "line")
 
 
-def _likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose sketches allow the similarity; no text is moved for the others."""
-    one = pairs.join(lines.select(F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("n")), "a")
-    two = one.join(lines.select(F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("m")), "b")
-    return two.filter(_allowed()).select("a", "b")
+def _sketched(side: str) -> list[Column]:
+    """Columns of a line for _allowed(), named for its side of a pair."""
+    return [F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("p", "q", "short")]]
 
 
 def _allowed() -> Column:
-    """Whether the sketches x and y of lines of n and m characters allow the similarity."""
-    shared = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-    short = F.least("n", "m") <= SKETCHED
-    return F.when(short, F.lit(True)).otherwise(shared >= LEAST_SHARED * F.size("x"))
+    """Whether the sketches of lines a and b allow the similarity: those of the range that both are in."""
+    same = lambda c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e) >= LEAST_SHARED * F.size(f"{c}_a")
+    both = lambda c: F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull()
+    return F.when(both("p") & (F.col("short_a") == F.col("short_b")), same("p")).when(both("q"), same("q")).otherwise(False)
+
+
+def _likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose sketches allow the similarity; no text is moved for the others."""
+    return pairs.join(lines.select(*_sketched("a")), "a").join(lines.select(*_sketched("b")), "b").filter(_allowed()).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("n").alias("n")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("n").alias("m")), "b")
-    near = two.filter(F.least("n", "m") >= threshold * F.greatest("n", "m"))
-    both = F.size(F.array_intersect(_cut(F.col("x"), k), _cut(F.col("y"), k)))
-    # As a generated row, the count is made once, though the similarity names it twice.
-    return near.select("a", "b", (F.col("n") + F.col("m")).alias("sum"), F.explode(F.array(both)).alias("both")).filter(F.col("both") / (F.col("sum") - F.col("both")) >= threshold).select("a", "b")
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    two = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    # As generated rows, the sets are made once, though the similarity names them often.
+    sets = two.select("a", "b", F.explode(F.array(F.struct(shingles(F.col("x"), k).alias("x"), shingles(F.col("y"), k).alias("y")))).alias("s"))
+    sets = sets.select("a", "b", (F.size("s.x") + F.size("s.y")).alias("sum"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("both"))
+    return sets.filter(F.col("both") / (F.col("sum") - F.col("both")) >= threshold).select("a", "b")
 
 
 def _ranked() -> Column:
@@ -150,14 +185,14 @@ def _top(members: DataFrame, *key: str) -> DataFrame:
 def link(keyed: DataFrame, threshold: float, bands: int, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(lines, parts): all distinct lines, and the component of each id that shares a bucket."""
     spark = keyed.sparkSession
-    lines = written(signatures(keyed, bands, rows, k), "lines")
+    lines = written(signatures(keyed, bands, rows), "lines")
     free_shuffles(spark)
     members = lines.select(_ranked(), F.explode("bands").alias("key"))
     met = written(members.join(_top(members, "key"), "key"), "met")
     free_shuffles(spark)
     met = met.withColumn("id", _id("ranked"))
-    known = written(lines.join(met.select("id").distinct(), "id", "left_semi"), "known")
-    texts = written(_texts(keyed, known, k), "texts")
+    known = written(lines.join(met.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2", "doc", "p", "q", "short"), "known")
+    texts = written(_texts(keyed, known), "texts")
     free_shuffles(spark)
 
     def round_of(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -167,7 +202,9 @@ def link(keyed: DataFrame, threshold: float, bands: int, rows: int, k: int) -> t
             pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
         pairs = pairs.filter("part_a != part_b").select("a", "b")
         likely = written(_likely(pairs, known).hint("rebalance"), "likely")
-        return united(parts, _verified(likely, texts, threshold, k))
+        out = united(parts, _verified(likely, texts, threshold, k))
+        drop_written(likely)
+        return out
 
     def apart(parts: DataFrame) -> DataFrame:
         """Members outside their leader's part."""
@@ -175,8 +212,11 @@ def link(keyed: DataFrame, threshold: float, bands: int, rows: int, k: int) -> t
         led = placed.filter("id = leader").select("key", F.col("part").alias("led"))
         return written(placed.filter("id != leader").join(led, "key").filter("part != led").select("key", "id", "ranked").hint("rebalance"), "apart")
 
+    # Of what a bucket's leader gets, most is the same in other buckets.
     parts = known.select(F.col("id").alias("node"), F.col("id").alias("component"))
-    parts = round_of(met.select(F.col("leader").alias("a"), F.col("id").alias("b")), parts)
+    likely = written(_likely(met.select(F.col("leader").alias("a"), F.col("id").alias("b")).filter("a != b").distinct(), known).hint("rebalance"), "likely")
+    parts = united(parts, _verified(likely, texts, threshold, k))
+    drop_written(likely)
     second = _top(apart(parts), "key").select("key", F.col("leader").alias("a"))
     parts = round_of(met.join(second, "key").select("a", F.col("id").alias("b")), parts)
     return lines, round_of(_in_full(met, known, parts), parts)
@@ -188,10 +228,11 @@ def _in_full(met: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     apart = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("many")).filter("many > 1")
     apart = apart.select("key", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks"))
-    rows = written(placed.join(apart, "key").join(known.select("id", "size", "sketch"), "id"), "rows")
+    rows = written(placed.join(apart, "key").join(known.select("id", "p", "q", "short"), "id"), "rows")
     block = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("block")
-    left = rows.filter("part != main").select("key", block, F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("sketch").alias("x"), F.col("size").alias("n"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("part").alias("part_b"), (F.col("part") == F.col("main")).alias("is_main"), F.col("sketch").alias("y"), F.col("size").alias("m"))
+    left = rows.filter("part != main").select("key", block, F.col("part").alias("part_a"), *_sketched("a"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    right = rows.select("key", blocks, F.col("part").alias("part_b"), (F.col("part") == F.col("main")).alias("is_main"), *_sketched("b"))
     on = (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("part_a") != F.col("part_b")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _allowed()
     return left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -205,9 +246,11 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows
     again = lines.select("id", "h1", "h2", "n").join(part, "id", "left").filter("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("part"))
     at = F.struct("_doc", "_pos", "_dh")
     every = written(_occurrences(keyed).select("_doc", "_pos", "_dh", "h1", "h2").join(again, ["h1", "h2"]).select("part", at.alias("at")), "occurrences")
-    first = every.groupBy("part").agg(F.min("at").alias("first"))
-    gone = every.join(first, "part").filter("at != first").select("at.*")
-    return gone.groupBy("_doc", "_dh").agg(F.sort_array(F.collect_set("_pos")).alias("gone"))
+    stays = every.groupBy("part").agg(F.min("at").alias("at")).select("at.*", F.lit(True).alias("stays"))
+    # By document, not by part: the occurrences of a common line never meet in one task.
+    places = every.select("at.*", F.lit(False).alias("stays")).unionByName(stays).groupBy("_doc", "_dh")
+    gone = places.agg(F.sort_array(F.array_except(F.collect_set("_pos"), F.collect_set(F.when(F.col("stays"), F.col("_pos"))))).alias("gone"))
+    return gone.filter(F.size("gone") > 0)
 
 
 def dedup(docs: DataFrame, **options: object) -> DataFrame:
