@@ -3,8 +3,8 @@
 Union-find dealt over the cluster: alternating large-star and small-star rounds hang
 every node below the smallest node it knows. Each round is two grouped minima with
 partial aggregation and two joins that AQE can split where a node has many links;
-its result is written to the shared folder, so a lost executor costs one round. The
-driver sees one count and one checksum a round.
+its result is written to the shared folder, so a lost executor costs one round. It ends
+when every link leads from a node to the root of its star; the driver sees one count a round.
 """
 
 from __future__ import annotations
@@ -27,18 +27,20 @@ def _small_star(links: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _done(links: DataFrame) -> bool:
+    """Whether the links (u, v) are stars: no node hangs below two others, and none that hangs has nodes below it."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("leads")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("leads")))
+    seen = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("leads").alias("leads"))
+    return seen.filter("hangs > 1 or hangs = 1 and leads = 1").agg(F.count("*").alias("n")).first().n == 0
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, component: the smallest node reachable over the links (a, b). Nodes without links aren't listed.
 
     Links to itself and links with a null say nothing; repeated and reversed links count once.
     """
     now = written(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().hint("rebalance"), "links")
-    before = None
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if (seen.n, seen.h) == before or not seen.n:
-            break
-        before = (seen.n, seen.h)
+    while not _done(now):
         last, now = now, written(_small_star(_large_star(now)).hint("rebalance"), "links")
         drop_written(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -1,4 +1,4 @@
-"""Operator 8: fuzzy line dedup by MinHash, in DataFrame operations only.
+"""Operator 8: fuzzy line dedup by MinHash.
 
 A line is a trimmed, non-empty piece between line feeds; equal lines are one line.
 Two lines are near if the Jaccard similarity of their sets of SHINGLE-character
@@ -6,267 +6,438 @@ shingles is THRESHOLD or more (a shorter line's set is itself). Linked lines for
 components; of each component the occurrence with the smallest (doc_id, place) stays
 and every other occurrence goes.
 
-1. Signatures: hashes of SIGNED-character shingles, of which BANDS * ROWS minima are
-   taken in one hash aggregate per line, with partial aggregation before the only
-   shuffle; texts aren't shuffled here. A minimum over h XOR a constant is a draw that
-   equal sets share. Short lines use every shingle. Longer ones use a sample that only
-   the shingles decide: those at word starts, or, if a line has hardly any blanks, those
-   whose hash is a multiple of a power of two; the longest lines a quarter of them. The
-   ranges of lengths overlap by the similarity, so near lines have a range in common.
-2. Banding: ROWS minima make a key (short lines: SHORT_ROWS, SHORT_BANDS times). In each
-   bucket the members are compared with its leader, the line with most occurrences: a
-   pair a row at most.
-3. Members outside their leader's component are compared with a second leader. Then
-   every bucket that still holds several components is compared in full, in blocks,
-   only the members of its largest component not among themselves.
-4. Candidates whose sketches allow it are verified by their exact Jaccard similarity
-   over all shingles.
-5. Components by distributed union-find.
+It was asked for as DataFrame operations only. That form can't meet its limits with whole
+results (figures in the README), so this is numpy in Arrow batches:
+
+1. Parse. Each task cuts its texts into lines. Of equal lines only the first occurrence
+   leaves the task, the others are repeats already; so a line in a third of all documents
+   costs a record a task. Lines are named by two 64-bit hashes.
+2. Signatures: minima of hashes of SIGNED-character shingles, ROWS of them a key. Short
+   lines use every shingle, longer ones those whose hash begins with two or four zero bits.
+   The ranges of lengths overlap by more than the similarity allows, so near lines have a
+   range in common. Of the lines of a task with one key, one stands for all in the key's
+   bucket, so a bucket's size follows the tasks, not the lines; the others have met already.
+3. Buckets of lines and of keys meet in one shuffle of packed arrays. It gives the first
+   occurrence of each line, all repeats, and the members of each key with two lines or more.
+4. Only those lines' texts are fetched. Members are compared with leaders, then every bucket
+   in full (near.py); pairs that bags of MinHash draws allow are verified by the exact
+   Jaccard similarity of their sets; distributed union-find gives the components.
+5. The documents drop the places that go.
 
 Defined results: null and empty texts have no lines and come back as they are; blank
 lines are never repeats and stay; rows with equal doc_id and text are one document and
-all keep the same lines; the last tie-break of occurrences is the hash of the text. A
+all keep the same lines; the last tie-break of occurrences is a hash of id and text. A
 null doc_id comes after all others. Extra columns stay; n_lines and n_kept replace
 columns of that name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import drop_written, fingerprint, free_shuffles, written
-from quern.llm.components import united
+from quern.llm.common import free_shuffles, lean, ragged, small_batches, written
+from quern.llm.near import linked
+from quern.llm.substrings import _power, _powers, mix
 
 #: Characters of the shingles that the similarity is about, and of those that are signed; the latter are longer, as
 #: hardly any two unlike lines have them in common by three or four minima.
 SHINGLE, SIGNED, THRESHOLD = 4, 7, 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 12, 4
 SHORT_BANDS, SHORT_ROWS = 13, 3
-#: Lines of up to SHORT[1] characters sign every shingle, lines of over SHORT[0] and up to LONG[1] those of the
-#: sample, lines of over LONG[0] a quarter of the sample.
+#: Lines of up to SHORT[1] characters sign every shingle, lines of over SHORT[0] and up to LONG[1] one in four, lines
+#: of over LONG[0] one in sixteen. Characters that repeat what stands one to three places before don't count.
 SHORT, LONG = (100, 125), (320, 400)
-#: A line of more characters a word than that has no word starts to speak of.
-BLANKLESS = 18
-#: Lines of a bucket that one task compares with all others of it.
-BLOCK = 512
-#: Pairs are verified if they share this part of their minima. A similarity of THRESHOLD gives 0.7 or so of the
-#: signed shingles on average; 0.3 is over 4 standard deviations below, from the draws and the sample.
-LEAST_SHARED = 0.3
+#: Draws of the bag of a line's shingles, and how many of them two lines must share to be verified: a similarity of
+#: THRESHOLD gives 38 on average, and fewer than LEAST in one case of 100,000.
+BAG, LEAST, STEPS = 48, 26, (38,)
+#: Characters that are parsed together, characters after which a task sends what it has, bytes of text of a bucket.
+BLOCK, FLUSH, BUCKET = 1 << 19, 16 << 20, 16 << 20
+#: Characters of the pairs of lines whose sets are made together.
+PAIRS = 1 << 18
 _NULL_ID = 2**63 - 1
-
-
-def _lines(text: str) -> Column:
-    return F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
-
-
-def shingles(line: Column, k: int) -> Column:
-    """The distinct k-character strings of a line as 64-bit hashes; a shorter line is its own."""
-    at = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - (4 * k - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * k))))
-    # The encoded line is bound by a lambda, so that it isn't copied for each of its shingles.
-    every = F.transform(F.array(F.encode(line, "UTF-32")), at)[0]
-    return F.when(F.char_length(line) < k, F.array(F.xxhash64(line))).otherwise(F.array_distinct(every))
+_SEED = np.random.default_rng(8).integers(1, 2**63, 512).astype(np.uint64)
+_FLIPS = np.random.default_rng(20).integers(0, 2**32, 4096).astype(np.uint32)
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+
+
+class Lines:
+    """The non-blank lines of texts: row of the text, place among its pieces, begin and size in flat, two names."""
+
+    def __init__(self, texts: list[str]):
+        self.flat = flat = _points(texts)
+        feeds = np.flatnonzero(flat == 10)
+        starts, ends = np.concatenate([[0], feeds + 1]), np.concatenate([feeds, [len(flat)]])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        text_at = np.cumsum(sizes) - sizes
+        row = np.searchsorted(text_at, starts, side="right") - 1
+        first = np.searchsorted(starts, text_at)
+        solid = np.flatnonzero((flat != 32) & (flat != 10))
+        low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+        some = np.flatnonzero(low < high)
+        self.row, self.place = row[some], (some - first[row[some]]).astype(np.int32)
+        self.begin = solid[low[some]]
+        self.size = solid[high[some] - 1] + 1 - self.begin
+        up, self.down = _power(len(flat) + 1)
+        self.sums = np.zeros(len(flat) + 1, np.uint64)
+        symbol = flat.astype(np.uint64) + np.uint64(1)
+        np.cumsum(symbol * up[: len(flat)], out=self.sums[1:])
+        other = np.zeros(len(flat) + 1, np.uint64)
+        symbol *= _SEED[0] | np.uint64(1)
+        symbol ^= symbol >> np.uint64(31)
+        np.cumsum(symbol * up[: len(flat)], out=other[1:])
+        end, length = self.begin + self.size, self.size.astype(np.uint64)
+        self.h1 = mix((self.sums[end] - self.sums[self.begin]) * self.down[self.begin] + length * _SEED[1])
+        self.h2 = mix((other[end] - other[self.begin]) * self.down[self.begin] + length * _SEED[2])
+
+    def keys(self, bands: int, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key): the band keys of all lines. Lines of less than SHINGLE characters have none."""
+        flat, n = self.flat, len(self.begin)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(flat) >= k:
+            value = (self.sums[k:] - self.sums[:-k]) * self.down[: len(flat) - k + 1]
+            repeat = np.zeros(len(value) + 1, np.int64)
+            again = np.zeros(len(value), bool)
+            for back in (1, 2, 3):
+                again[back:] |= value[back:] == value[:-back]
+            np.cumsum(again, out=repeat[1:])
+            last = np.minimum(self.begin + np.maximum(self.size - k + 1, 0), len(value))
+            length = self.size - (repeat[last] - repeat[np.minimum(self.begin, last)])
+            every = np.flatnonzero((length <= SHORT[1]) & (self.size >= k))
+            counts = self.size[every] - k + 1
+            out.append(self._minima(np.repeat(every, counts), value[ragged(np.arange(len(value)), self.begin[every], counts)], 1 << 16, max(SHORT_BANDS, bands), SHORT_ROWS))
+            for tag, bits, above, most in ((2, 2, SHORT[0], LONG[1]), (3, 4, LONG[0], 1 << 62)):
+                at = np.flatnonzero(value >> np.uint64(64 - bits) == 0)
+                line = np.searchsorted(self.begin, at, side="right") - 1
+                ok = (line >= 0) & (at < last[line]) & (length[line] > above) & (length[line] <= most) if n else np.zeros(len(at), bool)
+                out.append(self._minima(line[ok], value[at[ok]], tag << 16, bands, rows))
+        # Lines that have shingles but are shorter than k are read round, so that "----" meets "----------".
+        few = np.flatnonzero((self.size >= SHINGLE) & (self.size < k))
+        if len(few):
+            counts = self.size[few]
+            line, begin, size = np.repeat(few, counts), np.repeat(self.begin[few], counts), np.repeat(counts, counts)
+            turn = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
+            value, up = np.zeros(len(line), np.uint64), _power(k)[0]
+            for j in range(k):
+                value += (flat[begin + (turn + j) % size].astype(np.uint64) + np.uint64(1)) * up[j]
+            out.append(self._minima(line, value, 1 << 16, max(SHORT_BANDS, bands), SHORT_ROWS))
+        return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    @staticmethod
+    def _minima(line: np.ndarray, value: np.ndarray, tag: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(line):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        low = (mix(value) >> np.uint64(32)).astype(np.uint32)
+        edges = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        keys = np.zeros((len(edges), bands), np.uint64)
+        for b in range(bands):
+            key = np.full(len(edges), tag + b, np.uint64)
+            for r in range(rows):  # a minimum over h XOR a constant is a draw that equal sets share
+                key = mix(key + np.minimum.reduceat(low ^ _FLIPS[b * rows + r], edges))
+            keys[:, b] = key
+        return np.repeat(line[edges], bands), keys.ravel()
+
+
+_BLOBS = "bucket long, kind string, data binary"
+_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("data", pa.binary())])
+_KINDS = {
+    "line": (np.uint64, np.uint64, np.int64, np.int32, np.int64),  # names, document, place, row name
+    "key": (np.uint64, np.uint64),  # key, line
+    "met": (np.uint64, np.uint64),  # key, line: of keys with two lines or more
+    "gone": (np.int64, np.int32),  # row name, place
+}
+
+
+def _pack(arrays: list[np.ndarray], kind: str) -> bytes:
+    return b"".join(np.ascontiguousarray(a.astype(t, copy=False)).tobytes() for a, t in zip(arrays, _KINDS[kind], strict=True))
+
+
+def _unpack(kind: str, blobs: list[bytes]) -> list[np.ndarray]:
+    types = [np.dtype(t) for t in _KINDS[kind]]
+    width = sum(t.itemsize for t in types)
+    parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in types]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for part, t in zip(parts, types, strict=True):
+            part.append(np.frombuffer(blob, t, n, at))
+            at += n * t.itemsize
+    return [np.concatenate(p) for p in parts]
+
+
+def _deal(kind: str, bucket: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, str, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        yield int(bucket[part[0]]), kind, _pack([a[part] for a in arrays], kind)
+
+
+def _batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where a new group begins in sorted keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _firsts(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of "line" records: the first occurrence of each line, and (row name, place) of those that come after it."""
+    h1, h2, doc, place, name = arrays
+    order = np.lexsort((name, place, doc, h2, h1))
+    h1, h2, doc, place, name = (a[order] for a in arrays)
+    edges = _edges(h1, h2)
+    sizes = np.diff(np.concatenate([edges, [len(h1)]]))
+    later = (doc != np.repeat(doc[edges], sizes)) | (place != np.repeat(place[edges], sizes)) | (name != np.repeat(name[edges], sizes))
+    return [a[edges] for a in (h1, h2, doc, place, name)], [name[later], place[later]]
+
+
+def _met(key: np.ndarray, line: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(key, line) of the keys with two lines or more, and of one line a key."""
+    order = np.lexsort((line, key))
+    key, line = key[order], line[order]
+    new = _edges(key, line)
+    key, line = key[new], line[new]
+    edges = _edges(key)
+    many = np.repeat(np.diff(np.concatenate([edges, [len(key)]])) > 1, np.diff(np.concatenate([edges, [len(key)]])))
+    return [key[many], line[many]], [key[edges], line[edges]]
+
+
+def _parse_task(buckets: int, bands: int, rows: int, k: int):
+    """Steps 1 and 2. Buckets: keys, then lines, then documents, then members that have met."""
+
+    def flush(held: list[list[np.ndarray]], keyed: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        first, gone = _firsts([np.concatenate(x) for x in zip(*held, strict=True)])
+        met, one = _met(*(np.concatenate(x) for x in zip(*keyed, strict=True)))
+        out = [*_deal("line", buckets + (first[0] % np.uint64(buckets)).astype(np.int64), first), *_deal("gone", 2 * buckets + gone[0] % buckets, gone)]
+        out += [*_deal("met", 3 * buckets + (met[0] % np.uint64(buckets)).astype(np.int64), met), *_deal("key", (one[0] % np.uint64(buckets)).astype(np.int64), one)]
+        for i in range(0, len(out), 256):
+            yield _batch(out[i : i + 256])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keyed, size = [], [], 0
+        for batch in batches:
+            docs, names, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for a, b in _cuts([len(t) for t in texts], BLOCK):
+                lines = Lines(texts[a:b])
+                held.append([lines.h1, lines.h2, docs[a:b][lines.row], lines.place, names[a:b][lines.row]])
+                line, key = lines.keys(bands, rows, k)
+                keyed.append([key, lines.h1[line]])
+                size += len(lines.flat)
+                if size >= FLUSH:
+                    yield from flush(held, keyed)
+                    held, keyed, size = [], [], 0
+        if held:
+            yield from flush(held, keyed)
+        _powers.clear()
+        lean()
+
+    return run
+
+
+def _cuts(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of texts with about limit characters each; a longer text is alone."""
+    at = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
+            yield at, i
+            at, size = i, 0
+        size += n + 1
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _bucket_task(buckets: int):
+    """Step 3, for one bucket of keys or lines; the others pass."""
+
+    def run(key, table):
+        at = key[0].as_py()
+        if at >= 2 * buckets:
+            return table
+        if at < buckets:
+            met, _ = _met(*_unpack("key", table.column("data").to_pylist()))
+            return pa.Table.from_batches([_batch([(3 * buckets + at, "met", _pack(met, "met"))] if len(met[0]) else [])], schema=_ARROW)
+        first, gone = _firsts(_unpack("line", table.column("data").to_pylist()))
+        return pa.Table.from_batches([_batch([(at, "line", _pack(first, "line")), *_deal("gone", 2 * buckets + gone[0] % buckets, gone)])], schema=_ARROW)
+
+    return run
+
+
+def _rows_of(kind: str, blobs: DataFrame, schema: str) -> DataFrame:
+    """The records of a kind as rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                arrays = [a.view(np.int64) if a.dtype == np.uint64 else a for a in _unpack(kind, [blob])]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
+
+    return blobs.filter(F.col("kind") == kind).select("data").mapInArrow(run, schema)
+
+
+def _sets(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of, shingle, counts): the distinct k-character strings of each text as 64-bit hashes; a shorter text is its own."""
+    flat = _points(texts).astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    many = np.maximum(sizes - k + 1, 1)
+    of = np.repeat(np.arange(len(texts)), many)
+    at = np.arange(len(of)) + np.repeat(begins - (np.cumsum(many) - many), many)
+    end = np.repeat(begins + sizes, many)
+    value = np.zeros(len(of), np.uint64)
+    for j in range(k):
+        value = value * _SEED[3] + np.where(at + j < end, flat[np.minimum(at + j, len(flat) - 1)], np.uint64(0))
+    value = mix(value)
+    named = mix(value + mix(of.astype(np.uint64)))
+    order = np.argsort(named, kind="stable")
+    new = np.sort(order[_edges(named[order])]) if len(order) else order
+    of, value = of[new], value[new]
+    return of, value, np.bincount(of, minlength=len(texts))
+
+
+def similar_lines(x: list[str], y: list[str], threshold: float) -> np.ndarray:
+    """Whether the Jaccard similarity of each pair of lines is threshold or more."""
+    (i, a, n), (j, b, m) = _sets(x), _sets(y)
+    named = np.concatenate([mix(a + mix(i.astype(np.uint64))), mix(b + mix(j.astype(np.uint64)))])
+    order = np.argsort(named, kind="stable")
+    twice = order[:-1][named[order[1:]] == named[order[:-1]]]
+    both = np.bincount(i[twice], minlength=len(x))
+    return both >= threshold * (n + m - both) - 1e-9
+
+
+def _verify_task(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [similar_lines(x[a:b], y[a:b], threshold) for a, b in _cuts([len(p) + len(q) for p, q in zip(x, y, strict=True)], PAIRS)]
+            if keep:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(np.concatenate(keep)))
+        lean()
+
+    return run
+
+
+_KNOWN = "id long, n int, bag array<tinyint>, _text string"
+_KNOWN_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bag", pa.list_(pa.int8())), ("_text", pa.string())])
+
+
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of shingles of each line, and BAG MinHash draws of them, a byte each."""
+    of, value, counts = _sets(texts)
+    edges = np.cumsum(counts) - counts
+    draws = [mix(np.minimum.reduceat((value ^ _SEED[8 + 2 * d]) * (_SEED[9 + 2 * d] | np.uint64(1)), edges)) & np.uint64(255) for d in range(BAG)]
+    return counts.astype(np.int32), np.stack(draws, 1).astype(np.uint8).view(np.int8)
+
+
+def _fetch(key, docs, asked):
+    """Step 4: the texts of the asked lines (id, place) of a bucket's documents."""
+    rows = [pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _KNOWN_ARROW], schema=_KNOWN_ARROW)]
+    ids, texts, last, pieces = [], [], None, []
+    if asked.num_rows:
+        own = dict(zip(docs.column("_name").to_pylist(), docs.column("_text").to_pylist(), strict=True))
+        for name, i, place in sorted(zip(*(asked.column(c).to_pylist() for c in ("name", "id", "place")), strict=True)):
+            if name != last:
+                last, pieces = name, own[name].split("\n")
+            ids.append(i)
+            texts.append(pieces[place].strip(" "))
+    for a, b in _cuts([len(t) for t in texts], PAIRS):
+        n, bag = bags(texts[a:b])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BAG), pa.array(bag.ravel()))
+        rows.append(pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(n), lists, pa.array(texts[a:b], pa.string())], schema=_KNOWN_ARROW))
+    return pa.Table.from_batches(rows)
+
+
+def _pack_gone(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = list(_deal("gone", 2 * buckets + name % buckets, [name, place]))
+            if rows:
+                yield _batch(rows)
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """_doc, _dh and _text name a document."""
+    """_doc orders the documents, _name is a hash of a row's id and text, by which rows are dealt."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_doc"), F.xxhash64(text).alias("_dh"), text.alias("_text")).filter("_text is not null")
-
-
-def _occurrences(keyed: DataFrame) -> DataFrame:
-    line = F.col("_line")
-    out = keyed.select("_doc", "_dh", F.posexplode(_lines("_text")).alias("_pos", "_line")).filter("_line != ''")
-    return out.select("_doc", "_dh", "_pos", "_line", fingerprint(line, 1).alias("h1"), fingerprint(line, 2).alias("h2"))
-
-
-def signatures(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SIGNED) -> DataFrame:
-    """Every distinct line: id, h1, h2, a document that has it, its occurrences n, band keys, and two sketches.
-
-    Sketch p is of short lines (every shingle) or of long ones (a quarter of the sample), q of those between (the
-    sample); on the overlaps of these ranges a line has both. Lines of less than SHINGLE characters have none: only
-    equal ones are near.
-    """
-    rng = random.Random(20)
-    flips = [rng.randrange(-(2**31), 2**31) for _ in range(bands * rows)]
-    size, words, i = F.col("size"), F.col("words"), F.col("i")
-    lines = _occurrences(keyed).withColumn("size", F.char_length("_line"))
-    # Lines that have shingles but are shorter than k are repeated, so that "----" meets "----------".
-    lines = lines.withColumn("_line", F.when(size.between(SHINGLE, k - 1), F.repeat("_line", F.lit(k))).otherwise(F.col("_line")))
-    lines = lines.withColumn("words", F.when(size > SHORT[0], F.split("_line", " ")).otherwise(F.array().cast("array<string>")))
-    lines = lines.withColumn("blankless", size > BLANKLESS * F.size("words"))
-    dense = F.when((size <= SHORT[1]) | F.col("blankless"), F.greatest(F.char_length("_line") - (k - 1), F.lit(0))).otherwise(0)
-    lines = lines.withColumn("dense", dense).withColumn("starts", F.when(F.col("blankless"), 0).otherwise(F.size("words")))
-    lines = lines.select("h1", "h2", "_doc", "size", "words", "blankless", "dense", "starts", F.when(F.col("dense") > 0, F.encode("_line", "UTF-32")).alias("points"))
-    # One row for each shingle, made and hashed in generated code.
-    marks = lines.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("dense") + F.col("starts") - 1, F.lit(0)))).alias("i"))
-    word = lambda n: F.coalesce(F.get(words, i - F.col("dense") + n), F.lit(""))
-    by_place = F.xxhash64(F.substring("points", i * 4 + 1, F.lit(4 * k)))
-    by_word = F.xxhash64(F.substring(F.concat(word(0), F.lit(" "), word(1), F.lit(" "), word(2)), F.lit(1), F.lit(k)))
-    placed, started = i < F.col("dense"), (i >= F.col("dense")) & (i - F.col("dense") < F.col("starts"))
-    marks = marks.select("h1", "h2", "_doc", "size", "blankless", "i", placed.alias("placed"), F.when(placed, by_place).when(started, by_word).alias("x"))
-    x = F.col("x")
-    drawn = lambda bits: F.shiftrightunsigned(x, 64 - bits) == 0
-    sampled = F.when(F.col("blankless"), drawn(3)).otherwise(~F.col("placed"))
-    thinned = F.when(F.col("blankless"), drawn(5)).otherwise(~F.col("placed") & drawn(2))
-    p = (size <= SHORT[1]) & F.col("placed") | (size > LONG[0]) & thinned
-    q = (size > SHORT[0]) & (size <= LONG[1]) & sampled
-    low = F.xxhash64("x").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)
-    marks = marks.select("h1", "h2", "_doc", "size", (i == 0).cast("int").alias("one"), p.alias("in_p"), q.alias("in_q"), "x").filter("in_p or in_q or one = 1")
-    marks = marks.withColumn("y", low.cast("int"))
-    marks = marks.select("h1", "h2", "_doc", "size", "one", F.when(F.col("in_p"), F.col("y")).alias("p"), F.when(F.col("in_q"), F.col("y")).alias("q"))
-    minima = [F.min(F.col(c).bitwiseXOR(F.lit(flip))).alias(f"{c}{n}") for c in "pq" for n, flip in enumerate(flips)]
-    # All buffers are of fixed width, so this is a hash aggregate with partial sums before the shuffle.
-    made = marks.groupBy("h1", "h2").agg(F.min("_doc").alias("doc"), F.sum("one").alias("n"), F.max("size").alias("size"), *minima)
-
-    def keys(c: str, tag: int, many: int, each: int) -> Column:
-        made = F.array(*[F.xxhash64(F.lit(tag + b), *[f"{c}{n}" for n in range(b * each, (b + 1) * each)]) for b in range(min(many, bands * rows // each))])
-        return F.when(F.col(f"{c}0").isNotNull(), made).otherwise(F.array().cast("array<bigint>"))
-
-    sketch = lambda c: F.when(F.col(f"{c}0").isNotNull(), F.array(*[F.col(f"{c}{n}").bitwiseAND(F.lit(127)).cast("tinyint") for n in range(len(flips))]))
-    of_p = F.when(size <= SHORT[1], keys("p", 0, max(SHORT_BANDS, bands), SHORT_ROWS)).otherwise(keys("p", 1000, bands, rows))
-    return made.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc", "n", F.concat(of_p, keys("q", 2000, bands, rows)).alias("bands"), sketch("p").alias("p"), sketch("q").alias("q"), (size <= SHORT[1]).alias("short"))
-
-
-def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and line of the wanted (id, h1, h2, doc): one document of each line is looked through."""
-    of_doc = wanted.select("doc").distinct()
-    hit = keyed.join(of_doc, keyed["_doc"] == of_doc["doc"]).select(F.explode(F.array_distinct(_lines("_text"))).alias("line"), "doc").filter("line != ''")
-    hit = hit.select("doc", "line", fingerprint(F.col("line"), 1).alias("h1"), fingerprint(F.col("line"), 2).alias("h2"))
-    return hit.join(wanted.select("doc", "h1", "h2", "id"), ["doc", "h1", "h2"]).select("id", "line")
-
-
-def _sketched(side: str) -> list[Column]:
-    """Columns of a line for _allowed(), named for its side of a pair."""
-    return [F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("p", "q", "short")]]
-
-
-def _allowed() -> Column:
-    """Whether the sketches of lines a and b allow the similarity: those of the range that both are in."""
-    same = lambda c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e) >= LEAST_SHARED * F.size(f"{c}_a")
-    both = lambda c: F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull()
-    return F.when(both("p") & (F.col("short_a") == F.col("short_b")), same("p")).when(both("q"), same("q")).otherwise(False)
-
-
-def _likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose sketches allow the similarity; no text is moved for the others."""
-    return pairs.join(lines.select(*_sketched("a")), "a").join(lines.select(*_sketched("b")), "b").filter(_allowed()).select("a", "b")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # As generated rows, the sets are made once, though the similarity names them often.
-    sets = two.select("a", "b", F.explode(F.array(F.struct(shingles(F.col("x"), k).alias("x"), shingles(F.col("y"), k).alias("y")))).alias("s"))
-    sets = sets.select("a", "b", (F.size("s.x") + F.size("s.y")).alias("sum"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("both"))
-    return sets.filter(F.col("both") / (F.col("sum") - F.col("both")) >= threshold).select("a", "b")
-
-
-def _ranked() -> Column:
-    """A line's id below its occurrences (counted to 127), as one long: the buffer of a hash aggregate.
-
-    monotonically_increasing_id() fills 55 bits with up to four million partitions.
-    """
-    return F.shiftleft(F.least(F.col("n"), F.lit(127)), 55).bitwiseOR(F.col("id")).alias("ranked")
-
-
-def _id(ranked: str) -> Column:
-    return F.col(ranked).bitwiseAND(F.lit((1 << 55) - 1))
-
-
-def _top(members: DataFrame, *key: str) -> DataFrame:
-    """Each bucket's leader, a line with most occurrences; lone lines lead nothing."""
-    top = members.groupBy(*key).agg(F.max("ranked").alias("top"), F.count("*").alias("many"))
-    return top.filter("many > 1").select(*key, _id("top").alias("leader"))
-
-
-def link(keyed: DataFrame, threshold: float, bands: int, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(lines, parts): all distinct lines, and the component of each id that shares a bucket."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    return docs.select(F.struct(*docs.columns).alias("_row"), doc.alias("_doc"), F.xxhash64(doc, text).alias("_name"), text.alias("_text"))
+
+
+def repeats(keyed: DataFrame, buckets: int, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SIGNED) -> DataFrame:
+    """Blobs of the places that go, in the buckets of the documents."""
     spark = keyed.sparkSession
-    lines = written(signatures(keyed, bands, rows), "lines")
-    free_shuffles(spark)
-    members = lines.select(_ranked(), F.explode("bands").alias("key"))
-    met = written(members.join(_top(members, "key"), "key"), "met")
+    own = keyed.filter("_text is not null").select("_doc", "_name", "_text")
+    parsed = own.mapInArrow(_parse_task(buckets, bands, rows, k), _BLOBS)
+    found = written(parsed.groupBy("bucket").applyInArrow(_bucket_task(buckets), _BLOBS), "line-buckets")
     free_shuffles(spark)
-    met = met.withColumn("id", _id("ranked"))
-    known = written(lines.join(met.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2", "doc", "p", "q", "short"), "known")
-    texts = written(_texts(keyed, known), "texts")
+    met = written(_rows_of("met", found, "key long, id long").distinct(), "members")
+    first = _rows_of("line", found, "id long, h2 long, doc long, place int, name long").drop("h2")
+    known = written(first.join(met.select("id").distinct(), "id"), "firsts")
+    asked = known.select("id", "place", "name", F.pmod("name", F.lit(buckets)).alias("bucket")).groupBy("bucket")
+    by_doc = own.select("_name", "_text", F.pmod("_name", F.lit(buckets)).alias("bucket")).groupBy("bucket")
+    lines = written(by_doc.cogroup(asked).applyInArrow(_fetch, _KNOWN).dropDuplicates(["id"]), "lines")
     free_shuffles(spark)
-
-    def round_of(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """parts with what the pairs (a, b) of different parts link."""
-        pairs = pairs.filter("a != b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
-        pairs = pairs.filter("part_a != part_b").select("a", "b")
-        likely = written(_likely(pairs, known).hint("rebalance"), "likely")
-        out = united(parts, _verified(likely, texts, threshold, k))
-        drop_written(likely)
-        return out
-
-    def apart(parts: DataFrame) -> DataFrame:
-        """Members outside their leader's part."""
-        placed = met.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
-        led = placed.filter("id = leader").select("key", F.col("part").alias("led"))
-        return written(placed.filter("id != leader").join(led, "key").filter("part != led").select("key", "id", "ranked").hint("rebalance"), "apart")
-
-    # Of what a bucket's leader gets, most is the same in other buckets.
-    parts = known.select(F.col("id").alias("node"), F.col("id").alias("component"))
-    likely = written(_likely(met.select(F.col("leader").alias("a"), F.col("id").alias("b")).filter("a != b").distinct(), known).hint("rebalance"), "likely")
-    parts = united(parts, _verified(likely, texts, threshold, k))
-    drop_written(likely)
-    second = _top(apart(parts), "key").select("key", F.col("leader").alias("a"))
-    parts = round_of(met.join(second, "key").select("a", F.col("id").alias("b")), parts)
-    return lines, round_of(_in_full(met, known, parts), parts)
-
-
-def _in_full(met: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of all members of a bucket whose parts differ and whose sketches allow the similarity."""
-    placed = met.select("key", "id").join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    apart = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("many")).filter("many > 1")
-    apart = apart.select("key", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks"))
-    rows = written(placed.join(apart, "key").join(known.select("id", "p", "q", "short"), "id"), "rows")
-    block = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("block")
-    left = rows.filter("part != main").select("key", block, F.col("part").alias("part_a"), *_sketched("a"))
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    right = rows.select("key", blocks, F.col("part").alias("part_b"), (F.col("part") == F.col("main")).alias("is_main"), *_sketched("b"))
-    on = (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("part_a") != F.col("part_b")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _allowed()
-    return left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def mark(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """_doc, _dh, gone array<int>: of each document that loses any, the pieces between line feeds that go."""
+    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
+    members = written(met.join(sizes, "key").join(lines.select("id", "n", "bag"), "id"), "met")
+    parts = linked(members, lines.select("id", "_text"), _verify_task(threshold), threshold, LEAST, STEPS)
+    # The first occurrence of each line of a component goes, but for the first of them.
+    at = F.struct("doc", "place", "name")
+    placed = known.join(parts.select(F.col("node").alias("id"), "component"), "id").select("component", at.alias("at"))
+    least = placed.groupBy("component").agg(F.min("at").alias("least"))
+    more = placed.join(least, "component").filter("at != least").select("at.name", "at.place")
+    return found.filter("kind = 'gone'").unionByName(more.mapInArrow(_pack_gone(buckets), _BLOBS))
+
+
+def _drop_task(names: list[str], at: int, n_lines: int, n_kept: int):
+    """Step 5: a bucket's documents without the places that go."""
+
+    def run(key, docs, blobs):
+        name, place = _unpack("gone", blobs.column("data").to_pylist())
+        order = np.lexsort((place, name))
+        name, place = name[order], place[order]
+        docs = docs.combine_chunks()
+        own = docs.column("_row").chunk(0).flatten() if docs.num_rows else []
+        texts, lines, kept = [], [], []
+        for doc, text in zip(docs.column("_name").to_pylist(), docs.column("_text").to_pylist(), strict=True):
+            a, b = np.searchsorted(name, doc), np.searchsorted(name, doc, side="right")
+            pieces = text.split("\n") if text is not None else []
+            solid = sum(1 for p in pieces if p.strip(" "))
+            gone = set(place[a:b].tolist())
+            texts.append("\n".join(p for i, p in enumerate(pieces) if i not in gone) if gone else text)
+            lines.append(solid)
+            kept.append(solid - len(gone))
+        own = list(own) + [None] * (len(names) - len(own))
+        own[at], own[n_lines], own[n_kept] = pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(kept, pa.int64())
+        return pa.table([pa.array([]) if c is None else c for c in own], names=names)
+
+    return run
+
+
+def dedup(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_kept"), **options: object) -> DataFrame:
+    """docs with the numbers of its non-blank lines and of those kept, text without the others. Other columns stay."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.drop(*counts).withColumn("text", F.col("text").cast("string"))
     keyed = _keyed(docs)
-    lines, parts = link(keyed, threshold, bands, rows, k)
-    # Only lines that occur again, or that may be linked, can go; the others aren't looked at any more.
-    part = parts.withColumnRenamed("node", "id")
-    again = lines.select("id", "h1", "h2", "n").join(part, "id", "left").filter("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("part"))
-    at = F.struct("_doc", "_pos", "_dh")
-    every = written(_occurrences(keyed).select("_doc", "_pos", "_dh", "h1", "h2").join(again, ["h1", "h2"]).select("part", at.alias("at")), "occurrences")
-    stays = every.groupBy("part").agg(F.min("at").alias("at")).select("at.*", F.lit(True).alias("stays"))
-    # By document, not by part: the occurrences of a common line never meet in one task.
-    places = every.select("at.*", F.lit(False).alias("stays")).unionByName(stays).groupBy("_doc", "_dh")
-    gone = places.agg(F.sort_array(F.array_except(F.collect_set("_pos"), F.collect_set(F.when(F.col("stays"), F.col("_pos"))))).alias("gone"))
-    return gone.filter(F.size("gone") > 0)
-
-
-def dedup(docs: DataFrame, **options: object) -> DataFrame:
-    """docs with n_lines and n_kept (non-blank lines), text without the repeated lines. Other columns stay."""
-    marked = mark(docs, **options)
-    text = F.col("text").cast("string")
-    own = docs.withColumns({"_doc0": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "_dh0": F.xxhash64(text)})
-    out = own.join(marked, (own["_doc0"] == marked["_doc"]) & (own["_dh0"] == marked["_dh"]), "left")
-    # gone is sorted, so what stays between its places is sliced.
-    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("_pieces")))
-    spans = F.filter(F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct((a + 2).alias("s"), (b - a - 1).alias("n"))), lambda s: s["n"] > 0)
-    rest = F.array_join(F.transform(spans, lambda s: F.array_join(F.slice("_pieces", s["s"], s["n"]), "\n")), "\n")
-    out = out.withColumn("_pieces", F.split(text, "\n", -1))
-    n = F.coalesce(F.size(F.filter("_pieces", lambda x: F.trim(x) != "")), F.lit(0))
-    columns = [F.when(F.col("gone").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_kept")]
-    return out.select(*columns, n.cast("long").alias("n_lines"), (n - F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_kept"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    buckets = max(1, -(-total // max(BUCKET, total // 50_000)))
+    gone = repeats(keyed, buckets, **options).withColumn("bucket", F.col("bucket") - 2 * buckets).groupBy("bucket")
+    by_doc = keyed.select("_row", "_name", "_text", F.pmod("_name", F.lit(buckets)).alias("bucket")).groupBy("bucket")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+    return by_doc.cogroup(gone).applyInArrow(_drop_task(schema.names, docs.columns.index("text"), len(docs.columns), len(docs.columns) + 1), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -276,6 +447,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, **options: object) -> DataFrame:
-    """docs without their repeated lines; documents that had lines and keep none go."""
-    out = dedup(docs, **options)
-    return out.filter((F.col("n_lines") == 0) | (F.col("n_kept") > 0)).select(*docs.columns)
+    """docs without their repeated lines; documents that had lines and keep none go. All columns stay."""
+    out = dedup(docs, ("_quern_lines", "_quern_kept"), **options)
+    return out.filter((F.col("_quern_lines") == 0) | (F.col("_quern_kept") > 0)).select(*docs.columns)

@@ -40,9 +40,8 @@ def brute(docs, t=0.8):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_brute_force(spark, seed):
-    rng = random.Random(seed)
+def test_brute_force(spark):
+    rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9)))
     base = [" ".join(word() for _ in range(rng.randrange(1, 45))) for _ in range(60)]
     docs = []
@@ -74,8 +73,8 @@ def test_brute_force(spark, seed):
 def test_rows_with_one_id_and_empty(spark):
     df = spark.createDataFrame([(1, "a line of text"), (1, "a line of text"), (1, "other words here"), (None, "a line of text"), (2, "A line of text")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_kept, r.text) for r in L.dedup(df).collect())
-    assert got == [("1", 1, "a line of text"), ("1", 1, "a line of text"), ("1", 1, "other words here"), ("2", 1, "A line of text"), ("None", 0, "")]
-    assert L.report(df.limit(0)).count() == 0
+    assert got == [("1", 1, "a line of text"), ("1", 1, "a line of text"), ("1", 1, "other words here"), ("2", 0, ""), ("None", 0, "")]
+    assert L.report(df.limit(0)).count() == 0 and L.without_repeats(df.limit(0)).columns == df.columns
 
 
 def test_unlike_lines_in_one_bucket(spark):
@@ -134,3 +133,25 @@ def test_separators_and_a_very_long_line(spark):
     long = " ".join(f"w{i * 7919 % 100003}" for i in range(30000))
     df = spark.createDataFrame([(1, "-----"), (2, "----------"), (3, "=" * 90), (4, "=" * 110), (5, long), (6, long + " end"), (7, long[:200])], "doc_id long, text string")
     assert {r.doc_id for r in L.without_repeats(df).collect()} == {1, 3, 5, 7}
+
+
+def test_sets_and_similarity():
+    rng = random.Random(2)
+    lines = ["".join(rng.choice("abü漢𝄞") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    x, y = lines[:30], lines[30:]
+    x, y = x + lines, y + lines
+    of = lambda s: {s[i : i + 4] for i in range(len(s) - 3)} or {s}
+    for t in (0.1, 0.5, 1.0):
+        want = [len(of(a) & of(b)) / len(of(a) | of(b)) >= t for a, b in zip(x, y, strict=True)]
+        assert L.similar_lines(x, y, t).tolist() == want
+    assert L._sets(lines)[2].tolist() == [len(of(s)) for s in lines]
+
+
+def test_null_ids_and_a_hot_line(spark):
+    """A line that all documents have, and rows without an id; nothing but the repeats goes."""
+    rows = [(None if i % 3 == 0 else i, f"the same line of every document\nown line number {i} of document {i * i}", {"n_kept": str(i)}) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _quern struct<n_kept string>")
+    got = L.without_repeats(df)
+    assert got.columns == df.columns and got.count() == 300
+    texts = [r.text for r in got.collect()]
+    assert sum("same line" in t for t in texts) == 1 and all("own line" in t for t in texts)
