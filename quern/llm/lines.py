@@ -40,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
 
 from quern.llm.common import free_shuffles, lean, ragged, small_batches, written
 from quern.llm.near import linked
-from quern.llm.substrings import _power, _powers, mix
+from quern.llm.substrings import mix
 
 #: Characters of the shingles that the similarity is about, and of those that are signed; the latter are longer, as
 #: hardly any two unlike lines have them in common by three or four minima.
@@ -54,96 +55,106 @@ SHORT_BANDS, SHORT_ROWS = 13, 3
 #: of over LONG[0] one in sixteen. Characters that repeat what stands one to three places before don't count.
 SHORT, LONG = (100, 125), (320, 400)
 #: Draws of the bag of a line's shingles, and how many of them two lines must share to be verified: a similarity of
-#: THRESHOLD gives 38 on average, and fewer than LEAST in one case of 100,000.
-BAG, LEAST, STEPS = 48, 26, (38,)
+#: THRESHOLD gives 32 on average, and fewer than LEAST in one case of 100,000.
+BAG, LEAST, STEPS = 40, 21, (31,)
 #: Characters that are parsed together, characters after which a task sends what it has, bytes of text of a bucket.
 BLOCK, FLUSH, BUCKET = 1 << 19, 16 << 20, 16 << 20
-#: Characters of the pairs of lines whose sets are made together.
-PAIRS = 1 << 18
 _NULL_ID = 2**63 - 1
-_SEED = np.random.default_rng(8).integers(1, 2**63, 512).astype(np.uint64)
 _FLIPS = np.random.default_rng(20).integers(0, 2**32, 4096).astype(np.uint32)
 
 
-def _points(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
-
-
 class Lines:
-    """The non-blank lines of texts: row of the text, place among its pieces, begin and size in flat, two names."""
+    """The non-blank lines of texts: row of the text, place among its pieces, line, and two names."""
 
     def __init__(self, texts: list[str]):
-        self.flat = flat = _points(texts)
-        feeds = np.flatnonzero(flat == 10)
-        starts, ends = np.concatenate([[0], feeds + 1]), np.concatenate([feeds, [len(flat)]])
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        text_at = np.cumsum(sizes) - sizes
-        row = np.searchsorted(text_at, starts, side="right") - 1
-        first = np.searchsorted(starts, text_at)
-        solid = np.flatnonzero((flat != 32) & (flat != 10))
-        low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
-        some = np.flatnonzero(low < high)
-        self.row, self.place = row[some], (some - first[row[some]]).astype(np.int32)
-        self.begin = solid[low[some]]
-        self.size = solid[high[some] - 1] + 1 - self.begin
-        up, self.down = _power(len(flat) + 1)
-        self.sums = np.zeros(len(flat) + 1, np.uint64)
-        symbol = flat.astype(np.uint64) + np.uint64(1)
-        np.cumsum(symbol * up[: len(flat)], out=self.sums[1:])
-        other = np.zeros(len(flat) + 1, np.uint64)
-        symbol *= _SEED[0] | np.uint64(1)
-        symbol ^= symbol >> np.uint64(31)
-        np.cumsum(symbol * up[: len(flat)], out=other[1:])
-        end, length = self.begin + self.size, self.size.astype(np.uint64)
-        self.h1 = mix((self.sums[end] - self.sums[self.begin]) * self.down[self.begin] + length * _SEED[1])
-        self.h2 = mix((other[end] - other[self.begin]) * self.down[self.begin] + length * _SEED[2])
-
-    def keys(self, bands: int, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key): the band keys of all lines. Lines of less than SHINGLE characters have none."""
-        flat, n = self.flat, len(self.begin)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(flat) >= k:
-            value = (self.sums[k:] - self.sums[:-k]) * self.down[: len(flat) - k + 1]
-            repeat = np.zeros(len(value) + 1, np.int64)
-            again = np.zeros(len(value), bool)
-            for back in (1, 2, 3):
-                again[back:] |= value[back:] == value[:-back]
-            np.cumsum(again, out=repeat[1:])
-            last = np.minimum(self.begin + np.maximum(self.size - k + 1, 0), len(value))
-            length = self.size - (repeat[last] - repeat[np.minimum(self.begin, last)])
-            every = np.flatnonzero((length <= SHORT[1]) & (self.size >= k))
-            counts = self.size[every] - k + 1
-            out.append(self._minima(np.repeat(every, counts), value[ragged(np.arange(len(value)), self.begin[every], counts)], 1 << 16, max(SHORT_BANDS, bands), SHORT_ROWS))
-            for tag, bits, above, most in ((2, 2, SHORT[0], LONG[1]), (3, 4, LONG[0], 1 << 62)):
-                at = np.flatnonzero(value >> np.uint64(64 - bits) == 0)
-                line = np.searchsorted(self.begin, at, side="right") - 1
-                ok = (line >= 0) & (at < last[line]) & (length[line] > above) & (length[line] <= most) if n else np.zeros(len(at), bool)
-                out.append(self._minima(line[ok], value[at[ok]], tag << 16, bands, rows))
-        # Lines that have shingles but are shorter than k are read round, so that "----" meets "----------".
-        few = np.flatnonzero((self.size >= SHINGLE) & (self.size < k))
-        if len(few):
-            counts = self.size[few]
-            line, begin, size = np.repeat(few, counts), np.repeat(self.begin[few], counts), np.repeat(counts, counts)
-            turn = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
-            value, up = np.zeros(len(line), np.uint64), _power(k)[0]
-            for j in range(k):
-                value += (flat[begin + (turn + j) % size].astype(np.uint64) + np.uint64(1)) * up[j]
-            out.append(self._minima(line, value, 1 << 16, max(SHORT_BANDS, bands), SHORT_ROWS))
-        return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-    @staticmethod
-    def _minima(line: np.ndarray, value: np.ndarray, tag: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        if not len(line):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        low = (mix(value) >> np.uint64(32)).astype(np.uint32)
-        edges = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        keys = np.zeros((len(edges), bands), np.uint64)
-        for b in range(bands):
-            key = np.full(len(edges), tag + b, np.uint64)
-            for r in range(rows):  # a minimum over h XOR a constant is a draw that equal sets share
-                key = mix(key + np.minimum.reduceat(low ^ _FLIPS[b * rows + r], edges))
-            keys[:, b] = key
-        return np.repeat(line[edges], bands), keys.ravel()
+        self.row, self.place, self.line, names = [], [], [], []
+        for row, text in enumerate(texts):
+            for place, piece in enumerate(text.split("\n")):
+                if line := piece.strip(" "):
+                    self.row.append(row)
+                    self.place.append(place)
+                    self.line.append(line)
+                    names.append(xxh3_128_digest(line))
+        self.h1, self.h2 = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2).T.copy()
+
+
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' characters one after another, and each line's begin and size; a character stands between two lines."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    return np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32), np.cumsum(sizes + 1) - sizes - 1, sizes
+
+
+_UP, _INVERSE = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
+
+
+def _powers(base: int, n: int, held: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006  kept between calls
+    """Powers of an odd base modulo 2**32."""
+    out = held.get(base)
+    if out is None or len(out) < n:
+        out, done = np.ones(max(n, BLOCK + BLOCK // 2), np.uint32), 1
+        while done < len(out):
+            out[done : 2 * done] = out[: min(done, len(out) - done)] * np.uint32(pow(base, done, 1 << 32))
+            done *= 2
+        held.clear() if n > 4 * BLOCK else None
+        held[base] = out
+    return out
+
+
+def _mix32(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return h ^ (h >> np.uint32(16))
+
+
+def _grams(flat: np.ndarray, k: int) -> np.ndarray:
+    """A 32-bit hash of the k characters from each place; its high bits are the good ones."""
+    sums = np.zeros(len(flat) + 1, np.uint32)
+    np.cumsum((flat + np.uint32(1)) * _powers(_UP, len(flat))[: len(flat)], out=sums[1:], dtype=np.uint32)
+    return (sums[k:] - sums[:-k]) * _powers(_INVERSE, len(flat))[: len(flat) - k + 1]
+
+
+def band_keys(lines: list[str], bands: int, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): the keys of all lines. Lines of less than SHINGLE characters have none."""
+    flat, begin, sizes = _points(lines)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    if len(flat) >= k:
+        value = _grams(flat, k)
+        again = np.zeros(len(value), bool)
+        for back in (1, 2, 3):
+            again[back:] |= value[back:] == value[:-back]
+        repeat = np.zeros(len(value) + 1, np.int32)
+        np.cumsum(again, out=repeat[1:])
+        last = np.minimum(begin + np.maximum(sizes - k + 1, 0), len(value))
+        length = sizes - (repeat[last] - repeat[np.minimum(begin, last)])
+        every = np.flatnonzero((length <= SHORT[1]) & (sizes >= k))
+        counts = sizes[every] - k + 1
+        out.append(_minima(np.repeat(every, counts), value[ragged(np.arange(len(value)), begin[every], counts)], 1 << 16, max(SHORT_BANDS, bands), SHORT_ROWS))
+        for tag, bits, above, most in ((2, 2, SHORT[0], LONG[1]), (3, 4, LONG[0], 1 << 62)):
+            at = np.flatnonzero(value < np.uint32(1 << (32 - bits)))
+            line = np.searchsorted(begin, at, side="right") - 1
+            ok = (at < last[line]) & (length[line] > above) & (length[line] <= most)
+            out.append(_minima(line[ok], value[at[ok]], tag << 16, bands, rows))
+    # Lines that have shingles but are shorter than k are read round, so that "----" meets "----------".
+    few = np.flatnonzero((sizes >= SHINGLE) & (sizes < k))
+    if len(few):
+        round_ = [(lines[i] * k)[: len(lines[i]) + k - 1] for i in few]
+        value, counts = [_grams(_points([x])[0], k) for x in round_], sizes[few]
+        out.append(_minima(np.repeat(few, counts), np.concatenate(value), 1 << 16, max(SHORT_BANDS, bands), SHORT_ROWS))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _minima(line: np.ndarray, value: np.ndarray, tag: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    if not len(line):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    low = _mix32(value)
+    edges = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    keys = np.zeros((len(edges), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(edges), tag + b, np.uint64)
+        for r in range(rows):  # a minimum over h XOR a constant is a draw that equal sets share
+            key = mix(key + np.minimum.reduceat(low ^ _FLIPS[b * rows + r], edges))
+        keys[:, b] = key
+    return np.repeat(line[edges], bands), keys.ravel()
 
 
 _BLOBS = "bucket long, kind string, data binary"
@@ -230,16 +241,16 @@ def _parse_task(buckets: int, bands: int, rows: int, k: int):
             docs, names, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in _cuts([len(t) for t in texts], BLOCK):
                 lines = Lines(texts[a:b])
-                held.append([lines.h1, lines.h2, docs[a:b][lines.row], lines.place, names[a:b][lines.row]])
-                line, key = lines.keys(bands, rows, k)
-                keyed.append([key, lines.h1[line]])
-                size += len(lines.flat)
+                held.append([lines.h1, lines.h2, docs[a:b][lines.row], np.array(lines.place, np.int32), names[a:b][lines.row]])
+                one = np.unique(lines.h1, return_index=True)[1]
+                line, key = band_keys([lines.line[i] for i in one], bands, rows, k)
+                keyed.append([key, lines.h1[one][line]])
+                size += sum(map(len, texts[a:b]))
                 if size >= FLUSH:
                     yield from flush(held, keyed)
                     held, keyed, size = [], [], 0
         if held:
             yield from flush(held, keyed)
-        _powers.clear()
         lean()
 
     return run
@@ -286,43 +297,29 @@ def _rows_of(kind: str, blobs: DataFrame, schema: str) -> DataFrame:
     return blobs.filter(F.col("kind") == kind).select("data").mapInArrow(run, schema)
 
 
-def _sets(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(of, shingle, counts): the distinct k-character strings of each text as 64-bit hashes; a shorter text is its own."""
-    flat = _points(texts).astype(np.uint64) + np.uint64(1)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    many = np.maximum(sizes - k + 1, 1)
-    of = np.repeat(np.arange(len(texts)), many)
-    at = np.arange(len(of)) + np.repeat(begins - (np.cumsum(many) - many), many)
-    end = np.repeat(begins + sizes, many)
-    value = np.zeros(len(of), np.uint64)
-    for j in range(k):
-        value = value * _SEED[3] + np.where(at + j < end, flat[np.minimum(at + j, len(flat) - 1)], np.uint64(0))
-    value = mix(value)
-    named = mix(value + mix(of.astype(np.uint64)))
-    order = np.argsort(named, kind="stable")
-    new = np.sort(order[_edges(named[order])]) if len(order) else order
-    of, value = of[new], value[new]
-    return of, value, np.bincount(of, minlength=len(texts))
-
-
-def similar_lines(x: list[str], y: list[str], threshold: float) -> np.ndarray:
+def _set(line: str, k: int = SHINGLE) -> set[str]:
+    """The k-character strings of a line; a shorter line is its own."""
+    return {line[i : i + k] for i in range(len(line) - k + 1)} or {line}
+
+
+def similar_lines(x: list[str], y: list[str], threshold: float) -> list[bool]:
     """Whether the Jaccard similarity of each pair of lines is threshold or more."""
-    (i, a, n), (j, b, m) = _sets(x), _sets(y)
-    named = np.concatenate([mix(a + mix(i.astype(np.uint64))), mix(b + mix(j.astype(np.uint64)))])
-    order = np.argsort(named, kind="stable")
-    twice = order[:-1][named[order[1:]] == named[order[:-1]]]
-    both = np.bincount(i[twice], minlength=len(x))
-    return both >= threshold * (n + m - both) - 1e-9
+    out, last, a = [], None, set()
+    for p, q in zip(x, y, strict=True):
+        if p != last:  # a leader's pairs often follow one another
+            last, a = p, _set(p)
+        b = _set(q)
+        both = len(a & b)
+        out.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
+    return out
 
 
 def _verify_task(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [similar_lines(x[a:b], y[a:b], threshold) for a, b in _cuts([len(p) + len(q) for p, q in zip(x, y, strict=True)], PAIRS)]
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(np.concatenate(keep)))
+            keep = pa.array(similar_lines(x, y, threshold), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
         lean()
 
     return run
@@ -332,12 +329,14 @@ _KNOWN = "id long, n int, bag array<tinyint>, _text string"
 _KNOWN_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bag", pa.list_(pa.int8())), ("_text", pa.string())])
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def bags(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The number of shingles of each line, and BAG MinHash draws of them, a byte each."""
-    of, value, counts = _sets(texts)
-    edges = np.cumsum(counts) - counts
-    draws = [mix(np.minimum.reduceat((value ^ _SEED[8 + 2 * d]) * (_SEED[9 + 2 * d] | np.uint64(1)), edges)) & np.uint64(255) for d in range(BAG)]
-    return counts.astype(np.int32), np.stack(draws, 1).astype(np.uint8).view(np.int8)
+    flat, begin, sizes = _points([x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\n") for x in lines])
+    low = _mix32(_grams(flat, SHINGLE))
+    low = low[ragged(np.arange(len(low)), begin, sizes - SHINGLE + 1)]
+    edges = np.cumsum(sizes - SHINGLE + 1) - (sizes - SHINGLE + 1)
+    draws = [(np.minimum.reduceat(low ^ _FLIPS[1000 + d], edges) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8) for d in range(BAG)]
+    return np.fromiter((len(_set(x)) for x in lines), np.int32, len(lines)), np.stack(draws, 1).view(np.int8)
 
 
 def _fetch(key, docs, asked):
@@ -351,7 +350,7 @@ def _fetch(key, docs, asked):
                 last, pieces = name, own[name].split("\n")
             ids.append(i)
             texts.append(pieces[place].strip(" "))
-    for a, b in _cuts([len(t) for t in texts], PAIRS):
+    for a, b in _cuts([len(t) for t in texts], BLOCK):
         n, bag = bags(texts[a:b])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BAG), pa.array(bag.ravel()))
         rows.append(pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(n), lists, pa.array(texts[a:b], pa.string())], schema=_KNOWN_ARROW))
@@ -391,8 +390,8 @@ def repeats(keyed: DataFrame, buckets: int, threshold: float = THRESHOLD, bands:
     lines = written(by_doc.cogroup(asked).applyInArrow(_fetch, _KNOWN).dropDuplicates(["id"]), "lines")
     free_shuffles(spark)
     sizes = met.groupBy("key").agg(F.count("*").alias("size"))
-    members = written(met.join(sizes, "key").join(lines.select("id", "n", "bag"), "id"), "met")
-    parts = linked(members, lines.select("id", "_text"), _verify_task(threshold), threshold, LEAST, STEPS)
+    members = written(met.join(sizes, "key"), "met")
+    parts = linked(members, lines.select("id", "n", "bag"), lines.select("id", "_text"), _verify_task(threshold), threshold, LEAST, STEPS)
     # The first occurrence of each line of a component goes, but for the first of them.
     at = F.struct("doc", "place", "name")
     placed = known.join(parts.select(F.col("node").alias("id"), "component"), "id").select("component", at.alias("at"))

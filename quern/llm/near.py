@@ -1,8 +1,8 @@
 """From buckets to groups: what the two MinHash operators share once members have met.
 
 `met` has a row for each member of a bucket of two or more: key, id, size (members of the
-bucket), n (elements) and bag (a byte for each of some MinHash draws over the elements).
-`texts` has id and _text. A verify task says of pairs of texts whether they are similar;
+bucket). `marks` has id, n (elements) and bag (a byte for each of some MinHash draws over
+the elements), `texts` has id and _text. A verify task says of pairs of texts whether they are similar;
 similar members have element counts within the threshold's ratio of each other.
 
 1. Leaders: every member is compared with its bucket's leader, first in a part of the
@@ -29,8 +29,8 @@ from quern.llm.components import united
 
 #: One of so many buckets takes part in the first leader turn.
 FIRST = 8
-#: Leader turns over all buckets that follow; they spare comparisons in full.
-TURNS = 2
+#: Leader turns over all buckets that follow.
+TURNS = 1
 #: Members on one side of a comparison in full; larger buckets are cut into blocks, and all pairs of blocks compared.
 BLOCK = 1024
 #: Rows of one call of the comparison in full.
@@ -90,17 +90,23 @@ def _placed(met: DataFrame, parts: DataFrame) -> DataFrame:
     return met.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
 
 
-def _led(met: DataFrame, parts: DataFrame, turn: int, threshold: float, least: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's leader of this turn and the members of other parts that may be similar.
+def _led(met: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's leader of this turn and the members of other parts.
 
-    The first leader is the smallest member, later ones are drawn by a hash of id and turn. Counts and bags are
-    compared within the join, so it makes no more rows than may be similar.
+    The first leader is the smallest member, later ones are drawn by a hash of id and turn.
     """
     placed = _placed(met, parts).withColumn("draw", F.xxhash64("id", F.lit(turn)) if turn else F.col("id"))
     top = placed.groupBy("key").agg(F.min("draw").alias("draw"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    leaders = placed.join(top.select("key", "draw"), ["key", "draw"], "left_semi").select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("na"), F.col("bag").alias("x"))
-    likely = (F.col("part") != F.col("part_a")) & (F.least("na", "n") >= threshold * F.greatest("na", "n") - 1e-9) & (_shared("x", "bag") >= least)
-    return placed.join(leaders, (F.col("key") == F.col("k")) & likely).select("a", F.col("id").alias("b")).distinct()
+    leaders = placed.join(top.select("key", "draw"), ["key", "draw"], "left_semi").select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("part").alias("part_a"))
+    return placed.join(leaders, (F.col("key") == F.col("k")) & (F.col("part") != F.col("part_a"))).select("a", F.col("id").alias("b")).distinct()
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, threshold: float, least: int) -> DataFrame:
+    """Of the pairs (a, b), those whose counts and bags allow the similarity; no text is moved for the others."""
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bag").alias(f"bag_{side}")), side)
+    counts = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    return pairs.filter(counts & (_shared("bag_a", "bag_b") >= least)).select("a", "b")
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.filter("part_a != part_b").select("a", "b")
 
 
-def _rest(met: DataFrame, parts: DataFrame, threshold: float, least: int) -> DataFrame:
+def _rest(met: DataFrame, marks: DataFrame, parts: DataFrame, threshold: float, least: int) -> DataFrame:
     """(a, b, shared): all pairs of members of a bucket that aren't in one part and may be similar.
 
     A bucket of at most BLOCK members is one unit. A larger one is cut by count, by whether a member is of the
@@ -119,7 +125,7 @@ def _rest(met: DataFrame, parts: DataFrame, threshold: float, least: int) -> Dat
     placed = _placed(met, parts)
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("m"))
     apart = sizes.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("many")).filter("many > 1")
-    rows = written(placed.join(apart.select("key", F.col("top.part").alias("main")), "key"), "apart")
+    rows = written(placed.join(apart.select("key", F.col("top.part").alias("main")), "key").join(marks, "id"), "apart")
     columns = ["id", "n", "part", "bag"]
     small = rows.filter(f"size <= {BLOCK}").select(*columns, F.xxhash64("key").alias("unit"), F.lit(True).alias("first"), F.lit(True).alias("second"))
     every = small
@@ -145,7 +151,7 @@ def _rest(met: DataFrame, parts: DataFrame, threshold: float, least: int) -> Dat
     return every.groupBy(F.pmod("unit", F.lit(packs)).alias("pack")).applyInArrow(_pairs_task(threshold, least), "a long, b long, shared int").distinct()
 
 
-def linked(met: DataFrame, texts: DataFrame, verify: Callable, threshold: float, least: int, steps: tuple[int, ...]) -> DataFrame:
+def linked(met: DataFrame, marks: DataFrame, texts: DataFrame, verify: Callable, threshold: float, least: int, steps: tuple[int, ...]) -> DataFrame:
     """node, component of every member, all links between members of a bucket verified.
 
     least: draws of the bags that similar texts share. steps: the likeliest pairs are verified first, those that
@@ -154,13 +160,13 @@ def linked(met: DataFrame, texts: DataFrame, verify: Callable, threshold: float,
     spark = met.sparkSession
     parts = written(met.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct(), "parts")
     for turn in range(TURNS + 1):
-        some = met.filter(F.pmod("key", F.lit(FIRST)) == 0) if turn == 0 else met.filter("size > 2") if turn > 1 else met
-        pairs = written(_led(some, parts, turn, threshold, least).hint("rebalance"), "pairs")
+        some = met.filter(F.pmod("key", F.lit(FIRST)) == 0) if turn == 0 else met
+        pairs = written(_likely(_led(some, parts, turn), marks, threshold, least).hint("rebalance"), "pairs")
         last, parts = parts, united(parts, verified(pairs, texts, verify))
         drop_written(pairs)
         drop_written(last)
     free_shuffles(spark)
-    rest = written(_rest(met, parts, threshold, least), "rest")
+    rest = written(_rest(met, marks, parts, threshold, least), "rest")
     for most, low in zip((1 << 30, *steps), (*steps, least)):
         parts = united(parts, verified(_apart(rest.filter(f"shared >= {low} and shared < {most}"), parts).hint("rebalance"), texts, verify))
     free_shuffles(spark)

@@ -143,8 +143,8 @@ def test_sets_and_similarity():
     of = lambda s: {s[i : i + 4] for i in range(len(s) - 3)} or {s}
     for t in (0.1, 0.5, 1.0):
         want = [len(of(a) & of(b)) / len(of(a) | of(b)) >= t for a, b in zip(x, y, strict=True)]
-        assert L.similar_lines(x, y, t).tolist() == want
-    assert L._sets(lines)[2].tolist() == [len(of(s)) for s in lines]
+        assert L.similar_lines(x, y, t) == want
+    assert L.bags(lines)[0].tolist() == [len(of(s)) for s in lines]
 
 
 def test_null_ids_and_a_hot_line(spark):
