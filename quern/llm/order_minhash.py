@@ -10,24 +10,19 @@ leaves a band of (1 - THRESHOLD) * max(words) diagonals. Before texts are moved,
 sketch of the words regardless of order drops pairs that share too few words.
 
 1. Documents with equal words are one class from here on.
-2. In each bucket (repeat and key) the members of other parts are verified against a
-   leader, first the smallest member, then members drawn by hash, TURNS times. That is
-   one pair a row and turn at most, however large the bucket; union-find after each
-   turn spares what is linked.
-3. Every bucket that still holds more than one part is compared in full, large ones block
-   by block, so a link between two members that are both unlike their leaders isn't lost.
-   Only members of its largest part aren't compared among themselves. The likeliest
-   pairs are verified first; what they link isn't verified again.
-4. Union-find over all verified links gives the groups.
+2. Classes meet in buckets (repeat and key) and are compared as near.py says: with leaders
+   first, then every bucket in full.
+3. Union-find over all verified links gives the groups; texts under one doc_id are one document.
 
 Defined results: a text of 1 to SHINGLE - 1 words is one k-mer; null, empty and wordless
-texts link with nothing; repeated rows and equal texts are one class; rows with
-the same doc_id are one document if any of them links.
+texts link with nothing; repeated rows and equal texts are one class; rows with the same
+doc_id are one document if any of them links, each compared by its own text; rows without a
+doc_id aren't compared, are groups of their own (class and group are null) and stay. Extra
+columns are ignored or, in near_dedup, kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import string
 from collections.abc import Iterator
 
@@ -37,26 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import fingerprint, free_shuffles, lean, ragged, small_batches, text_or_empty, written
-from quern.llm.components import components, united
+from quern.llm.components import components
 from quern.llm.decontaminate import WORDS
+from quern.llm.near import linked
 from quern.llm.substrings import _TABLE, _power, _powers, mix
 
-SHINGLE, PICK, REPEATS, THRESHOLD = 5, 2, 32, 0.8
-BLOCK_WORDS = 1 << 19
+#: With so many repeats, a pair with a fifth of its words replaced at scattered places (similarity 0.8) meets in 9 of 10
+#: cases, one with 15 % replaced in 99 of 100.
+SHINGLE, PICK, REPEATS, THRESHOLD = 5, 2, 84, 0.8
+BLOCK_WORDS = 1 << 17
 #: Draws of the bag sketch, and how many of them two documents must share to be verified. A similarity of 0.8
 #: needs a Jaccard similarity of 2/3 or more on labelled words, so 32 draws are shared on average and fewer
 #: than LEAST_BAG by about one borderline pair in 100,000.
 BAG, LEAST_BAG = 48, 18
-#: Repeats whose buckets are verified before the others.
-FIRST = 3
-#: Leader turns spare comparisons in full: buckets of more than SMALL members have TURNS, others two.
-SMALL, TURNS = 32, 6
-#: Members on one side of a comparison in full; larger buckets are cut into blocks, and all pairs of blocks compared.
-BLOCK = 1024
-#: Groups of comparisons that one task call takes.
-PACKS = 4096
-#: Draws of the bag sketch that the pairs of one step of verification share at least.
-STEPS = (36, 27, LEAST_BAG)
+#: Draws of the bag sketch that the pairs of the first step of verification in full share at least.
+STEPS = (30,)
 #: Pairs of texts whose words are hashed together.
 PAIRS = 128
 _FOLD = np.array(bytearray(WORDS), np.uint8)
@@ -105,10 +95,12 @@ def sketches(words: np.ndarray, counts: np.ndarray, repeats: int = REPEATS, pick
     bits = np.uint64(max(1, len(value).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     index = np.arange(len(value), dtype=np.uint64)
+    rank = np.empty(len(value), np.uint64)
     for r in range(repeats):
-        rank = (labelled ^ _SEEDS[2 * r]) * (_SEEDS[2 * r + 1] | np.uint64(1))
-        rank &= ~low
-        rank |= index
+        np.bitwise_xor(labelled, _SEEDS[2 * r], out=rank)
+        np.multiply(rank, _SEEDS[2 * r + 1] | np.uint64(1), out=rank)
+        np.bitwise_and(rank, ~low, out=rank)
+        np.bitwise_or(rank, index, out=rank)
         taken = []
         for _ in range(pick):
             least = np.minimum.reduceat(rank, edges)
@@ -245,14 +237,14 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], np.diff(offsets)
 
 
-_KEYS = "doc_id long, h1 long, h2 long, n_words int, keys array<long>, bag array<tinyint>"
-_KEYS_ARROW = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_words", pa.int32()), ("keys", pa.list_(pa.int64())), ("bag", pa.list_(pa.int8()))])
+_KEYS = "doc_id long, th long, h1 long, h2 long, n_words int, keys array<long>, bag array<tinyint>"
+_KEYS_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_words", pa.int32()), ("keys", pa.list_(pa.int64())), ("bag", pa.list_(pa.int8()))])
 
 
 def _sketch_task(repeats: int, pick: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, begins, sizes = _flat(batch.column(1))
+            flat, begins, sizes = _flat(batch.column(2))
             at = 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(begins, begins[at] + (BLOCK_WORDS << 2))))
@@ -270,7 +262,7 @@ def _sketch_task(repeats: int, pick: int, shingle: int):
                 lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[counts > 0].ravel()))]
                 offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, BAG, 0))]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(bags(words, counts)[counts > 0].ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(both[0]), pa.array(both[1]), pa.array(counts.astype(np.int32)), *lists], schema=_KEYS_ARROW)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(both[0]), pa.array(both[1]), pa.array(counts.astype(np.int32)), *lists], schema=_KEYS_ARROW)
                 at = end
         _powers.clear()
         lean()
@@ -293,147 +285,38 @@ def _verify_task(threshold: float):
     return run
 
 
-def _shared(x: str, y: str):
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of the distinct pairs (a, b) of ids, those whose texts (id, _text) are similar."""
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("_text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("_text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(_verify_task(threshold), "a long, b long")
-
-
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many draws each row of x shares with each row of y."""
-    if len(x) * len(y) <= 1 << 10:
-        return (x[:, None] == y[None]).sum(2)
-    out = np.zeros((len(x), len(y)), np.uint8)
-    for p, q in zip(x.T, y.T, strict=True):
-        out += p[:, None] == q[None]
-    return out
-
-
-def _pairs_task(threshold: float):
-    """Pairs (a < b) of the first and second members of each unit whose parts differ and that may be similar."""
-
-    def run(key, table):
-        n = table.num_rows
-        ids, part, words, unit = (table.column(c).to_numpy() for c in ("id", "part", "n_words", "unit"))
-        first, second = (table.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second"))
-        bag = table.column("bag").combine_chunks().flatten().to_numpy().reshape(n, -1)
-        order = np.lexsort((words, unit))
-        out = [(ids[:0], ids[:0], words[:0])]
-        for members in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
-            x, y = members[first[members]], members[second[members]]
-            long = words[y]
-            for i in (x[at : at + 256] for at in range(0, len(x), 256)):
-                low, high = np.searchsorted(long, [threshold * words[i[0]] - 1e-6, words[i[-1]] / threshold + 1e-6])
-                j = y[low:high]
-                shared = _alike(bag[i], bag[j])
-                p, q = np.nonzero(shared >= LEAST_BAG)
-                shared, p, q = shared[p, q], i[p], j[q]
-                ok = (part[p] != part[q]) & (np.minimum(words[p], words[q]) >= threshold * np.maximum(words[p], words[q]) - 1e-9)
-                ok &= (ids[p] < ids[q]) | ~(second[p] & first[q])  # within one block, each pair once
-                p, q = p[ok], q[ok]
-                out.append((np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), shared[ok].astype(np.int32)))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "shared"])
-
-    return run
-
-
 def groups(docs: DataFrame, threshold: float = THRESHOLD, repeats: int = REPEATS, pick: int = PICK, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), group_id (smallest reachable over links), n_words.
 
     A row for each distinct pair of a doc_id and its words.
     """
-    small_batches(docs.sparkSession)
-    own = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("_text"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(text_or_empty(text)).alias("_th"), text_or_empty(text).alias("_text"))
     made = written(own.mapInArrow(_sketch_task(repeats, pick, shingle), _KEYS), "sketches")
-    classes = written(made.filter("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bag").alias("bag"), F.first("n_words").alias("n_words")), "classes")
-    rows = classes.select("id", F.posexplode("keys").alias("repeat", "key"))
-    least = rows.groupBy("repeat", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = written(rows.join(least, ["repeat", "key"]).join(classes.select("id", "n_words", "bag"), "id"), "met")
-    texts = written(own.join(met.select("id").distinct(), "id").join(classes.select("id", "h1", "h2"), "id").dropDuplicates(["id", "h1", "h2"]).select("id", "_text"), "texts")
-    parts = written(met.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct(), "parts")
-    for turn in range(TURNS):
-        # Members of a large group have a leader in each repeat; what the first repeats link isn't asked again.
-        some = met.filter(F.col("repeat") < FIRST) if turn == 0 else met.filter(f"size > {SMALL}") if turn > 1 else met
-        parts = united(parts, verified(_led(some, parts, turn, threshold), texts, threshold))
-        free_shuffles(docs.sparkSession)
-    rest = written(_rest(met, parts, threshold), "rest")
-    free_shuffles(docs.sparkSession)
-    for most, least in zip((BAG + 1, *STEPS), STEPS):
-        parts = united(parts, verified(_apart(rest.filter(f"shared >= {least} and shared < {most}"), parts), texts, threshold))
-        free_shuffles(docs.sparkSession)
-    links = parts.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    # A class with several ids under one id of another class needs no link of its own: ids are what is grouped.
-    same = made.filter("n_words > 0").join(classes.select("h1", "h2", F.col("id").alias("class_id")), ["h1", "h2"])
-    same = same.select("doc_id", "class_id", "n_words").distinct()
-    lone = made.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_words").distinct()
-    grouped = components(links.unionByName(same.filter("doc_id != class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))), "a", "b")
-    out = same.unionByName(lone).join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "class_id", F.coalesce("component", "doc_id").alias("group_id"), "n_words")
-
-
-def _placed(met: DataFrame, parts: DataFrame) -> DataFrame:
-    return met.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
-
-
-def _led(met: DataFrame, parts: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of each bucket's leader of this turn and the members of other parts that may be similar.
-
-    The first leader is the smallest member, later ones are drawn by a hash of id and turn. Lengths and bag
-    sketches are compared within the join, so it makes no more rows than may be similar.
-    """
-    placed = _placed(met, parts)
-    draw = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    top = placed.withColumn("draw", draw).groupBy("repeat", "key").agg(F.min("draw").alias("draw"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    leaders = placed.withColumn("draw", draw).join(top.select("repeat", "key", "draw"), ["repeat", "key", "draw"])
-    leaders = leaders.select("repeat", "key", F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("n_words").alias("n"), F.col("bag").alias("x"))
-    likely = (F.col("part") != F.col("part_a")) & (F.least("n", "n_words") >= threshold * F.greatest("n", "n_words") - 1e-9) & (_shared("x", "bag") >= LEAST_BAG)
-    on = (placed["repeat"] == leaders["repeat"]) & (placed["key"] == leaders["key"])
-    return placed.join(leaders, on & likely).select("a", F.col("id").alias("b")).distinct()
-
-
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose parts differ."""
-    for side in ("a", "b"):
-        pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
-    return pairs.filter("part_a != part_b").select("a", "b")
-
-
-def _rest(met: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, shared): all pairs of members of a bucket that aren't in one part and may be similar.
-
-    A bucket of at most BLOCK members is one unit. A larger one is cut by length, by whether a member is of the
-    bucket's largest part, and by a hash of the id; two blocks are a unit if their lengths allow the similarity.
-    """
-    at = ["repeat", "key"]
-    placed = _placed(met, parts)
-    sizes = placed.groupBy(*at, "part").agg(F.count("*").alias("n"))
-    apart = sizes.groupBy(*at).agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("many")).filter("many > 1")
-    rows = placed.join(apart.select(*at, F.col("top.part").alias("main")), at)
-    columns = ["id", "n_words", "part", "bag"]
-    small = rows.filter(f"size <= {BLOCK}").select(*columns, F.xxhash64(*at).alias("unit"), F.lit(True).alias("first"), F.lit(True).alias("second"))
-    # Of two lengths in steps of the threshold, those that allow the similarity are neighbours.
-    step = F.floor(F.log(F.col("n_words")) / (1e-6 - math.log(threshold)))
-    large = rows.filter(f"size > {BLOCK}").select(*at, *columns, step.alias("step"), (F.col("part") == F.col("main")).alias("is_main"))
-    kind = [*at, "step", "is_main"]
-    cuts = large.groupBy(*kind).agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
-    block = F.pmod(F.xxhash64("id", "repeat"), F.col("cuts")).alias("block")
-    large = written(large.join(cuts, kind).select(*kind, block, *columns), "blocks")
-    blocks = cuts.select(*kind, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("block"))
-    name = [*kind[2:], "block"]
-    other = blocks.select(*at, *[F.col(c).alias(f"{c}_2") for c in name])
-    mine, its = F.struct(*name), F.struct(*[f"{c}_2" for c in name])
-    units = blocks.join(other, at).filter((mine <= its) & (F.abs(F.col("step") - F.col("step_2")) <= 1) & ~(F.col("is_main") & F.col("is_main_2")))
-    units = written(units.withColumns({"unit": F.xxhash64(*at, mine, its), "own": mine == its}), "units")
-    left = large.join(units, [*kind, "block"]).select(*columns, "unit", F.lit(True).alias("first"), F.col("own").alias("second"))
-    theirs = units.filter("not own").select(*at, *[F.col(f"{c}_2").alias(c) for c in name], "unit")
-    right = large.join(theirs, [*kind, "block"]).select(*columns, "unit", F.lit(False).alias("first"), F.lit(True).alias("second"))
-    every = small.unionByName(left).unionByName(right)
-    return every.groupBy(F.pmod("unit", F.lit(PACKS)).alias("pack")).applyInArrow(_pairs_task(threshold), "a long, b long, shared int").distinct()
+    # Of each class, one row of the smallest doc_id: _th tells texts under one doc_id apart.
+    least = F.struct(F.col("doc_id").alias("doc"), "th", "keys", "bag", "n_words")
+    classes = made.filter("n_words > 0").groupBy("h1", "h2").agg(F.min(least).alias("c")).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "c.*")
+    classes = written(classes, "classes")
+    rows = classes.select("id", F.explode("keys").alias("key"))  # a key holds its repeat
+    met = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "met")
+    some = classes.join(met.select("id").distinct(), "id", "left_semi")
+    texts = written(own.join(some.select("id", "doc", "th"), (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th"))).dropDuplicates(["id"]).select("id", "_text"), "texts")
+    marks = written(some.select("id", F.col("n_words").alias("n"), "bag"), "marks")
+    free_shuffles(spark)
+    parts = linked(met, marks, texts, _verify_task(threshold), threshold, LEAST_BAG, STEPS)
+    same = made.join(classes.select("h1", "h2", F.col("id").alias("class"), F.col("doc").alias("class_id")), ["h1", "h2"]).filter("n_words > 0").select("doc_id", "class", "class_id", "n_words").distinct()
+    # Different texts under one doc_id: their classes are linked through it.
+    several = written(same.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.collect_set("class").alias("all")).filter("a < z").select("a", F.explode("all").alias("b")), "several")
+    if several.limit(1).count():
+        links = several.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        parts = written(components(links, "a", "b"), "parts")
+    placed = same.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    of_class = placed.groupBy("class", "component").agg(F.min("class_id").alias("doc"))
+    of_group = of_class.groupBy("component").agg(F.min("doc").alias("group_id"))
+    found = placed.join(of_class.join(of_group, "component").select("class", "group_id"), "class")
+    lone = made.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), "n_words").distinct()
+    return found.select("doc_id", "class_id", "group_id", "n_words").unionByName(lone)
 
 
 def near_dedup(docs: DataFrame, **options: object) -> DataFrame:
@@ -451,6 +334,8 @@ def near_dedup(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document: its class of equal words, its group, and whether it is the one that stays."""
+    """Per document: its class of equal words, its group, and whether it is the one that stays; rows without a doc_id stay."""
     found = groups(docs.select("doc_id", "text"))
-    return found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("group_id").alias("group_id")).withColumn("kept", F.col("doc_id") == F.col("group_id"))
+    found = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("group_id").alias("group_id")).withColumn("kept", F.col("doc_id") == F.col("group_id"))
+    none = F.lit(None).cast("long")
+    return found.unionByName(docs.filter("doc_id is null").select(none.alias("doc_id"), none.alias("class_id"), none.alias("group_id"), F.lit(True).alias("kept")))
