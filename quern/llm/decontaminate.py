@@ -9,16 +9,23 @@ Before streaming, numpy marks the words that start a gram of an item; a window c
 only lie in a run of marked words, so only those runs are streamed. This leaves the
 matches as they are and skips nearly all words.
 
-The automaton goes to every task. Items are cut into groups of at most GROUP_BYTES
-of text, so what is sent has a bound; with more items than that, the documents pass
-several automata one after another, and the spans of all of them are united.
+Items are cut into groups of at most GROUP_BYTES of text, each with an automaton of flat
+arrays. The packed automata go to every task, which opens one after another for a chunk of
+documents and unites what they find, so one open automaton's memory is all that a task
+needs; beyond SENT bytes of them, what is found is written and further passes follow.
 
 Defined results: null or wordless texts and items have no windows; repeated items
-count once for each distinct item_id; repeated documents are rows of their own.
+count once for each distinct item_id; an item without an id hits words but is neither counted
+nor named; repeated documents, and those without an id, are rows of their own. Columns of the
+input that clash with n_words, spans or items give way, in remove() none does. Empty tables
+give an empty result or no hits.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import lean, small_batches, text_or_empty
+from quern.llm.common import lean, small_batches, text_or_empty, written
 
 WINDOW = 10
 GRAM = 3
-#: Text of the items in one automaton.
-GROUP_BYTES = 4 << 20
+#: Text of the items in one automaton, text of documents that pass an open one, bytes of packed automata that are sent.
+GROUP_BYTES, CHUNK, SENT = 4 << 20, 8 << 20, 128 << 20
 #: What isn't a word's byte becomes a space, A-Z become a-z; UTF-8's other bytes belong to words.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,55 +50,80 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences. State 0 is the start; link, length and next are the usual ones."""
-
-    def __init__(self, sequences: list[list[int]]):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.items: list[set[int]] = [set()]  # of each state: sequences that hold its strings
-        self.whole: list[list[tuple[int, int]]] = [[]]  # (length, sequence) of those that are one of its strings entirely
-        ends: list[tuple[int, int]] = []
+    """Of several word sequences. State 0 is the start; link and length are the usual ones.
+
+    Most states have one next state, kept in two arrays; `more` holds the others' further ones. `whole` has, for some
+    states, the (length, sequence) of those that are one of its strings entirely. The sequences that hold a state's
+    strings of `window` words are items[first[state] : first[state + 1]], for states that have such strings.
+    """
+
+    def __init__(self, sequences: list[list[int]], window: int = WINDOW):
+        self.word, self.to, self.more = array("i", [-1]), array("i", [0]), {}
+        self.link, self.length, self.whole = array("i", [-1]), array("i", [0]), {}
+        ends, owner = array("i"), array("i")
         for i, sequence in enumerate(sequences):
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
-                ends.append((last, i))
+                ends.append(last)
+                owner.append(i)
             if sequence:
-                self.whole[last].append((len(sequence), i))
-        for state, i in ends:
-            while state > 0 and i not in self.items[state]:
-                self.items[state].add(i)
-                state = self.link[state]
-
-    def _new(self, length: int, link: int, step: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(step)
-        self.items.append(set())
-        self.whole.append([])
-        return len(self.link) - 1
+                self.whole.setdefault(last, []).append((len(sequence), i))
+        states, owners = np.array(ends, np.int64), np.array(owner, np.int64)
+        length, link = np.array(self.length, np.int64), np.array(self.link, np.int64)
+        some = length[states] >= window
+        states, owners = states[some], owners[some]
+        while len(up := np.flatnonzero(length[link[states]] >= window)):
+            states[up] = link[states[up]]
+        pairs = np.unique(states * max(1, len(sequences)) + owners)
+        self.items = (pairs % max(1, len(sequences))).astype(np.int32)
+        self.first = np.searchsorted(pairs // max(1, len(sequences)), np.arange(len(length) + 1)).astype(np.int32)
+
+    def step(self, state: int, word: int) -> int:
+        """The next state, or -1."""
+        if self.word[state] == word:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(word, -1) if more else -1
+
+    def _put(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, to
+        else:
+            self.more.setdefault(state, {})[word] = to
 
     def _split(self, p: int, word: int, q: int) -> int:
-        clone = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        clone = len(self.link)
+        self.word.append(self.word[q])
+        self.to.append(self.to[q])
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
+        self.length.append(self.length[p] + 1)
+        self.link.append(self.link[q])
         self.link[q] = clone
-        own = [x for x in self.whole[q] if x[0] <= self.length[clone]]
-        self.whole[q] = [x for x in self.whole[q] if x[0] > self.length[clone]]
-        self.whole[clone] = own
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = clone
+        own = self.whole.pop(q, [])
+        for state, part in ((clone, [x for x in own if x[0] <= self.length[clone]]), (q, [x for x in own if x[0] > self.length[clone]])):
+            if part:
+                self.whole[state] = part
+        while p >= 0 and self.step(p, word) == q:
+            self._put(p, word, clone)
             p = self.link[p]
         return clone
 
     def _extend(self, last: int, word: int) -> int:
-        q = self.next[last].get(word)
-        if q is not None:
+        q = self.step(last, word)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, word, q)
-        new, p = self._new(self.length[last] + 1, 0, {}), last
-        while p >= 0 and word not in self.next[p]:
-            self.next[p][word] = new
+        new, p = len(self.link), last
+        self.word.append(-1)
+        self.to.append(0)
+        self.length.append(self.length[last] + 1)
+        self.link.append(0)
+        while p >= 0 and self.step(p, word) < 0:
+            self._put(p, word, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][word]
+            q = self.step(p, word)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
         return new
 
@@ -99,11 +131,13 @@ class SuffixAutomaton:
         """Of each word: its place, the state of the longest match that ends there, and that match's length."""
         state = matched = 0
         for at, word in enumerate(words):
-            while state and word not in self.next[state]:
+            following = self.step(state, word)
+            while state and following < 0:
                 state = self.link[state]
                 matched = self.length[state]
-            if word in self.next[state]:
-                state, matched = self.next[state][word], matched + 1
+                following = self.step(state, word)
+            if following >= 0:
+                state, matched = following, matched + 1
             yield at, state, matched
 
 
@@ -115,7 +149,7 @@ class Matcher:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary))
         sequences = [[self.vocabulary[x] for x in w] for _, w in items]
-        self.automaton = SuffixAutomaton(sequences)
+        self.automaton = SuffixAutomaton(sequences, window)
         self.short = [len(w) < window for _, w in items]
         self.least = min((min(len(s), window) for s in sequences), default=window)
         self.gram = min(GRAM, self.least)
@@ -135,44 +169,61 @@ class Matcher:
             h ^= h >> np.uint64(29)
         return h * _FOLD
 
-    def spans(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(begin, end, item index) of every occurrence of a window that is the last of its item there."""
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """(begin, end) of occurrences of windows, which may overlap, and the indices of their items."""
+        spans: list[tuple[int, int]] = []
+        found: set[int] = set()
         if len(words) < self.least or not self.ids:
-            return []
+            return spans, found
         ids = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
         h = self._grams(ids)
         marked = self.bits[(h >> np.uint64(44)).astype(np.int64)]
         some = np.flatnonzero(marked)
         if not len(some):
-            return []
+            return spans, found
         at = np.searchsorted(self.grams, h[some])
         some = some[self.grams[np.minimum(at, len(self.grams) - 1)] == h[some]]
-        cuts = np.flatnonzero(np.diff(some) > 1) + 1
-        out = []
-        for run in np.split(some, cuts):
+        seen: set[int] = set()
+        for run in np.split(some, np.flatnonzero(np.diff(some) > 1) + 1):
             if len(run) >= self.least - self.gram + 1:
                 begin = int(run[0])
-                out += ((begin + a, begin + b, i) for a, b, i in self._stream(ids[begin : int(run[-1]) + self.gram].tolist()))
-        return out
+                self._stream(ids[begin : int(run[-1]) + self.gram].tolist(), begin, spans, found, seen)
+        return spans, found
 
-    def _stream(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
-        auto, window = self.automaton, self.window
+    def _stream(self, ids: list[int], begin: int, spans: list[tuple[int, int]], found: set[int], seen: set[int]) -> None:
+        """seen: states whose items are in found already."""
+        auto, window, short = self.automaton, self.window, self.short
+        length, link, whole = auto.length, auto.link, auto.whole
         for at, state, matched in auto.stream(ids):
             if matched < self.least:
                 continue
+            end = begin + at + 1
             if matched >= window:
                 s = state
-                while auto.length[auto.link[s]] >= window:
-                    s = auto.link[s]
-                for i in auto.items[s]:
-                    if not self.short[i]:
-                        yield at + 1 - window, at + 1, i
+                while length[link[s]] >= window:
+                    s = link[s]
+                spans.append((end - window, end))
+                if s not in seen:
+                    seen.add(s)
+                    found.update(auto.items[auto.first[s] : auto.first[s + 1]].tolist())
             s = state
             while s > 0:
-                for n, i in auto.whole[s]:
-                    if self.short[i] and n <= matched:
-                        yield at + 1 - n, at + 1, i
-                s = auto.link[s]
+                for n, i in whole.get(s, ()):
+                    if short[i] and n <= matched:
+                        spans.append((end - n, end))
+                        found.add(i)
+                s = link[s]
+
+
+def united_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs that overlapping or touching spans cover."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _groups(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
@@ -189,50 +240,72 @@ def _groups(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]
 
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """docs with n_words long and spans array<struct<begin, end, item>>: words [begin, end) are an occurrence."""
+    """docs with n_words long, spans array<struct<begin, end>>: runs of words [begin, end) that windows cover, and items
+    array<string>: the ids of the items that these windows are of, sorted."""
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    base = [f for f in docs.schema.fields if f.name not in ("n_words", "spans", "_text")]
+    base = [f for f in docs.schema.fields if f.name not in ("n_words", "spans", "items", "_text")]
     names = [f.name for f in base]  # clashing columns of the input give way
-    kind = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("item", T.StringType())]))
-    schema = T.StructType([*base, T.StructField("_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", kind)])
-    arrow = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
-    out = docs.select(*names, text_or_empty().alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(kind).alias("spans"))
+    kind = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    added = [T.StructField("_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", kind), T.StructField("items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*base, *added])
+    arrow = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    out = docs.select(*names, text_or_empty().alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(kind).alias("spans"), F.array().cast("array<string>").alias("items"))
+    k = len(names)
 
     def step(shared):
+        def chunk(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [words_of(t) for b in batches for t in b.column(k).to_pylist()]
+            spans = [[(s["begin"], s["end"]) for s in x] for b in batches for x in b.column(k + 2).to_pylist()]
+            items = [set(x) for b in batches for x in b.column(k + 3).to_pylist()]
+            for packed in shared.value:
+                matcher = pickle.loads(zlib.decompress(packed))
+                for words, own, names_ in zip(rows, spans, items, strict=True):
+                    more, found = matcher.hits(words)
+                    own += more
+                    names_.update(matcher.ids[i] for i in found if matcher.ids[i] is not None)
+                del matcher
+            at = 0
+            for b in batches:
+                own = range(at, at + b.num_rows)
+                at += b.num_rows
+                runs = pa.array([[{"begin": x, "end": y} for x, y in united_runs(spans[i])] for i in own], arrow)
+                sizes, found = pa.array([len(rows[i]) for i in own], pa.int64()), pa.array([sorted(items[i]) for i in own], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k + 1)), sizes, runs, found], names=schema.names)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = shared.value
+            held, size = [], 0
             for batch in batches:
-                k, sizes, spans = len(names), [], []
-                for text, before in zip(batch.column(k), batch.column(k + 2).to_pylist(), strict=True):
-                    words = words_of(text.as_py())
-                    sizes.append(len(words))
-                    spans.append(before + [{"begin": a, "end": b, "item": matcher.ids[i]} for a, b, i in matcher.spans(words)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k + 1)), pa.array(sizes, pa.int64()), pa.array(spans, arrow)], names=schema.names)
+                held.append(batch)
+                size += batch.column(k).nbytes
+                if size >= CHUNK:
+                    yield from chunk(held)
+                    held, size = [], 0
+            if held:
+                yield from chunk(held)
             lean()
 
         return run
 
-    none = True
+    passes: list[list[bytes]] = [[]]
     for group in _groups(benchmark, group_bytes):
-        none = False
-        out = out.mapInArrow(step(context.broadcast(Matcher([(i, words_of(t)) for i, t in group], window))), schema)
-    if none:
-        out = out.mapInArrow(step(context.broadcast(Matcher([], window))), schema)
-    return out.drop("_text")
+        packed = zlib.compress(pickle.dumps(Matcher([(i, words_of(t)) for i, t in group], window)), 1)
+        if passes[-1] and sum(map(len, passes[-1])) + len(packed) > SENT:
+            out = written(out.mapInArrow(step(context.broadcast(passes.pop())), schema), "matched")
+            passes.append([])
+        passes[-1].append(packed)
+    return out.mapInArrow(step(context.broadcast(passes[-1])), schema).drop("_text")
 
 
 def hit_words(spans: str = "spans"):
-    """How many words lie in a span; spans overlap."""
-    by_begin = F.array_sort(F.transform(spans, lambda s: F.struct(s["begin"].alias("b"), s["end"].alias("e"))))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("e"))
-    return F.aggregate(by_begin, start, lambda acc, s: F.struct((acc["n"] + F.greatest(s["e"] - F.greatest(s["b"], acc["e"]), F.lit(0)).cast("long")).alias("n"), F.greatest(s["e"], acc["e"]).alias("e")), lambda acc: acc["n"])
+    """How many words the runs hold."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: words, hit words, items with an occurring window, and whether there are any."""
-    items = F.array_sort(F.array_distinct(F.col("spans.item")))
-    return match(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", hit_words().alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    out = match(docs.select("doc_id", "text"), benchmark)
+    return out.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, most_words: int = 0, most_coverage: float = 0.0, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
