@@ -3,15 +3,15 @@
 Vectors are compared only with vectors of the same label. Unit vectors are assigned
 to the nearest of K centroids (spherical k-means in numpy, fitted on at most SAMPLE
 rows; every row is assigned). The search within cells is exact: if y lies in cell c
-and cos(x, y) >= t, then |x - y| <= s = sqrt(2 - 2t) and so
-x.home - x.c <= s * |home - c|; x is sent as a probe to exactly the cells for which
-that holds. Each cell is cut into blocks of BLOCK rows, and a task multiplies one
+and cos(x, y) >= t, then |x - y| <= s = sqrt(2 - 2t), and as y is nearest to c,
+x.d - x.c <= s * |d - c| for every centroid d; x is sent as a probe to exactly the cells
+for which that holds. Each cell is cut into blocks of BLOCK rows, and a task multiplies one
 block of probes with one block of members, so a hot cell is many tasks of bounded
 size. A block gives link counts for its rows and, instead of all pairs, a spanning
 set of links for each of its connected parts; distributed union-find joins them.
 
-K grows with the row count up to CELLS, so the centroids that every task gets have a
-fixed bound.
+K follows the rows of the largest label, from 2 up to CELLS, so the centroids that every
+task gets have a fixed bound; fewer than LEAST vectors are one cell.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label, link with nothing and are kept; vectors of
@@ -36,6 +36,7 @@ THRESHOLD = 0.98
 SAMPLE = 20_000
 CELLS = 256
 CELL_ROWS = 2048
+LEAST = 16
 BLOCK = 1024
 
 
@@ -59,9 +60,11 @@ def cells_of(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray
     """Home cell of each unit vector, and a matrix of the cells that it must probe (home included)."""
     sims = x @ c.T
     home = sims.argmax(1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-    gap = sims[np.arange(len(x)), home][:, None] - sims
-    return home, gap <= np.sqrt(2 - 2 * threshold) * apart[home] + 1e-9
+    reach = np.sqrt(2 - 2 * threshold) * np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) + 1e-9
+    probes = np.ones(sims.shape, bool)
+    for d in range(len(c)):
+        probes &= sims[:, [d]] - sims <= reach[d]
+    return home, probes
 
 
 def _valid(embedding: str, label: str):
@@ -74,9 +77,9 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id
     """(counts, links): counts has row, n_links; links has a, b: vec_ids whose links span every linked group."""
     spark = vectors.sparkSession
     good = vectors.filter(_valid(embedding, label)).select(F.col(vec_id).cast("long").alias("id"), F.concat_ws("/", F.col(label).cast("string"), F.size(embedding).cast("string")).alias("part"), F.transform(embedding, lambda x: x.cast("double")).alias("v"))
-    n = good.count()
+    most = good.groupBy("part").count().agg(F.max("count").alias("n")).first().n or 0
     sizes = [r[0] for r in good.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").limit(64).collect()]
-    k = int(min(cells, max(1, n // CELL_ROWS)))
+    k = 1 if most < LEAST else int(min(cells, max(2, -(-most // CELL_ROWS))))
     models: dict[int, np.ndarray] = {}
     for size in sizes if k > 1 else []:
         rows = good.filter(F.size("v") == size).orderBy(F.xxhash64("id")).limit(SAMPLE // len(sizes)).select("v").collect()
