@@ -54,9 +54,8 @@ SHORT_BANDS, SHORT_ROWS = 13, 3
 #: Lines of up to SHORT[1] characters sign every shingle, lines of over SHORT[0] and up to LONG[1] one in four, lines
 #: of over LONG[0] one in sixteen. Characters that repeat what stands one to three places before don't count.
 SHORT, LONG = (100, 125), (320, 400)
-#: Draws of the bag of a line's shingles, and how many of them two lines must share to be verified: a similarity of
-#: THRESHOLD gives 32 on average, and fewer than LEAST in one case of 100,000.
-BAG, LEAST, STEPS = 40, 21, (31,)
+#: Draws of the bag of a line's shingles: the least of those that begin with each of 128 values.
+BAG = 128
 #: Characters that are parsed together, characters after which a task sends what it has, bytes of text of a bucket.
 BLOCK, FLUSH, BUCKET = 1 << 19, 16 << 20, 16 << 20
 _NULL_ID = 2**63 - 1
@@ -330,13 +329,16 @@ _KNOWN_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bag", pa.list
 
 
 def bags(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of shingles of each line, and BAG MinHash draws of them, a byte each."""
+    """The number of shingles of each line, and a byte for each of BAG ranges of their hashes: of the least in it, 0 for none."""
     flat, begin, sizes = _points([x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\n") for x in lines])
-    low = _mix32(_grams(flat, SHINGLE))
-    low = low[ragged(np.arange(len(low)), begin, sizes - SHINGLE + 1)]
-    edges = np.cumsum(sizes - SHINGLE + 1) - (sizes - SHINGLE + 1)
-    draws = [(np.minimum.reduceat(low ^ _FLIPS[1000 + d], edges) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8) for d in range(BAG)]
-    return np.fromiter((len(_set(x)) for x in lines), np.int32, len(lines)), np.stack(draws, 1).view(np.int8)
+    counts = sizes - SHINGLE + 1
+    low = _mix32(_grams(flat, SHINGLE))[ragged(np.arange(max(0, len(flat) - SHINGLE + 1)), begin, counts)]
+    every = np.unique(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(32) | low)
+    cell = (every >> np.uint64(25)).astype(np.int64)  # line and range
+    first = _edges(cell)
+    out = np.zeros(len(lines) * BAG, np.uint8)
+    out[cell[first]] = every[first].astype(np.uint32) * np.uint32(0x9E3779B1) % np.uint32(255) + np.uint32(1)
+    return np.bincount(cell >> 7, minlength=len(lines)).astype(np.int32), out.reshape(-1, BAG).view(np.int8)
 
 
 def _fetch(key, docs, asked):
@@ -391,7 +393,7 @@ def repeats(keyed: DataFrame, buckets: int, threshold: float = THRESHOLD, bands:
     free_shuffles(spark)
     sizes = met.groupBy("key").agg(F.count("*").alias("size"))
     members = written(met.join(sizes, "key"), "met")
-    parts = linked(members, lines.select("id", "n", "bag"), lines.select("id", "_text"), _verify_task(threshold), threshold, LEAST, STEPS)
+    parts = linked(members, lines.select("id", "n", "bag"), lines.select("id", "_text"), _verify_task(threshold), threshold, threshold)
     # The first occurrence of each line of a component goes, but for the first of them.
     at = F.struct("doc", "place", "name")
     placed = known.join(parts.select(F.col("node").alias("id"), "component"), "id").select("component", at.alias("at"))

@@ -2,7 +2,9 @@
 
 `met` has a row for each member of a bucket of two or more: key, id, size (members of the
 bucket). `marks` has id, n (elements) and bag (a byte for each of some MinHash draws over
-the elements), `texts` has id and _text. A verify task says of pairs of texts whether they are similar;
+the elements, 0 for a draw that has none), `texts` has id and _text. Bags are compared at
+`alike`, a Jaccard similarity of the elements that similar texts have at least: a pair
+passes if it shares no fewer draws than that says less SIGMAS standard deviations. A verify task says of pairs of texts whether they are similar;
 similar members have element counts within the threshold's ratio of each other.
 
 1. Leaders: every member is compared with its bucket's leader, first in a part of the
@@ -35,6 +37,8 @@ TURNS = 1
 BLOCK = 1024
 #: Rows of one call of the comparison in full.
 PACK = 4096
+#: One similar pair in 30,000 at the very threshold is further below.
+SIGMAS = 4.0
 
 
 def verified(pairs: DataFrame, texts: DataFrame, verify: Callable) -> DataFrame:
@@ -44,21 +48,27 @@ def verified(pairs: DataFrame, texts: DataFrame, verify: Callable) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def _shared(x: str, y: str):
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
+def _least(draws, alike: float):
+    """How many of the draws that either has a pair shares at least; a Column or an array."""
+    root = draws**0.5 if isinstance(draws, np.ndarray) else F.sqrt(draws)
+    return alike * draws - SIGMAS * (alike * (1 - alike)) ** 0.5 * root
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many draws each row of x shares with each row of y."""
-    if len(x) * len(y) <= 1 << 10:
-        return (x[:, None] == y[None]).sum(2)
-    out = np.zeros((len(x), len(y)), np.uint8)
+def _passes(x: str, y: str, alike: float):
+    count = lambda f: F.aggregate(F.zip_with(x, y, lambda p, q: f(p, q).cast("int")), F.lit(0), lambda n, e: n + e)
+    return count(lambda p, q: (p == q) & (p != 0)) >= _least(count(lambda p, q: (p != 0) | (q != 0)), alike)
+
+
+def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many draws each row of x shares with each row of y, and how many either has."""
+    same, either = np.zeros((len(x), len(y)), np.uint8), np.zeros((len(x), len(y)), np.uint8)
     for p, q in zip(x.T, y.T, strict=True):
-        out += p[:, None] == q[None]
-    return out
+        same += (p[:, None] == q[None]) & (p != 0)[:, None]
+        either += (p != 0)[:, None] | (q != 0)[None]
+    return same, either
 
 
-def _pairs_task(threshold: float, least: int):
+def _pairs_task(threshold: float, alike: float):
     """Pairs (a < b) of the first and second members of each unit whose parts differ and that may be similar."""
 
     def run(key, table):
@@ -74,9 +84,9 @@ def _pairs_task(threshold: float, least: int):
             for i in (x[at : at + 256] for at in range(0, len(x), 256)):
                 low, high = np.searchsorted(long, [threshold * n[i[0]] - 1e-6, n[i[-1]] / threshold + 1e-6])
                 j = y[low:high]
-                shared = _alike(bag[i], bag[j])
-                p, q = np.nonzero(shared >= least)
-                shared, p, q = shared[p, q], i[p], j[q]
+                same, either = _counted(bag[i], bag[j])
+                p, q = np.nonzero(same >= _least(either.astype(np.float32), alike))
+                shared, p, q = 100.0 * same[p, q] / np.maximum(either[p, q], 1), i[p], j[q]
                 ok = (part[p] != part[q]) & (np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]) - 1e-9)
                 ok &= (ids[p] < ids[q]) | ~(second[p] & first[q])  # within one block, each pair once
                 p, q = p[ok], q[ok]
@@ -101,12 +111,12 @@ def _led(met: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
     return placed.join(leaders, (F.col("key") == F.col("k")) & (F.col("part") != F.col("part_a"))).select("a", F.col("id").alias("b")).distinct()
 
 
-def _likely(pairs: DataFrame, marks: DataFrame, threshold: float, least: int) -> DataFrame:
+def _likely(pairs: DataFrame, marks: DataFrame, threshold: float, alike: float) -> DataFrame:
     """Of the pairs (a, b), those whose counts and bags allow the similarity; no text is moved for the others."""
     for side in ("a", "b"):
         pairs = pairs.join(marks.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bag").alias(f"bag_{side}")), side)
     counts = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    return pairs.filter(counts & (_shared("bag_a", "bag_b") >= least)).select("a", "b")
+    return pairs.filter(counts & _passes("bag_a", "bag_b", alike)).select("a", "b")
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -116,7 +126,7 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.filter("part_a != part_b").select("a", "b")
 
 
-def _rest(met: DataFrame, marks: DataFrame, parts: DataFrame, threshold: float, least: int) -> DataFrame:
+def _rest(met: DataFrame, marks: DataFrame, parts: DataFrame, threshold: float, alike: float) -> DataFrame:
     """(a, b, shared): all pairs of members of a bucket that aren't in one part and may be similar.
 
     A bucket of at most BLOCK members is one unit. A larger one is cut by count, by whether a member is of the
@@ -148,26 +158,26 @@ def _rest(met: DataFrame, marks: DataFrame, parts: DataFrame, threshold: float,
         right = large.join(theirs, [*kind, "block"]).select(*columns, "unit", F.lit(False).alias("first"), F.lit(True).alias("second"))
         every = written(small.unionByName(left).unionByName(right), "compared")
     packs = max(1, every.count() // PACK)
-    return every.groupBy(F.pmod("unit", F.lit(packs)).alias("pack")).applyInArrow(_pairs_task(threshold, least), "a long, b long, shared int").distinct()
+    return every.groupBy(F.pmod("unit", F.lit(packs)).alias("pack")).applyInArrow(_pairs_task(threshold, alike), "a long, b long, shared int").distinct()
 
 
-def linked(met: DataFrame, marks: DataFrame, texts: DataFrame, verify: Callable, threshold: float, least: int, steps: tuple[int, ...]) -> DataFrame:
+def linked(met: DataFrame, marks: DataFrame, texts: DataFrame, verify: Callable, threshold: float, alike: float, steps: tuple[int, ...] = (90, 80)) -> DataFrame:
     """node, component of every member, all links between members of a bucket verified.
 
-    least: draws of the bags that similar texts share. steps: the likeliest pairs are verified first, those that
-    share so many draws; what they link isn't verified again.
+    steps: the likeliest pairs are verified first, those that share so many of a hundred draws; what they link isn't
+    verified again.
     """
     spark = met.sparkSession
     parts = written(met.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct(), "parts")
     for turn in range(TURNS + 1):
         some = met.filter(F.pmod("key", F.lit(FIRST)) == 0) if turn == 0 else met
-        pairs = written(_likely(_led(some, parts, turn), marks, threshold, least).hint("rebalance"), "pairs")
+        pairs = written(_likely(_led(some, parts, turn), marks, threshold, alike).hint("rebalance"), "pairs")
         last, parts = parts, united(parts, verified(pairs, texts, verify))
         drop_written(pairs)
         drop_written(last)
     free_shuffles(spark)
-    rest = written(_rest(met, marks, parts, threshold, least), "rest")
-    for most, low in zip((1 << 30, *steps), (*steps, least)):
+    rest = written(_rest(met, marks, parts, threshold, alike), "rest")
+    for most, low in zip((1 << 30, *steps), (*steps, alike)):
         parts = united(parts, verified(_apart(rest.filter(f"shared >= {low} and shared < {most}"), parts).hint("rebalance"), texts, verify))
     free_shuffles(spark)
     return parts

@@ -41,12 +41,8 @@ from quern.llm.substrings import _TABLE, _power, _powers, mix
 #: cases, one with 15 % replaced in 99 of 100.
 SHINGLE, PICK, REPEATS, THRESHOLD = 5, 2, 84, 0.8
 BLOCK_WORDS = 1 << 17
-#: Draws of the bag sketch, and how many of them two documents must share to be verified. A similarity of 0.8
-#: needs a Jaccard similarity of 2/3 or more on labelled words, so 32 draws are shared on average and fewer
-#: than LEAST_BAG by about one borderline pair in 100,000.
-BAG, LEAST_BAG = 48, 18
-#: Draws of the bag sketch that the pairs of the first step of verification in full share at least.
-STEPS = (30,)
+#: Draws of the bag sketch. A similarity of 0.8 needs a Jaccard similarity of ALIKE or more on labelled words.
+BAG, ALIKE = 64, 2 / 3
 #: Pairs of texts whose words are hashed together.
 PAIRS = 128
 _FOLD = np.array(bytearray(WORDS), np.uint8)
@@ -118,7 +114,7 @@ def sketches(words: np.ndarray, counts: np.ndarray, repeats: int = REPEATS, pick
 
 
 def bags(words: np.ndarray, counts: np.ndarray, draws: int = BAG) -> np.ndarray:
-    """A byte for each draw: MinHash of each text's labelled words, the rest of its order left out."""
+    """A byte from 1 on for each draw: MinHash of each text's labelled words, the rest of its order left out."""
     n = len(counts)
     out = np.zeros((n, draws), np.int8)
     some = np.flatnonzero(counts)
@@ -128,7 +124,7 @@ def bags(words: np.ndarray, counts: np.ndarray, draws: int = BAG) -> np.ndarray:
     edges = (np.cumsum(counts) - counts)[some]
     for r in range(draws):
         least = np.minimum.reduceat((labelled ^ _SEEDS[-1 - 2 * r]) * (_SEEDS[-2 - 2 * r] | np.uint64(1)), edges)
-        out[some, r] = (mix(least) & np.uint64(255)).astype(np.uint8).view(np.int8)
+        out[some, r] = (mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8).view(np.int8)
     return out
 
 
@@ -304,7 +300,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, repeats: int = REPEATS
     texts = written(own.join(some.select("id", "doc", "th"), (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th"))).dropDuplicates(["id"]).select("id", "_text"), "texts")
     marks = written(some.select("id", F.col("n_words").alias("n"), "bag"), "marks")
     free_shuffles(spark)
-    parts = linked(met, marks, texts, _verify_task(threshold), threshold, LEAST_BAG, STEPS)
+    parts = linked(met, marks, texts, _verify_task(threshold), threshold, ALIKE)
     same = made.join(classes.select("h1", "h2", F.col("id").alias("class"), F.col("doc").alias("class_id")), ["h1", "h2"]).filter("n_words > 0").select("doc_id", "class", "class_id", "n_words").distinct()
     # Different texts under one doc_id: their classes are linked through it.
     several = written(same.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.collect_set("class").alias("all")).filter("a < z").select("a", F.explode("all").alias("b")), "several")
