@@ -39,3 +39,25 @@ def quality_checks(stats: DataFrame, least_rate: float = 0.8, most_distance: flo
     rate, d = F.col("src_rate"), F.col("mean_distance")
     judge = lambda ok, near: F.when(ok, "PASS").when(near, "WARN").otherwise("FAIL")
     return stats.select(judge(rate >= least_rate, rate >= least_rate / 2).alias("match_rate"), judge(d <= most_distance, d <= 2 * most_distance).alias("distance"), judge(F.col("n_unmatched_ref") == 0, F.col("ref_rate") > 0.5).alias("unmatched"))
+
+
+def match_checks(matched: DataFrame, n_detected: int, n_listed: int, d: str = "match_distance", a: str = "size_detected", b: str = "size") -> DataFrame:
+    """check, status, detail: do the numbers agree, are most matches good, do the sizes go together, is anything left over?"""
+    kind = match_quality(F.col(d))
+    share = lambda k: F.avg((kind == k).cast("double"))
+    m = matched.agg(F.count("*").alias("n"), share("good").alias("good"), share("uncertain").alias("uncertain"), share("poor").alias("poor"), F.corr(a, b).alias("r"))
+    off = abs(n_detected - n_listed)
+    status = {
+        "Count match": F.lit("PASS" if not off else "WARN" if off <= 5 else "FAIL"),
+        "Match quality distribution": F.when(F.col("good") > 0.8, "PASS").when(F.col("good") > 0.5, "WARN").otherwise("FAIL"),
+        "Size correlation": F.when(F.col("r") > 0.9, "PASS").otherwise("WARN"),
+        "Unmatched particles": F.when(F.col("n") == n_detected, "PASS").otherwise("WARN"),
+    }
+    detail = {
+        "Count match": F.lit(f"Detected: {n_detected}, listed: {n_listed} ({n_detected - n_listed:+d})"),
+        "Match quality distribution": F.format_string("Good: %.0f%%, Uncertain: %.0f%%, Poor: %.0f%%", 100 * F.col("good"), 100 * F.col("uncertain"), 100 * F.col("poor")),
+        "Size correlation": F.format_string("r = %.3f", F.col("r")),
+        "Unmatched particles": F.format_string(f"%d of {n_detected} detected particles matched", F.col("n")),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), status[k].alias("status"), detail[k].alias("detail")) for k in status]))
+    return m.select(rows.alias("x")).select("x.*")

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.graph import labelled
+from quern.functions.geometry import pixel_to_um
+from quern.operators.graph import checkpointed, labelled
+from quern.operators.order import numbered
 
 
 def gray_mean(r: Column, g: Column, b: Column) -> Column:
@@ -79,6 +81,11 @@ def auto_trim(objects: DataFrame, expected: int, size: str = "area_px") -> DataF
     return objects.filter(F.col(size) >= cut)
 
 
+def quarter_turned(pixels: DataFrame, width: int) -> DataFrame:
+    """The image turned by 90 degrees: its last column becomes the first row."""
+    return pixels.select((width - 1 - F.col("col")).alias("row"), F.col("row").alias("col"), "value")
+
+
 def gaussian(tile: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
     """Separable Gaussian smoothing with mirrored edges."""
     r = int(truncate * sigma + 0.5)
@@ -145,3 +152,105 @@ def tuned_threshold(pixels: DataFrame, width: int, target: int, least: int, low:
             break
         low, high = (mid, high) if n > target else (low, mid)
     return round(best, 1)
+
+
+def sized(objects: DataFrame, least_px: int = 15, least_um: float = 20.0, size: str = "feret_max_um") -> DataFrame:
+    """Objects of enough pixels and, where the size is known in micrometres, of enough size."""
+    return objects.filter((F.col("area_px") >= least_px) & (F.col(size) >= least_um))
+
+
+def r_properties(labelled_pixels: DataFrame, value: str = "value", *by: str) -> DataFrame:
+    """Per component: mean and extreme rows and columns, size and mean intensity; rows and columns count from 1."""
+    out = labelled_pixels.groupBy(*by, "label").agg(F.count("*").alias("area_px"), F.avg(F.col("row") + 1).alias("cy"), F.avg(F.col("col") + 1).alias("cx"), F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max"), F.avg(value).alias("mean_intensity"))
+    height, width = F.col("row_max") - F.col("row_min") + 1, F.col("col_max") - F.col("col_min") + 1
+    return out.withColumn("bbox_h", height).withColumn("bbox_w", width)
+
+
+def placed_objects(objects: DataFrame, height: int, width: int, bounds: tuple[float, float, float, float] | None, prefix: str, source: str, step: int = 1) -> DataFrame:
+    """Particle columns of r_properties(): places in micrometres within the bounds (x_min, x_max, y_min, y_max), y upwards.
+
+    Without bounds places stay pixels. Ids count in the order of labels.
+    """
+    x0, x1, y0, y1 = bounds or (0.0, float(width), 0.0, float(height))
+    sx, sy = (x1 - x0) / width * step, (y1 - y0) / height * step
+    x = pixel_to_um(F.col("cx"), x0, x1 - x0, width, step)
+    y = pixel_to_um(F.col("cy"), y0, y1 - y0, height, step, flip=True) if bounds else pixel_to_um(F.col("cy"), y0, y1 - y0, height, step)
+    top, low = F.greatest("bbox_h", "bbox_w") * max(sx, sy), F.least("bbox_h", "bbox_w") * max(sx, sy)
+    out = objects.select("label", "area_px", x.alias("x_um"), y.alias("y_um"), (F.col("area_px") * sx * sy).alias("area_um2"), top.alias("major_um"), low.alias("minor_um"), low.alias("feret_min_um"), top.alias("feret_max_um"))
+    ids = numbered(out, "_n", "label")
+    return ids.select((F.col("_n") - 1).cast("long").alias("row_idx"), F.concat(F.lit(prefix), F.col("_n")).alias("particle_id"), "area_px", "x_um", "y_um", "area_um2", "major_um", "minor_um", "feret_min_um", "feret_max_um", F.lit(None).cast("string").alias("material"), F.lit(None).cast("double").alias("quality"), F.lit(source).alias("source_file"))
+
+
+def extracted(pixels: DataFrame, height: int, width: int, bounds: tuple[float, float, float, float] | None = None, expected: int = 0, downsample: int = 1, radius: int = 15, offset: float = 25.0, least_px: int = 4) -> DataFrame:
+    """Adaptive segmentation: objects that differ from their local mean by more than offset, as particles."""
+    small = downsampled(pixels, downsample) if downsample > 1 else pixels
+    across = -(-width // downsample)
+    fg = box_mean(small, radius).filter(F.abs(F.col("value") - F.col("local")) > offset)
+    found = r_properties(components(fg, across).join(fg, ["row", "col"])).filter(F.col("area_px") >= least_px)
+    particles = placed_objects(found, height, width, bounds, "IMG_", "image", downsample)
+    return auto_trim(particles, expected, "feret_max_um") if expected else particles
+
+
+def extracted_by_saturation(pixels: DataFrame, height: int, width: int, bounds: tuple[float, float, float, float] | None = None, expected: int = 0) -> DataFrame:
+    """Objects of saturated, not too dark colour (r, g, b in 0..1), as particles of at least 15 pixels and 20 micrometres."""
+    fg = pixels.filter(is_saturated(F.col("r"), F.col("g"), F.col("b"))).withColumn("value", F.greatest("r", "g", "b"))
+    found = r_properties(components(fg.select("row", "col"), width).join(fg, ["row", "col"])).filter("area_px >= 15")
+    particles = sized(placed_objects(found, height, width, bounds, "LDIR_IMG_", "LDIR_image"))
+    return auto_trim(particles, expected, "feret_max_um") if expected else particles
+
+
+def mode_of(pixels: DataFrame, limit: float = 0.15) -> str:
+    """saturation for images whose mean saturation is over the limit, else adaptive."""
+    mean = pixels.agg(F.avg(saturation(F.col("r"), F.col("g"), F.col("b"))).alias("s")).first().s
+    return "saturation" if (mean or 0.0) > limit else "adaptive"
+
+
+def full_pipeline(gray: DataFrame, height: int, width: int, rows: int = 4, cols: int = 4, sigma: float = 30.0, threshold: float = 25.0, least: int = 20, target: int = 0) -> tuple[DataFrame, float]:
+    """(objects, threshold used): background off by tile, one threshold for the image (tuned to target objects if that is
+    over 0), components over tile edges, properties with the tile that each centroid is in."""
+    flat = checkpointed(corrected(gray, height, width, rows, cols, sigma))
+    used = tuned_threshold(flat, width, target, least) if target > 0 else threshold
+    found = detected(flat, width, used, least)
+    th, tw = height // rows, width // cols
+    tile = lambda c, n, most: F.least(F.floor(F.col(c) / n), F.lit(most - 1)).cast("int")
+    found = found.withColumn("tile_row", tile("centroid_y", th, rows)).withColumn("tile_col", tile("centroid_x", tw, cols))
+    return found.withColumn("local_y", F.col("centroid_y") - F.col("tile_row") * th).withColumn("local_x", F.col("centroid_x") - F.col("tile_col") * tw), used
+
+
+def third_image(pixels: DataFrame, height: int, width: int, bounds: tuple[float, float, float, float] | None = None, expected: int = 0) -> DataFrame:
+    """Particles of the third instrument's image: the background pipeline first; if it finds none, by saturation or adaptively."""
+    gray = pixels.select("row", "col", (gray_weighted(F.col("r"), F.col("g"), F.col("b")) * 255).alias("value"))
+    found, _ = full_pipeline(gray, height, width, target=expected)
+    found = found.select("label", "area_px", (F.col("centroid_y") + 1).alias("cy"), (F.col("centroid_x") + 1).alias("cx"), F.col("bbox_height").alias("bbox_h"), F.col("bbox_width").alias("bbox_w"))
+    particles = placed_objects(found, height, width, bounds, "LDIR_IMG_", "LDIR_image")
+    if particles.limit(1).count():
+        return particles
+    if mode_of(pixels) == "saturation":
+        return extracted_by_saturation(pixels, height, width, bounds, expected)
+    return extracted(gray, height, width, bounds, expected)
+
+
+def processed_view(pixels: DataFrame, saturated: bool = False) -> DataFrame:
+    """What the segmentation sees: the corrected value over its maximum in green, or the mask of saturated colour."""
+    if saturated:
+        return pixels.select("row", "col", is_saturated(F.col("r"), F.col("g"), F.col("b")).cast("double").alias("green"))
+    top = pixels.agg(F.max("value").alias("top"))
+    return pixels.crossJoin(F.broadcast(top)).select("row", "col", F.when(F.col("top") > 0, F.col("value") / F.col("top")).otherwise(0.0).alias("green"))
+
+
+def blue_gray(r: Column, g: Column, b: Column) -> Column:
+    return b
+
+
+def to_eight_bit(c: Column) -> Column:
+    """A 16-bit gray value as 0..255."""
+    return c / 257
+
+
+def seams(pixels: DataFrame, size: int, most: int = 8, axis: str = "row") -> DataFrame:
+    """tiles, strength: how much the image's profile along an axis jumps at the edges of so many equal tiles."""
+    line = pixels.groupBy(axis).agg(F.avg("value").alias("mean"))
+    before = line.select((F.col(axis) + 1).alias(axis), F.col("mean").alias("last"))
+    grid = pixels.sparkSession.createDataFrame([(n, i * (size // n)) for n in range(2, most + 1) for i in range(1, n)], f"tiles int, {axis} long")
+    jumps = line.join(before, axis).join(F.broadcast(grid), axis)
+    return jumps.groupBy("tiles").agg((F.sum(F.abs(F.col("mean") - F.col("last"))) / (F.col("tiles") - 1)).alias("strength"))

@@ -133,23 +133,30 @@ def stats(matched: DataFrame, src: DataFrame, ref: DataFrame) -> DataFrame:
     return n.crossJoin(m).select("n_src", "n_ref", "n_matched", (F.col("n_src") - F.col("n_matched")).alias("n_unmatched_src"), (F.col("n_ref") - F.col("n_matched")).alias("n_unmatched_ref"), rate("n_src").alias("src_rate"), rate("n_ref").alias("ref_rate"), "mean_distance", "median_distance", "max_distance")
 
 
-def ambiguity(matched: DataFrame, src: DataFrame, ref: DataFrame, radius: float = 50.0, reach: float = 1000.0) -> DataFrame:
+def ambiguity(matched: DataFrame, src: DataFrame, ref: DataFrame, radius: float = 50.0) -> DataFrame:
     """n_ref_candidates within the radius, next_best_distance (any other reference), ambiguity_score and flag.
 
-    The next best is looked for within reach first; the few sources with none there are compared with all references.
+    The next best is looked for in growing rings: only sources that have none yet are joined again, with cells
+    twice as wide, until there are none or the cells hold the whole extent.
     """
-    left = src.select(F.col("row_idx").alias("src_idx"), F.col("x_aligned").alias("x"), F.col("y_aligned").alias("y")).join(matched.select("src_idx", F.col("ref_idx").alias("own"), "match_distance"), "src_idx")
+    left = checkpointed(src.select(F.col("row_idx").alias("src_idx"), F.col("x_aligned").alias("x"), F.col("y_aligned").alias("y")).join(matched.select("src_idx", F.col("ref_idx").alias("own"), "match_distance"), "src_idx"))
     right = ref.select(F.col("row_idx").alias("ref_idx"), F.col("x_norm").alias("x"), F.col("y_norm").alias("y"))
-    near = spatial.within(left, right, reach, reach)
-    other = F.min(F.when(F.col("ref_idx") != F.col("own"), F.col("d")))
-    seen = near.groupBy("src_idx").agg(F.count_if(F.col("d") <= radius).alias("n_ref_candidates"), other.alias("next_best_distance"))
-    lone = left.join(seen.filter("next_best_distance is not null"), "src_idx", "left_anti")
-    far = spatial.nearest(lone.select("src_idx", "own", F.col("x").alias("sx"), F.col("y").alias("sy")).join(right, F.col("ref_idx") != F.col("own")).withColumn("d", F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))).filter("d is not null"))
-    out = left.select("src_idx", "match_distance").join(seen, "src_idx", "left").join(far.select("src_idx", F.col("d").alias("far")), "src_idx", "left")
-    best = F.coalesce("next_best_distance", "far")
-    n = F.coalesce("n_ref_candidates", F.lit(0)).cast("long")
-    score = F.when(best > 0, F.col("match_distance") / best).otherwise(0.0)
-    return out.select("src_idx", n.alias("n_ref_candidates"), best.alias("next_best_distance"), score.alias("ambiguity_score"), ((score > 0.7) | (n >= 3)).alias("ambiguity_flag"))
+    ends = left.select("x", "y").unionByName(right.select("x", "y")).agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]).first()
+    extent = 0.0 if ends.min_x is None else float(np.hypot(ends.max_x - ends.min_x, ends.max_y - ends.min_y))
+    near = spatial.within(left, right, radius, radius).groupBy("src_idx").agg(F.count("*").alias("n_ref_candidates"))
+    todo, reach, best = left.select("src_idx", "own", "x", "y"), 2 * radius, None
+    while todo.limit(1).count():
+        other = spatial.within(todo, right, reach, reach).filter(F.col("ref_idx") != F.col("own"))
+        found = checkpointed(other.groupBy("src_idx").agg(F.min("d").alias("next_best_distance")))
+        best = found if best is None else best.unionByName(found)
+        if reach >= extent:
+            break
+        todo, reach = checkpointed(todo.join(found, "src_idx", "left_anti")), 2 * reach
+    out = left.select("src_idx", "match_distance").join(near, "src_idx", "left")
+    out = out.join(best, "src_idx", "left") if best is not None else out.withColumn("next_best_distance", F.lit(None).cast("double"))
+    n, b = F.coalesce("n_ref_candidates", F.lit(0)).cast("long"), F.col("next_best_distance")
+    score = F.when(b > 0, F.col("match_distance") / b).otherwise(0.0)
+    return out.select("src_idx", n.alias("n_ref_candidates"), b, score.alias("ambiguity_score"), ((score > 0.7) | (n >= 3)).alias("ambiguity_flag"))
 
 
 def composites(src: DataFrame, ref: DataFrame, factor: float = 1.5, base: float = 100.0) -> DataFrame:
@@ -168,21 +175,35 @@ def triplets(fr: DataFrame, lr: DataFrame) -> DataFrame:
     return fr.join(lr, "ref_idx")
 
 
-def size_edges(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Costs of all pairs by size alone: the dense problem that size_join() solves in one task."""
-    left = a.select(F.col("row_idx").alias("src_idx"), F.col("area_um2").alias("sa"), F.col("feret_max_um").alias("sf"))
-    right = b.select(F.col("row_idx").alias("ref_idx"), F.col("area_um2").alias("ra"), F.col("feret_max_um").alias("rf"))
-    return left.crossJoin(right).select("src_idx", "ref_idx", size_cost(F.col("sa"), F.col("ra"), F.col("sf"), F.col("rf")).alias("cost"))
+def size_edges(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """Costs of all pairs of a tile (columns by; without any, of the tables) by size alone.
+
+    That is the dense problem of size_join(), which checks the number of rows of a tile.
+    """
+    keys = [F.col(c) for c in by]
+    left = a.select(*keys, F.col("row_idx").alias("src_idx"), F.col("area_um2").alias("sa"), F.col("feret_max_um").alias("sf"))
+    right = b.select(*keys, F.col("row_idx").alias("ref_idx"), F.col("area_um2").alias("ra"), F.col("feret_max_um").alias("rf"))
+    pairs = left.join(right, list(by)) if by else left.crossJoin(right)
+    return pairs.select(*by, "src_idx", "ref_idx", size_cost(F.col("sa"), F.col("ra"), F.col("sf"), F.col("rf")).alias("cost"))
 
 
-#: Rows of either side that the dense assignment takes.
+#: Rows of either side of a tile that the dense assignment takes.
 DENSE = 5000
 
 
-def size_join(a: DataFrame, b: DataFrame, most_cost: float = 2.0) -> DataFrame:
-    """a with the coordinates of the b that an optimal assignment by size gives it; over most_cost there are none."""
-    if max(a.count(), b.count()) > DENSE:
-        raise ValueError(f"the dense assignment takes at most {DENSE} rows a side; cut the tables by field first")
+def _checked(df: DataFrame, *by: str) -> None:
+    most = df.groupBy(*by).count().agg(F.max("count").alias("n")).first().n or 0
+    if most > DENSE:
+        raise ValueError(f"the dense assignment takes at most {DENSE} rows a side; cut the tables by tile")
+
+
+def size_join(a: DataFrame, b: DataFrame, most_cost: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """a with the coordinates of the b that an optimal assignment by size gives it; over most_cost there are none.
+
+    by: columns of both that name a tile or field; each is a problem of its own.
+    """
+    for df in (a, b):
+        _checked(df, *by)
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         table = f.pivot(index="src_idx", columns="ref_idx", values="cost").sort_index()
@@ -192,12 +213,29 @@ def size_join(a: DataFrame, b: DataFrame, most_cost: float = 2.0) -> DataFrame:
         i, j = (column, np.arange(len(column))) if tall else (np.arange(len(column)), column)
         return pd.DataFrame({"src_idx": table.index[i], "ref_idx": table.columns[j], "cost": dense[i, j]})
 
-    pairs = size_edges(a, b).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "src_idx long, ref_idx long, cost double").filter(F.col("cost") <= most_cost)
+    edges = size_edges(a, b, *by) if by else size_edges(a, b).withColumn("_all", F.lit(0))
+    pairs = edges.groupBy(*(by or ("_all",))).applyInPandas(solve, "src_idx long, ref_idx long, cost double").filter(F.col("cost") <= most_cost)
     place = b.select(F.col("row_idx").alias("ref_idx"), F.col("x_um").alias("bx"), F.col("y_um").alias("by"))
     out = a.drop("x_um", "y_um").join(pairs.join(place, "ref_idx"), a["row_idx"] == pairs["src_idx"], "left")
     return out.select(*[c for c in a.columns if c not in ("x_um", "y_um")], F.col("bx").alias("x_um"), F.col("by").alias("y_um"), F.col("cost").alias("coord_match_cost"), F.when(F.col("cost").isNotNull(), "image").otherwise("none").alias("coord_source"))
 
 
+def join_quality(joined: DataFrame) -> DataFrame:
+    """Of size_join()'s result: joined, rejected, and the median and largest cost."""
+    c = F.col("coord_match_cost")
+    return joined.agg(F.count(c).alias("joined"), F.count_if(c.isNull()).alias("rejected"), F.median(c).alias("median_cost"), F.max(c).alias("max_cost"))
+
+
+def affordable(pairs: DataFrame, most: float, cost: str = "cost") -> DataFrame:
+    return pairs.filter(F.col(cost) <= most)
+
+
+def first_hit(df: DataFrame, table: DataFrame, key: str, other: str, value: str, order: str) -> DataFrame:
+    """df with the value of the first row of table whose other column equals key."""
+    first = table.groupBy(F.col(other).alias(key)).agg(F.min_by(value, order).alias(value))
+    return df.join(first, key, "left")
+
+
 def consensus(fr: Column, lr: Column, fl: Column) -> Column:
     n = sum((F.coalesce(c, F.lit(False)).cast("int") for c in (fr, lr, fl)), F.lit(0))
     return n

@@ -238,6 +238,7 @@ _filter("flt_2_prefilter_raman", "SELECT row_idx FROM fx_ref WHERE x_um IS NOT N
 _filter("flt_3_prefilter_ldir", "SELECT row_idx FROM fx_third WHERE (quality IS NULL OR quality >= 0.6) AND (feret_max_um IS NULL OR feret_max_um >= 60)", X.THIRD, lambda s, d: L.prefilter_ldir(X.third(s, d), 0.6, 60))
 _filter("flt_4_anchors", "SELECT row_idx FROM fx_ref WHERE regexp_matches(material, 'Polyethylene terephtalate|Polypropylene', 'i')", X.REF, lambda s, d: L.anchors(X.ref(s, d), Config().raman_anchors))
 _filter("flt_5_anchors_or_all", "SELECT row_idx FROM fx_third", X.THIRD, lambda s, d: L.anchors_or_all(X.third(s, d), ("no such material",)))
+_filter("flt_5_anchors", "SELECT row_idx FROM fx_third WHERE regexp_matches(material, 'Polyethylene terephthalate|Polypropylene|Polycarbonate', 'i') OR (SELECT count(*) FROM fx_third WHERE regexp_matches(material, 'Polyethylene terephthalate|Polypropylene|Polycarbonate', 'i')) < 4", X.THIRD, lambda s, d: L.anchors_or_all(X.third(s, d), Config().ldir_anchors))
 _filter("flt_6_anchor_gate", "SELECT row_idx FROM fx_ref WHERE (feret_max_um IS NULL OR feret_max_um >= 20) AND quality >= 70", X.REF, lambda s, d: L.anchor_gate(X.ref(s, d)))
 _filter("flt_7_spatial_set", "SELECT row_idx FROM fx_ref WHERE feret_max_um IS NULL OR feret_max_um >= 20", X.REF, lambda s, d: X.ref(s, d).filter(L.at_least_or_unknown(F.col("feret_max_um"), 20)))
 _filter("flt_8_landmarks", "SELECT row_idx FROM fx_ref WHERE feret_max_um >= 100 OR (major_um / minor_um >= 3 AND feret_max_um >= 100)", X.REF, lambda s, d: L.landmarks(X.ref(s, d)))
@@ -334,14 +335,15 @@ def jn_10(spark, d):
 
 @query("jn_11_composites", """SELECT src_particle_id, count(*) AS n_ref_parts, string_agg(ref_id, ';' ORDER BY ref_idx) AS ref_ids, round(sum(ra), 6) AS combined_area, round(any_value(sa), 6) AS src_area, round(sum(ra) / any_value(sa), 3) AS area_ratio FROM (
  SELECT s.particle_id AS src_particle_id, s.row_idx AS src_idx, r.row_idx AS ref_idx, r.particle_id AS ref_id, r.area_um2 AS ra, s.area_um2 AS sa, sqrt((s.x_aligned - r.x_norm) * (s.x_aligned - r.x_norm) + (s.y_aligned - r.y_norm) * (s.y_aligned - r.y_norm)) AS d, CASE WHEN s.major_um > 0 THEN 1.5 * s.major_um / 2 ELSE 100 END AS rad
- FROM src_al s, fx_ref r WHERE r.x_norm IS NOT NULL AND s.area_um2 > 0) WHERE d <= rad GROUP BY src_idx, src_particle_id HAVING count(*) >= 2 AND sum(ra) > 0 AND sum(ra) / any_value(sa) BETWEEN 0.3 AND 5""", *BASE)
+ FROM src_al s, fx_ref r WHERE r.x_norm IS NOT NULL AND s.area_um2 > 0 AND r.row_idx NOT IN (SELECT ref_idx FROM near)) WHERE d <= rad GROUP BY src_idx, src_particle_id HAVING count(*) >= 2 AND sum(ra) > 0 AND sum(ra) / any_value(sa) BETWEEN 0.3 AND 5""", *BASE, CAND, NEAR)
 def jn_11(spark, d):
-    return rounded(matching.composites(aligned(spark, d), X.ref(spark, d)))
+    ref, taken = X.ref(spark, d), nearest(spark, d).select(F.col("ref_idx").alias("row_idx"))
+    return rounded(matching.composites(aligned(spark, d), ref.join(taken, "row_idx", "left_anti")))
 
 
 @query("jn_15_size_join")
 def jn_15(spark, d):
-    return rounded(matching.size_join(X.third(spark, d).filter("row_idx < 300"), X.src(spark, d).filter("row_idx < 300"))).select("row_idx", "x_um", "y_um", "coord_match_cost", "coord_source")
+    return rounded(matching.size_join(X.third(spark, d), X.src(spark, d))).select("row_idx", "x_um", "y_um", "coord_match_cost", "coord_source")
 
 
 @query("asg_1_optimal")
@@ -419,9 +421,12 @@ def fit_6(spark, d):
     return _transform_row(spark, t, iterations=len(history), rms=round(history[-1], 4), converged=done)
 
 
-@query("fit_9_verdict", "SELECT row_idx, CASE WHEN feret_max_um > 100 THEN 'POOR' WHEN feret_max_um > 3 * minor_um THEN 'MARGINAL' ELSE 'GOOD' END AS verdict FROM fx_src", X.SRC)
+@query("fit_9_verdict", "SELECT CASE WHEN third > 100 THEN 'POOR' WHEN third > 3 * own THEN 'MARGINAL' ELSE 'GOOD' END AS verdict FROM (SELECT (SELECT sqrt(avg(d * d)) FROM near3) AS third, (SELECT sqrt(avg(match_distance * match_distance)) FROM near) AS own)", *BASE, CAND, NEAR, X.THIRD, THIRD_AL, NEAR3)
 def fit_9(spark, d):
-    return X.src(spark, d).select("row_idx", fit.verdict(F.col("feret_max_um"), F.col("minor_um")).alias("verdict"))
+    rms = lambda df, c, name: df.agg(F.sqrt(F.avg(F.col(c) * F.col(c))).alias(name))
+    third = matching.candidates(G.aligned(X.third(spark, d), T3), X.ref(spark, d)).filter("rank = 1")
+    both = rms(third, "d", "third").crossJoin(rms(nearest(spark, d), "match_distance", "own"))
+    return both.select(fit.verdict(F.col("third"), F.col("own")).alias("verdict"))
 
 
 @query("win_3_trim", "SELECT src_idx FROM near WHERE match_distance <= (SELECT max(match_distance) FROM (SELECT match_distance, row_number() OVER (ORDER BY match_distance, src_idx) AS k FROM near) WHERE k <= (SELECT count(*) - floor(0.1 * count(*)) FROM near))", *BASE, CAND, NEAR)
@@ -502,11 +507,11 @@ def _residuals(spark, d):
     return nearest(spark, d).join(s, "src_idx").join(r, "ref_idx").select("src_idx", "x", "y", "match_distance", (F.col("x") - F.col("x_aligned")).alias("dx"), (F.col("y") - F.col("y_aligned")).alias("dy"))
 
 
-@query("agg_15_scan_order", "SELECT n, round((c - q)::DOUBLE / sqrt((n * (n - 1) / 2 - ta) * (n * (n - 1) / 2 - tb)), 6) AS tau FROM (SELECT (SELECT count(*) FROM e) AS n, count(*) FILTER (sign(a.p - b.p) * sign(a.q - b.q) > 0) AS c, count(*) FILTER (sign(a.p - b.p) * sign(a.q - b.q) < 0) AS q, count(*) FILTER (a.p = b.p) AS ta, count(*) FILTER (a.q = b.q) AS tb FROM e a JOIN e b ON a.i < b.i)", "e AS (SELECT event_id AS i, event_id % 97 AS p, value::DOUBLE AS q FROM events WHERE event_id < 600)")
+@query("agg_15_scan_order", "SELECT n, round((c - q)::DOUBLE / sqrt((n * (n - 1) / 2 - ta) * (n * (n - 1) / 2 - tb)), 6) AS tau FROM (SELECT (SELECT count(*) FROM e) AS n, count(*) FILTER (sign(a.p - b.p) * sign(a.q - b.q) > 0) AS c, count(*) FILTER (sign(a.p - b.p) * sign(a.q - b.q) < 0) AS q, count(*) FILTER (a.p = b.p) AS ta, count(*) FILTER (a.q = b.q) AS tb FROM e a JOIN e b ON a.i < b.i)", "e AS (SELECT event_id AS i, event_id % 97 AS p, value::DOUBLE AS q FROM events)")
 def agg_15(spark, d):
     from quern.operators.diagnostics import kendall
 
-    e = X.table(spark, d, "events").filter("event_id < 600").select(F.col("event_id").alias("i"), (F.col("event_id") % 97).alias("p"), F.col("value").cast("double").alias("q"))
+    e = X.table(spark, d, "events").select(F.col("event_id").alias("i"), (F.col("event_id") % 97).alias("p"), F.col("value").cast("double").alias("q"))
     return rounded(kendall(e))
 
 
@@ -565,9 +570,9 @@ def set_6(spark, d):
     return A.tiers_long(A.by_category(graded(spark, d, X.pairs)), "category")
 
 
-@query("win_5_integral", "SELECT row, col, round(sum(c) OVER (PARTITION BY row ORDER BY col), 4) AS integral FROM (SELECT row, col, sum(value) OVER (PARTITION BY col ORDER BY row) AS c FROM fx_pixels WHERE row < 200)", X.PIXELS)
+@query("win_5_integral", "SELECT row, col, round(sum(c) OVER (PARTITION BY row ORDER BY col), 4) AS integral FROM (SELECT row, col, sum(value) OVER (PARTITION BY col ORDER BY row) AS c FROM fx_pixels)", X.PIXELS)
 def win_5(spark, d):
-    return imaging.integral(X.pixels(spark, d).filter("row < 200")).select("row", "col", F.round("integral", 4).alias("integral"))
+    return imaging.integral(X.pixels(spark, d)).select("row", "col", F.round("integral", 4).alias("integral"))
 
 
 @query("win_6_box_filter", "SELECT row, col, round(sum(s) OVER w / sum(n) OVER w, 6) AS local FROM (SELECT row, col, sum(value) OVER v AS s, count(*) OVER v AS n FROM fx_pixels WINDOW v AS (PARTITION BY row ORDER BY col ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WINDOW w AS (PARTITION BY col ORDER BY row ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)", X.PIXELS)
@@ -580,13 +585,13 @@ def img_2(spark, d):
     return rounded(imaging.downsampled(X.pixels(spark, d), 4))
 
 
-CCL = """fg AS (SELECT row, col, row * 64 + col AS id, value FROM fx_pixels WHERE row < 200 AND value > 40), reach(id, seen) AS (SELECT id, id FROM fg UNION SELECT f.id, r.seen FROM reach r JOIN fg g ON g.id = r.id JOIN fg f ON (f.row = g.row AND abs(f.col - g.col) = 1) OR (f.col = g.col AND abs(f.row - g.row) = 1)), lab AS (SELECT id, min(seen) AS label FROM reach GROUP BY id)"""
+CCL = """fg AS (SELECT row, col, row * 64 + col AS id, value FROM fx_pixels WHERE value > 40), reach(id, seen) AS (SELECT id, id FROM fg UNION SELECT f.id, r.seen FROM reach r JOIN fg g ON g.id = r.id JOIN fg f ON (f.row = g.row AND abs(f.col - g.col) = 1) OR (f.col = g.col AND abs(f.row - g.row) = 1)), lab AS (SELECT id, min(seen) AS label FROM reach GROUP BY id)"""
 RECURSIVE = X.sql("SELECT f.row, f.col, l.label FROM fg f JOIN lab l USING (id)", X.PIXELS, CCL).replace("WITH", "WITH RECURSIVE", 1)
 PROPS = X.sql("SELECT label, count(*) AS area_px, round(avg(row), 6) AS centroid_y, round(avg(col), 6) AS centroid_x, max(row) - min(row) + 1 AS bbox_height, max(col) - min(col) + 1 AS bbox_width, round(max(value), 6) AS max_intensity, round(avg(value), 6) AS mean_intensity, round(sum(value), 6) AS integrated_intensity, round(2 * sqrt(count(*) / pi()), 6) AS equivalent_diameter, round(greatest(max(row) - min(row), max(col) - min(col)) + 1.0::DOUBLE, 6) / least(max(row) - min(row) + 1, max(col) - min(col) + 1) AS aspect_ratio FROM fg JOIN lab USING (id) GROUP BY label", X.PIXELS, CCL).replace("WITH", "WITH RECURSIVE", 1)
 
 
 def _foreground(spark, d):
-    return X.pixels(spark, d).filter("row < 200 and value > 40")
+    return X.pixels(spark, d).filter("value > 40")
 
 
 @query("img_4_components")
@@ -603,15 +608,18 @@ def agg_13(spark, d):
 ORACLES["img_4_components"], ORACLES["agg_13_properties"] = RECURSIVE, PROPS.replace("round(greatest(max(row) - min(row), max(col) - min(col)) + 1.0::DOUBLE, 6) / least(max(row) - min(row) + 1, max(col) - min(col) + 1)", "round((greatest(max(row) - min(row), max(col) - min(col)) + 1.0::DOUBLE) / least(max(row) - min(row) + 1, max(col) - min(col) + 1), 6)")
 
 
+def _height(spark, d):
+    return X.table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+
+
 @query("img_6_background")
 def img_6(spark, d):
-    return rounded(imaging.corrected(X.pixels(spark, d).filter("row < 256"), 256, 64, 4, 1), 4)
+    return rounded(imaging.corrected(X.pixels(spark, d), _height(spark, d), 64, 4, 1), 4)
 
 
 @query("img_8_auto_threshold")
 def img_8(spark, d):
-    px = X.pixels(spark, d).filter("row < 256").cache()
-    return spark.createDataFrame([(imaging.tuned_threshold(px, 64, 300, 2),)], "threshold double")
+    return spark.createDataFrame([(imaging.tuned_threshold(X.pixels(spark, d), 64, 300, 2),)], "threshold double")
 
 
 @query("dia_3_distance_histogram", "SELECT least(floor((match_distance - lo) / w), 29)::BIGINT AS bin, count(*) AS n FROM (SELECT match_distance, min(match_distance) OVER () AS lo, (max(match_distance) OVER () - min(match_distance) OVER ()) / 30 AS w FROM near) GROUP BY 1", *BASE, CAND, NEAR)

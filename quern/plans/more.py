@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import geometry as G
 from quern.functions import materials as M
+from quern.operators import agreement as A
 from quern.operators import calibrate as K
 from quern.operators import diagnostics as D
 from quern.operators import filters as L
-from quern.operators import imaging, matching, viewer
+from quern.operators import fit, imaging, matching, viewer
 from quern.operators import normalize as N
 from quern.plans import catalog as C
 from quern.plans import fixtures as X
@@ -30,15 +31,15 @@ def prj_13(spark, d):
     return out.select("row_idx", F.round("x_aligned", 5).alias("x"), F.round("y_aligned", 5).alias("y"))
 
 
-@query("prj_14_pixel_to_um", "SELECT row, col, round(-500 + (col + 0.5) * 2 * (1000.0::DOUBLE / 64), 6) AS x_um, round(-500 + 1000 - (row + 0.5) * 2 * (1000.0::DOUBLE / 500), 6) AS y_um FROM fx_pixels WHERE row < 100", X.PIXELS)
+@query("prj_14_pixel_to_um", "SELECT row, col, round(-500 + (col + 0.5) * 2 * (1000.0::DOUBLE / 64), 6) AS x_um, round(-500 + 1000 - (row + 0.5) * 2 * (1000.0::DOUBLE / 500), 6) AS y_um FROM fx_pixels", X.PIXELS)
 def prj_14(spark, d):
-    p = X.pixels(spark, d).filter("row < 100")
+    p = X.pixels(spark, d)
     return rounded(p.select("row", "col", G.pixel_to_um(F.col("col") + 1, -500.0, 1000.0, 64, 2).alias("x_um"), G.pixel_to_um(F.col("row") + 1, -500.0, 1000.0, 500, 2, flip=True).alias("y_um")))
 
 
-@query("prj_16_pixel_to_um_plain", "SELECT row, col, round(-500 + col * (1000.0::DOUBLE / 64), 6) AS x_um FROM fx_pixels WHERE row < 100", X.PIXELS)
+@query("prj_16_pixel_to_um_plain", "SELECT row, col, round(-500 + col * (1000.0::DOUBLE / 64), 6) AS x_um FROM fx_pixels", X.PIXELS)
 def prj_16(spark, d):
-    return rounded(X.pixels(spark, d).filter("row < 100").select("row", "col", G.pixel_to_um(F.col("col"), -500.0, 1000.0, 64, half=False).alias("x_um")))
+    return rounded(X.pixels(spark, d).select("row", "col", G.pixel_to_um(F.col("col"), -500.0, 1000.0, 64, half=False).alias("x_um")))
 
 
 @query("prj_17_scan_extent", "SELECT p_partkey AS id, round_even((p_partkey + 1)::DOUBLE / 6, 0) * 25 AS extent FROM part")
@@ -48,7 +49,7 @@ def prj_17(spark, d):
 
 @query("prj_24_rebind", "SELECT row_idx, round(x_aligned, 6) AS x_norm, round(y_aligned, 6) AS y_norm FROM src_al", X.SRC, C.SRC_ALIGNED)
 def prj_24(spark, d):
-    return rounded(C.aligned(spark, d).select("row_idx", F.col("x_aligned").alias("x_norm"), F.col("y_aligned").alias("y_norm")))
+    return rounded(viewer.rebound(C.aligned(spark, d)).select("row_idx", "x_norm", "y_norm"))
 
 
 @query("prj_26_instrument_view", "SELECT s.particle_id, round(s.x_aligned, 6) AS x, round(s.y_aligned, 6) AS y, round(s.x_um, 6) AS x_orig, round(s.y_um, 6) AS y_orig, s.material, CASE WHEN n.src_idx IS NULL THEN 'unmatched' ELSE 'matched' END AS match_status FROM src_al s LEFT JOIN near n ON n.src_idx = s.row_idx", *BASE, CAND, NEAR)
@@ -59,12 +60,19 @@ def prj_26(spark, d):
 
 @query("prj_27_details", "SELECT row_idx, particle_id || ' | ' || coalesce(material, 'Unknown') AS label FROM fx_ref", X.REF)
 def prj_27(spark, d):
-    return X.ref(spark, d).select("row_idx", F.concat("particle_id", F.lit(" | "), F.coalesce("material", F.lit("Unknown"))).alias("label"))
+    return viewer.details(X.ref(spark, d))
 
 
-@query("flt_9_scale_gate", "SELECT row_idx FROM fx_ref WHERE quality / 100 BETWEEN 0.9 AND 1.1", X.REF)
+TWO = "two AS (SELECT a.src_idx, sqrt((ra.x_norm - rb.x_norm) ** 2 + (ra.y_norm - rb.y_norm) ** 2) / sqrt((sa.x_norm - sb.x_norm) ** 2 + (sa.y_norm - sb.y_norm) ** 2) AS scale FROM near a JOIN near b ON b.src_idx = a.src_idx + 2 JOIN fx_src sa ON sa.row_idx = a.src_idx JOIN fx_src sb ON sb.row_idx = b.src_idx JOIN fx_ref ra ON ra.row_idx = a.ref_idx JOIN fx_ref rb ON rb.row_idx = b.ref_idx)"
+
+
+@query("flt_9_scale_gate", "SELECT src_idx, round(scale, 6) AS scale FROM two WHERE scale BETWEEN 0.9 AND 1.1", *BASE, CAND, NEAR, TWO)
 def flt_9(spark, d):
-    return X.ref(spark, d).filter((F.col("quality") / 100).between(0.9, 1.1)).select("row_idx")
+    """Hypotheses of two tentative pairs each, rejected by their scale."""
+    p = C._fit_pairs(spark, d).select("src_idx", "px", "py", "qx", "qy")
+    q = p.select((F.col("src_idx") - 2).alias("src_idx"), *[F.col(c).alias(f"{c}2") for c in ("px", "py", "qx", "qy")])
+    scale = F.sqrt((F.col("qx") - F.col("qx2")) ** 2 + (F.col("qy") - F.col("qy2")) ** 2) / F.sqrt((F.col("px") - F.col("px2")) ** 2 + (F.col("py") - F.col("py2")) ** 2)
+    return rounded(p.join(q, "src_idx").select("src_idx", scale.alias("scale")).filter(fit.sane(F.col("scale"))))
 
 
 @query("flt_11_hqi_gate", "SELECT n.src_idx FROM near n JOIN fx_ref r ON r.row_idx = n.ref_idx WHERE r.quality >= 70", *BASE, CAND, NEAR)
@@ -80,7 +88,7 @@ def flt_12(spark, d):
 
 @query("flt_13_cost_gate", f"SELECT src_idx, ref_idx FROM cand WHERE rank <= 20 AND {C.COST} <= 60", *BASE, CAND)
 def flt_13(spark, d):
-    return C.cands(spark, d).filter("cost <= 60").select("src_idx", "ref_idx")
+    return matching.affordable(C.cands(spark, d), 60).select("src_idx", "ref_idx")
 
 
 @query("flt_18_mode", "SELECT CASE WHEN avg(CASE WHEN value > 0 THEN 0.5 ELSE 0 END) > 0.15 THEN 'saturation' ELSE 'adaptive' END AS mode FROM fx_pixels", X.PIXELS)
@@ -96,10 +104,11 @@ def jn_6(spark, d):
     return rounded(C.nearest(spark, d).join(a, "src_idx").join(b, "ref_idx").select("src_idx", "src_area", "ref_area"))
 
 
-@query("jn_9_first_hit", "SELECT e.event_id, p.name FROM events e LEFT JOIN (SELECT id % 50 AS k, arg_min(coalesce(name, '-'), id) AS name FROM fx_names GROUP BY 1) p ON p.k = e.user_id", X.NAMES)
+@query("jn_9_first_hit", "SELECT n.src_idx, r.particle_id AS raman_particle_id, f.material AS raman_material FROM near n JOIN fx_ref r ON r.row_idx = n.ref_idx LEFT JOIN (SELECT particle_id, arg_min(coalesce(material, '-'), row_idx) AS material FROM fx_ref GROUP BY 1) f USING (particle_id)", *BASE, CAND, NEAR)
 def jn_9(spark, d):
-    first = X.names(spark, d).groupBy((F.col("id") % 50).alias("k")).agg(F.min_by(F.coalesce("name", F.lit("-")), "id").alias("name"))
-    return X.table(spark, d, "events").select("event_id", "user_id").join(first, F.col("user_id") == F.col("k"), "left").select("event_id", "name")
+    ref = X.ref(spark, d)
+    named = C.nearest(spark, d).join(ref.select(F.col("row_idx").alias("ref_idx"), F.col("particle_id").alias("raman_particle_id")), "ref_idx")
+    return matching.first_hit(named, ref.withColumn("material", F.coalesce("material", F.lit("-"))), "raman_particle_id", "particle_id", "material", "row_idx").select("src_idx", "raman_particle_id", F.col("material").alias("raman_material"))
 
 
 @query("jn_12_triage_attach", "SELECT n.src_idx, round(CASE WHEN b > 0 THEN n.match_distance / b ELSE 0 END, 6) AS ambiguity_score FROM near n LEFT JOIN amb USING (src_idx)", *BASE, CAND, NEAR, ALLD, AMB)
@@ -131,16 +140,23 @@ def ext_3(spark, d):
     return C.nearest(spark, d).select("src_idx", K.match_quality(F.col("match_distance")).alias("match_quality"))
 
 
-@query("ext_5_fields", "SELECT row, col, row * 64 + CASE WHEN row % 2 = 1 THEN 63 - col ELSE col END AS field FROM fx_pixels WHERE row < 50", X.PIXELS)
+@query("ext_5_fields", "SELECT row, col, row * 64 + CASE WHEN row % 2 = 1 THEN 63 - col ELSE col END AS field FROM fx_pixels", X.PIXELS)
 def ext_5(spark, d):
-    return X.pixels(spark, d).filter("row < 50").select("row", "col", K.field_number(F.col("row"), F.col("col"), 64).alias("field"))
+    return X.pixels(spark, d).select("row", "col", K.field_number(F.col("row"), F.col("col"), 64).alias("field"))
 
 
-@query("ext_6_quality_checks")
+@query("ext_6_quality_checks", "SELECT CASE WHEN rate >= 0.8 THEN 'PASS' WHEN rate >= 0.4 THEN 'WARN' ELSE 'FAIL' END AS match_rate, CASE WHEN d <= 30 THEN 'PASS' WHEN d <= 60 THEN 'WARN' ELSE 'FAIL' END AS distance, CASE WHEN r = n THEN 'PASS' WHEN n / r > 0.5 THEN 'WARN' ELSE 'FAIL' END AS unmatched FROM (SELECT count(*) AS n, count(*) / (SELECT count(*) FROM fx_src) AS rate, avg(match_distance) AS d, (SELECT count(*) FROM fx_ref) AS r FROM near)", *BASE, CAND, NEAR)
 def ext_6(spark, d):
     return K.quality_checks(matching.stats(C.nearest(spark, d), X.src(spark, d), X.ref(spark, d)))
 
 
+@query("ext_6_match_checks", "SELECT unnest(['Count match', 'Match quality distribution', 'Size correlation', 'Unmatched particles']) AS \"check\", unnest([CASE WHEN abs(det - listed) = 0 THEN 'PASS' WHEN abs(det - listed) <= 5 THEN 'WARN' ELSE 'FAIL' END, CASE WHEN good > 0.8 THEN 'PASS' WHEN good > 0.5 THEN 'WARN' ELSE 'FAIL' END, CASE WHEN r > 0.9 THEN 'PASS' ELSE 'WARN' END, CASE WHEN n = det THEN 'PASS' ELSE 'WARN' END]) AS status FROM (SELECT (SELECT count(*) FROM fx_src) AS det, (SELECT count(*) FROM fx_ref) AS listed, count(*) AS n, avg((match_distance < 5)::INT) AS good, corr(s.feret_max_um, r.feret_max_um) AS r FROM near JOIN fx_src s ON s.row_idx = src_idx JOIN fx_ref r ON r.row_idx = ref_idx)", *BASE, CAND, NEAR)
+def ext_6m(spark, d):
+    side = lambda df, key, name: df.select(F.col("row_idx").alias(key), F.col("feret_max_um").alias(name))
+    m = C.nearest(spark, d).join(side(X.src(spark, d), "src_idx", "size_detected"), "src_idx").join(side(X.ref(spark, d), "ref_idx", "size"), "ref_idx")
+    return K.match_checks(m, X.src(spark, d).count(), X.ref(spark, d).count()).select("check", "status")
+
+
 @query("ext_8_tile_counts", "SELECT row // 50 AS tile_row, col // 16 AS tile_col, count(*) AS n FROM fx_pixels WHERE value > 60 GROUP BY 1, 2", X.PIXELS)
 def ext_8(spark, d):
     return X.pixels(spark, d).filter("value > 60").groupBy(F.floor(F.col("row") / 50).alias("tile_row"), F.floor(F.col("col") / 16).alias("tile_col")).agg(F.count("*").alias("n"))
@@ -156,14 +172,14 @@ def agg_3(spark, d):
     return rounded(C.graded(spark, d).agg(F.avg(F.col("agree_exact").cast("double")).alias("agreement_rate")))
 
 
-@query("agg_10_radius", "SELECT round(avg(x_um), 6) AS cx, round(avg(y_um), 6) AS cy, round(sqrt(avg(x_um * x_um + y_um * y_um)), 6) AS radius FROM fx_src", X.SRC)
+@query("agg_10_radius", "SELECT round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(sqrt(avg((x_um - cx) ** 2 + (y_um - cy) ** 2)), 6) AS radius FROM (SELECT *, avg(x_um) OVER () AS cx, avg(y_um) OVER () AS cy FROM fx_src)", X.SRC)
 def agg_10(spark, d):
-    return rounded(X.src(spark, d).agg(F.avg("x_um").alias("cx"), F.avg("y_um").alias("cy"), F.sqrt(F.avg(F.col("x_um") * F.col("x_um") + F.col("y_um") * F.col("y_um"))).alias("radius")))
+    return rounded(N.radius(X.src(spark, d)))
 
 
 @query("agg_20_landmark_residuals", "SELECT count(*) AS n, round(avg(match_distance), 6) AS mean_residual FROM near WHERE match_distance <= 50", *BASE, CAND, NEAR)
 def agg_20(spark, d):
-    return rounded(C.nearest(spark, d).filter("match_distance <= 50").agg(F.count("*").alias("n"), F.avg("match_distance").alias("mean_residual")))
+    return rounded(fit.residual_stats(C.nearest(spark, d), 50))
 
 
 @query("agg_21_join_quality", f"SELECT count(*) FILTER (c <= 2) AS joined, count(*) FILTER (c > 2) AS rejected, round(median(c), 6) AS median_cost, round(max(c), 6) AS max_cost FROM (SELECT min({C.SIZE_COST}) AS c FROM fx_third s, fx_ref r GROUP BY s.row_idx)", X.REF, X.THIRD)
@@ -179,9 +195,9 @@ def win_2(spark, d):
 
 @query("win_7_match_ids", "SELECT src_idx, row_number() OVER (ORDER BY src_idx) AS match_id FROM near", *BASE, CAND, NEAR)
 def win_7(spark, d):
-    from pyspark.sql import Window
+    from quern.operators.workflow import match_ids
 
-    return C.nearest(spark, d).select("src_idx", F.row_number().over(Window.orderBy("src_idx")).cast("long").alias("match_id"))
+    return match_ids(C.nearest(spark, d).select("src_idx")).select("src_idx", F.col("match_id").cast("long").alias("match_id"))
 
 
 @query("top_5_largest", "SELECT k AS size_rank, row_idx FROM tb WHERE k <= 25", X.REF, X.SRC, TOPN)
@@ -210,32 +226,29 @@ def str_7(spark, d):
     return C.graded(spark, d).select("match_id", "material_a_norm", "material_b_norm")
 
 
-@query("img_1_gray_mean", "SELECT row, col, round((value + value / 2 + value / 4) / 3, 6) AS gray FROM fx_pixels WHERE row < 200", X.PIXELS)
+@query("img_1_gray_mean", "SELECT row, col, round((value + value / 2 + value / 4) / 3, 6) AS gray FROM fx_pixels", X.PIXELS)
 def img_1(spark, d):
     v = F.col("value")
-    return rounded(X.pixels(spark, d).filter("row < 200").select("row", "col", imaging.gray_mean(v, v / 2, v / 4).alias("gray")))
+    return rounded(X.pixels(spark, d).select("row", "col", imaging.gray_mean(v, v / 2, v / 4).alias("gray")))
 
 
 @query("img_7_detect")
 def img_7(spark, d):
-    return rounded(imaging.detected(X.pixels(spark, d).filter("row < 200"), 64, 40.0, 3))
+    return rounded(imaging.detected(X.pixels(spark, d), 64, 40.0, 3))
 
 
 @query("img_10_extract")
 def img_10(spark, d):
     """Adaptive segmentation: local mean, foreground, components, properties, minimum size."""
-    px = imaging.box_mean(X.pixels(spark, d).filter("row < 200"), 5)
+    px = imaging.box_mean(X.pixels(spark, d), 5)
     fg = px.filter(F.abs(F.col("value") - F.col("local")) > 25)
     return rounded(imaging.properties(imaging.components(fg, 64).join(fg, ["row", "col"])).filter("area_px >= 4"))
 
 
-@query("img_13_rotate", "SELECT row, col, value FROM (SELECT o.row, o.col, round(p.value, 6) AS value FROM (SELECT row, col, col AS sr, 63 - row AS sc FROM fx_pixels WHERE row < 64) o JOIN fx_pixels p ON p.row = o.sr AND p.col = o.sc)", X.PIXELS)
+@query("img_13_rotate", "SELECT 63 - col AS row, row AS col, round(value, 6) AS value FROM fx_pixels", X.PIXELS)
 def img_13(spark, d):
-    """A quarter turn by inverse mapping of the output grid."""
-    p = X.pixels(spark, d).filter("row < 64")
-    grid = p.select("row", "col", F.col("col").alias("sr"), (63 - F.col("row")).alias("sc"))
-    source = p.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
-    return rounded(grid.join(source, ["sr", "sc"]).select("row", "col", "value"))
+    """A quarter turn of the whole image."""
+    return rounded(imaging.quarter_turned(X.pixels(spark, d), 64))
 
 
 @query("dia_2_overlay", "SELECT src_idx, round(x_aligned, 6) AS x, round(y_aligned, 6) AS y, round(x, 6) AS xend, round(y, 6) AS yend FROM resid", *BASE, CAND, NEAR, RESID)
@@ -252,12 +265,12 @@ def dia_8(spark, d):
     return rounded(C.nearest(spark, d).join(a, "src_idx").join(b, "ref_idx").dropna(subset=["src_feret", "ref_feret"]).select("src_idx", "src_feret", "ref_feret"))
 
 
-@query("dia_10_tiers", "SELECT tier, count(*) AS n FROM graded GROUP BY tier", X.PAIRS, GRADED_PAIRS)
+@query("dia_10_tiers", "SELECT * FROM (UNPIVOT (SELECT material_a_norm AS material_a, count(*) FILTER (tier = 'Exact') AS \"Exact\", count(*) FILTER (tier = 'Family') AS \"Family\", count(*) FILTER (tier = 'Disagree') AS \"Disagree\" FROM graded GROUP BY 1) ON \"Exact\", \"Family\", \"Disagree\" INTO NAME tier VALUE n)", X.PAIRS, GRADED_PAIRS)
 def dia_10(spark, d):
-    return C.graded(spark, d, X.pairs).groupBy("tier").agg(F.count("*").alias("n"))
+    return A.tiers_long(A.detail(C.graded(spark, d, X.pairs)), "material_a")
 
 
-@query("agg_11_distortion")
+@query("agg_11_distortion", "SELECT n, round(dx, 6) AS dx_range, round(dy, 6) AS dy_range, CASE WHEN n < 20 THEN 'Too few' WHEN greatest(dx, dy) > 20 THEN 'Recommended' WHEN greatest(dx, dy) > 10 THEN 'Distortion' ELSE 'None' END AS assessment FROM (SELECT sum(n)::BIGINT AS n, max(dx) - min(dx) AS dx, max(dy) - min(dy) AS dy FROM (SELECT count(*) AS n, avg(x - x_aligned) AS dx, avg(y - y_aligned) AS dy FROM (SELECT *, median(x) OVER () AS mx, median(y) OVER () AS my FROM resid) GROUP BY x > mx, y > my))", *BASE, CAND, NEAR, RESID)
 def agg_11(spark, d):
     return rounded(D.distortion(C._residuals(spark, d)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.strings import coordinates, find_column, number
+from quern.operators.order import numbered as in_order
 
 
 def read_table(spark: SparkSession, path: str, sheet: str = "Long_Table") -> DataFrame:
@@ -33,7 +34,7 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def synthetic_ids(df: DataFrame, prefix: str, order: str) -> DataFrame:
-    return df.withColumn("particle_id", F.concat(F.lit(prefix), F.row_number().over(Window.orderBy(order)).cast("string")))
+    return in_order(df, "_n", order).withColumn("particle_id", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
 
 
 def _text(df: DataFrame, aliases: list[str]) -> Column:

@@ -1,6 +1,6 @@
 import pytest
 
-from quern.plans import catalog, more  # noqa: F401
+from quern.plans import catalog, further, more  # noqa: F401
 from tests.compare import connect, same
 
 DIR = "/root/testdata/sf0.001"
