@@ -8,7 +8,8 @@ passes if it shares no fewer draws than that says less SIGMAS standard deviation
 similar members have element counts within the threshold's ratio of each other.
 
 1. Leaders: every member is compared with its bucket's leader, first in a part of the
-   buckets, then in all: a pair a row at most, however large the bucket.
+   buckets, then in all, then in all with other leaders: a pair a row at most, however
+   large the bucket.
 2. Every bucket that still holds more than one part is compared in full, large ones block
    by block, so a link between two members that are both unlike their leaders isn't lost.
    Only members of its largest part aren't compared among themselves, as they are linked
@@ -32,7 +33,7 @@ from quern.llm.components import united
 #: One of so many buckets takes part in the first leader turn.
 FIRST = 8
 #: Leader turns over all buckets that follow.
-TURNS = 1
+TURNS = 2
 #: Members on one side of a comparison in full; larger buckets are cut into blocks, and all pairs of blocks compared.
 BLOCK = 1024
 #: Rows of one call of the comparison in full.
@@ -103,10 +104,13 @@ def _placed(met: DataFrame, parts: DataFrame) -> DataFrame:
 def _led(met: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of each bucket's leader of this turn and the members of other parts.
 
-    The first leader is the smallest member, later ones are drawn by a hash of id and turn.
+    First leaders are the members that meet most others: of variants of one original, that is the original, which is
+    nearer to all of them than they are to each other. The last turn's are drawn by a hash of the id.
     """
-    placed = _placed(met, parts).withColumn("draw", F.xxhash64("id", F.lit(turn)) if turn else F.col("id"))
-    top = placed.groupBy("key").agg(F.min("draw").alias("draw"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
+    name = F.xxhash64("id", F.lit(turn)).bitwiseAND(F.lit(0xFFFFFFFF))
+    known = F.least("meets", F.lit((1 << 31) - 1)) if turn < TURNS else F.lit(0)
+    placed = _placed(met, parts).withColumn("draw", F.shiftleft(known.cast("long"), 32).bitwiseOR(name))
+    top = placed.groupBy("key").agg(F.max("draw").alias("draw"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
     leaders = placed.join(top.select("key", "draw"), ["key", "draw"], "left_semi").select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("part").alias("part_a"))
     return placed.join(leaders, (F.col("key") == F.col("k")) & (F.col("part") != F.col("part_a"))).select("a", F.col("id").alias("b")).distinct()
 
@@ -168,9 +172,10 @@ def linked(met: DataFrame, marks: DataFrame, texts: DataFrame, verify: Callable,
     verified again.
     """
     spark = met.sparkSession
+    met = written(met.join(met.groupBy("id").agg(F.sum("size").alias("meets")), "id"), "met")
     parts = written(met.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct(), "parts")
     for turn in range(TURNS + 1):
-        some = met.filter(F.pmod("key", F.lit(FIRST)) == 0) if turn == 0 else met
+        some = met.filter(F.pmod("key", F.lit(FIRST)) == 0) if turn == 0 else met.filter("size > 2") if turn == TURNS else met
         pairs = written(_likely(_led(some, parts, turn), marks, threshold, alike).hint("rebalance"), "pairs")
         last, parts = parts, united(parts, verified(pairs, texts, verify))
         drop_written(pairs)
