@@ -62,11 +62,13 @@ def _passes(x: str, y: str, alike: float):
 
 def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many draws each row of x shares with each row of y, and how many either has."""
-    same, either = np.zeros((len(x), len(y)), np.uint8), np.zeros((len(x), len(y)), np.uint8)
-    for p, q in zip(x.T, y.T, strict=True):
-        same += (p[:, None] == q[None]) & (p != 0)[:, None]
-        either += (p != 0)[:, None] | (q != 0)[None]
-    return same, either
+    same, equal = np.zeros((len(x), len(y)), np.uint8), np.empty((len(x), len(y)), bool)
+    for p, q in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), strict=True):
+        np.equal(p[:, None], q[None], out=equal)
+        np.add(same, equal.view(np.uint8), out=same)
+    neither = ((x == 0).astype(np.float32) @ (y == 0).astype(np.float32).T).astype(np.uint8)  # equal, but not shared
+    same -= neither
+    return same, np.uint8(x.shape[1]) - neither
 
 
 def _pairs_task(threshold: float, alike: float):
@@ -81,6 +83,11 @@ def _pairs_task(threshold: float, alike: float):
         out = [(ids[:0], ids[:0], n[:0])]
         for members in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
             x, y = members[first[members]], members[second[members]]
+            # Members of the largest part are linked: within one block, they need not ask, only be asked.
+            names, of = np.unique(part[members], return_inverse=True)
+            whole = bool((first[members] & second[members]).all())
+            main = names[np.bincount(of).argmax()]
+            x = x[part[x] != main] if whole else x
             long = n[y]
             for i in (x[at : at + 256] for at in range(0, len(x), 256)):
                 low, high = np.searchsorted(long, [threshold * n[i[0]] - 1e-6, n[i[-1]] / threshold + 1e-6])
@@ -89,7 +96,7 @@ def _pairs_task(threshold: float, alike: float):
                 p, q = np.nonzero(same >= _least(either.astype(np.float32), alike))
                 shared, p, q = 100.0 * same[p, q] / np.maximum(either[p, q], 1), i[p], j[q]
                 ok = (part[p] != part[q]) & (np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]) - 1e-9)
-                ok &= (ids[p] < ids[q]) | ~(second[p] & first[q])  # within one block, each pair once
+                ok &= (ids[p] < ids[q]) | (part[q] == main) if whole else True  # within one block, each pair once
                 p, q = p[ok], q[ok]
                 out.append((np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), shared[ok].astype(np.int32)))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "shared"])
