@@ -328,12 +328,29 @@ _KNOWN = "id long, n int, bag array<tinyint>, _text string"
 _KNOWN_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bag", pa.list_(pa.int8())), ("_text", pa.string())])
 
 
-def bags(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of shingles of each line, and a byte for each of BAG ranges of their hashes: of the least in it, 0 for none."""
+def _shingled(lines: list[str]) -> np.ndarray:
+    """Hashes of the shingles of lines without repeats, below the number of the line; a shorter line is filled up."""
     flat, begin, sizes = _points([x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\n") for x in lines])
     counts = sizes - SHINGLE + 1
     low = _mix32(_grams(flat, SHINGLE))[ragged(np.arange(max(0, len(flat) - SHINGLE + 1)), begin, counts)]
-    every = np.unique(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(32) | low)
+    return np.unique(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(32) | low)
+
+
+def _elements(threshold: float):
+    """For the comparison in full (near.py): hashed shingles, of which near lines share so many; some slack for equal hashes."""
+
+    def of(texts: pa.Array):
+        lines = texts.to_pylist()
+        every = _shingled(lines)
+        counts = np.bincount((every >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+        return every.astype(np.uint32), counts, lambda n, m: (threshold / (1 + threshold) - 1e-4) * (n + m) - 1e-6, lambda i, j: similar_lines([lines[i]], [lines[j]], threshold)[0]
+
+    return of
+
+
+def bags(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of shingles of each line, and a byte for each of BAG ranges of their hashes: of the least in it, 0 for none."""
+    every = _shingled(lines)
     cell = (every >> np.uint64(25)).astype(np.int64)  # line and range
     first = _edges(cell)
     out = np.zeros(len(lines) * BAG, np.uint8)
@@ -393,7 +410,7 @@ def repeats(keyed: DataFrame, buckets: int, threshold: float = THRESHOLD, bands:
     free_shuffles(spark)
     sizes = met.groupBy("key").agg(F.count("*").alias("size"))
     members = written(met.join(sizes, "key"), "met")
-    parts = linked(members, lines.select("id", "n", "bag"), lines.select("id", "_text"), _verify_task(threshold), threshold, threshold)
+    parts = linked(members, lines.select("id", "n", "bag"), lines.select("id", "_text"), _verify_task(threshold), _elements(threshold), threshold, threshold)
     # The first occurrence of each line of a component goes, but for the first of them.
     at = F.struct("doc", "place", "name")
     placed = known.join(parts.select(F.col("node").alias("id"), "component"), "id").select("component", at.alias("at"))

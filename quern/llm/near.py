@@ -10,10 +10,13 @@ similar members have element counts within the threshold's ratio of each other.
 1. Leaders: every member is compared with its bucket's leader, first in a part of the
    buckets, then in all, then in all with other leaders: a pair a row at most, however
    large the bucket.
-2. Every bucket that still holds more than one part is compared in full, large ones block
-   by block, so a link between two members that are both unlike their leaders isn't lost.
-   Only members of its largest part aren't compared among themselves, as they are linked
-   already. Counts and bags are compared before any text is moved.
+2. Every bucket that still holds more than one part is compared in full, so a link between
+   two members that are both unlike their leaders isn't lost. Buckets whose best connected
+   member is the same are one unit, as members that share one bucket mostly share many; a
+   unit is compared once, with its texts at hand, large ones block by block. So pairs exist
+   only inside a task, which keeps those that bags, counts and common elements allow,
+   verifies them and returns the links that join parts: fewer than it has members. Only
+   members of a unit's largest part aren't compared among themselves, as they are linked already.
 3. Union-find after each step; what is in one part isn't compared again.
 """
 
@@ -27,17 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import drop_written, free_shuffles, written
+from quern.llm.common import drop_written, free_shuffles, lean, ragged, written
 from quern.llm.components import united
 
 #: One of so many buckets takes part in the first leader turn.
 FIRST = 8
 #: Leader turns over all buckets that follow.
 TURNS = 2
-#: Members on one side of a comparison in full; larger buckets are cut into blocks, and all pairs of blocks compared.
-BLOCK = 1024
-#: Rows of one call of the comparison in full.
-PACK = 4096
+#: Members on one side of a comparison in full, and bytes of their texts; larger units are cut into blocks, and all pairs
+#: of blocks compared.
+BLOCK, BYTES = 512, 8 << 20
+#: Rows of one call of the comparison in full, of units that aren't cut.
+PACK = 1024
 #: One similar pair in 30,000 at the very threshold is further below.
 SIGMAS = 4.0
 
@@ -130,53 +134,107 @@ def _likely(pairs: DataFrame, marks: DataFrame, threshold: float, alike: float)
     return pairs.filter(counts & _passes("bag_a", "bag_b", alike)).select("a", "b")
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose parts differ."""
-    for side in ("a", "b"):
-        pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side)
-    return pairs.filter("part_a != part_b").select("a", "b")
+def _common(values: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements texts x and y have in common; values are the elements of all texts, each text's without repeats."""
+    out = np.zeros(len(x), np.int64)
+    names, code = np.unique(values, return_inverse=True)
+    begins, has = np.cumsum(counts) - counts, np.zeros(len(names), bool)
+    order = np.argsort(x, kind="stable")
+    for pairs in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else []:
+        i = x[pairs[0]]
+        own = code[begins[i] : begins[i] + counts[i]]
+        has[own] = True
+        sizes = counts[y[pairs]]
+        sums = np.concatenate([[0], np.cumsum(has[ragged(code, begins[y[pairs]], sizes)])])
+        ends = np.cumsum(sizes)
+        out[pairs] = sums[ends] - sums[ends - sizes]
+        has[own] = False
+    return out
+
+
+def _links_task(threshold: float, alike: float, elements: Callable):
+    """Links (a, b) of the units in a pack that join parts."""
+    compared = _pairs_task(threshold, alike)
+
+    def run(key, table):
+        pairs = compared(key, table)
+        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+        ids, at = np.unique(table.column("id").to_numpy(), return_index=True)
+        out: list[tuple[int, int]] = []
+        if len(a):
+            code = np.unique(np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b), return_index=True)[1]
+            code = code[np.argsort(-pairs.column("shared").to_numpy()[code], kind="stable")]
+            some, each = np.unique(np.concatenate([np.searchsorted(ids, a[code]), np.searchsorted(ids, b[code])]), return_inverse=True)
+            x, y = np.split(each, 2)
+            values, counts, least, similar = elements(table.column("_text").take(pa.array(at[some])).combine_chunks())
+            likely = np.flatnonzero(_common(values, counts, x, y) >= least(counts[x], counts[y]))
+            root = {p: p for p in table.column("part").to_pylist()}
+            part = table.column("part").to_numpy()[at[some]].tolist()
+
+            def find(p):
+                while root[p] != p:
+                    root[p] = p = root[root[p]]
+                return p
+
+            for i, j in zip(x[likely].tolist(), y[likely].tolist(), strict=True):
+                p, q = find(part[i]), find(part[j])
+                if p != q and similar(i, j):
+                    root[p] = q
+                    out.append((int(ids[some[i]]), int(ids[some[j]])))
+        lean()
+        return pa.table([pa.array([c[k] for c in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
-def _rest(met: DataFrame, marks: DataFrame, parts: DataFrame, threshold: float, alike: float) -> DataFrame:
-    """(a, b, shared): all pairs of members of a bucket that aren't in one part and may be similar.
+def _rest(met: DataFrame, marks: DataFrame, texts: DataFrame, parts: DataFrame, elements: Callable, threshold: float, alike: float) -> DataFrame:
+    """Links (a, b) that join the parts of members of a bucket.
 
-    A bucket of at most BLOCK members is one unit. A larger one is cut by count, by whether a member is of the
-    bucket's largest part, and by a hash of the id; two blocks are a unit if their counts allow the similarity.
+    A unit of at most BLOCK members and BYTES of text is compared as it is. A larger one is cut by count, by whether a
+    member is of the unit's largest part, and by a hash of the id; two blocks are a unit if their counts allow the similarity.
     """
     placed = _placed(met, parts)
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("m"))
-    apart = sizes.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("many")).filter("many > 1")
-    rows = written(placed.join(apart.select("key", F.col("top.part").alias("main")), "key").join(marks, "id"), "apart")
-    columns = ["id", "n", "part", "bag"]
-    small = rows.filter(f"size <= {BLOCK}").select(*columns, F.xxhash64("key").alias("unit"), F.lit(True).alias("first"), F.lit(True).alias("second"))
-    every = small
-    if rows.filter(f"size > {BLOCK}").limit(1).count():
+    best = F.max(F.struct("meets", "id"))
+    keys = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), best.alias("best")).filter("p < q")
+    some = placed.join(keys.select("key", F.xxhash64("best.id").alias("unit")), "key").select("unit", "id", "part").distinct()
+    sized = texts.select("id", "_text", F.octet_length("_text").alias("bytes"))
+    rows = written(some.join(marks, "id").join(sized, "id"), "apart")
+    columns = ["id", "n", "part", "bag", "_text"]
+    sizes = rows.groupBy("unit").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    sizes = written(sizes.withColumn("cut", (F.col("m") > BLOCK) | (F.col("bytes") > BYTES)), "units")
+    whole = sizes.filter("not cut").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    packs = max(1, whole.m // PACK, whole.bytes // BYTES)
+    every = rows.join(sizes.filter("not cut").select("unit"), "unit", "left_semi")
+    every = every.select(*columns, "unit", F.lit(True).alias("first"), F.lit(True).alias("second"), F.pmod("unit", F.lit(packs)).alias("pack"))
+    if sizes.filter("cut").limit(1).count():
+        large = rows.join(sizes.filter("cut").select("unit"), "unit", "left_semi").withColumnRenamed("unit", "key")
+        main = large.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"))
         # Of two counts in steps of the threshold, those that allow the similarity are neighbours.
         step = F.floor(F.log(F.col("n")) / (1e-6 - math.log(threshold)))
-        large = rows.filter(f"size > {BLOCK}").select("key", *columns, step.alias("step"), (F.col("part") == F.col("main")).alias("is_main"))
+        large = large.join(main.select("key", F.col("top.part").alias("main")), "key").select("key", "bytes", *columns, step.alias("step"), (F.col("part") == F.col("main")).alias("is_main"))
         kind = ["key", "step", "is_main"]
-        cuts = large.groupBy(*kind).agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+        cuts = large.groupBy(*kind).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BYTES)).alias("cuts"))
+        cuts = written(cuts, "cuts")
         block = F.pmod(F.xxhash64("id", "key"), F.col("cuts")).alias("block")
-        large = written(large.join(cuts, kind).select(*kind, block, *columns), "blocks")
+        large = large.join(cuts, kind).select(*kind, block, *columns)
         blocks = cuts.select(*kind, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("block"))
         name = [*kind[1:], "block"]
         other = blocks.select("key", *[F.col(c).alias(f"{c}_2") for c in name])
         mine, its = F.struct(*name), F.struct(*[f"{c}_2" for c in name])
         units = blocks.join(other, "key").filter((mine <= its) & (F.abs(F.col("step") - F.col("step_2")) <= 1) & ~(F.col("is_main") & F.col("is_main_2")))
         units = written(units.withColumns({"unit": F.xxhash64("key", mine, its), "own": mine == its}), "units")
-        left = large.join(units, [*kind, "block"]).select(*columns, "unit", F.lit(True).alias("first"), F.col("own").alias("second"))
-        theirs = units.filter("not own").select("key", *[F.col(f"{c}_2").alias(c) for c in name], "unit")
-        right = large.join(theirs, [*kind, "block"]).select(*columns, "unit", F.lit(False).alias("first"), F.lit(True).alias("second"))
-        every = written(small.unionByName(left).unionByName(right), "compared")
-    packs = max(1, every.count() // PACK)
-    return every.groupBy(F.pmod("unit", F.lit(packs)).alias("pack")).applyInArrow(_pairs_task(threshold, alike), "a long, b long, shared int").distinct()
+        sides = units.select(*kind, "block", "unit", F.lit(True).alias("first"), F.col("own").alias("second"))
+        theirs = units.filter("not own").select("key", *[F.col(f"{c}_2").alias(c) for c in name], "unit", F.lit(False).alias("first"), F.lit(True).alias("second"))
+        cut = large.join(sides.unionByName(theirs), [*kind, "block"]).select(*columns, "unit", "first", "second", F.col("unit").alias("pack"))
+        every = every.unionByName(cut)
+    return every.groupBy("pack").applyInArrow(_links_task(threshold, alike, elements), "a long, b long")
 
 
-def linked(met: DataFrame, marks: DataFrame, texts: DataFrame, verify: Callable, threshold: float, alike: float, steps: tuple[int, ...] = (90, 80)) -> DataFrame:
+def linked(met: DataFrame, marks: DataFrame, texts: DataFrame, verify: Callable, elements: Callable, threshold: float, alike: float) -> DataFrame:
     """node, component of every member, all links between members of a bucket verified.
 
-    steps: the likeliest pairs are verified first, those that share so many of a hundred draws; what they link isn't
-    verified again.
+    elements: of an array of texts, the hashed elements of all of them without repeats within a text and how many each
+    has, how many texts of so many elements share at least, and whether texts i and j are similar.
     """
     spark = met.sparkSession
     met = written(met.join(met.groupBy("id").agg(F.sum("size").alias("meets")), "id"), "met")
@@ -188,8 +246,6 @@ def linked(met: DataFrame, marks: DataFrame, texts: DataFrame, verify: Callable,
         drop_written(pairs)
         drop_written(last)
     free_shuffles(spark)
-    rest = written(_rest(met, marks, parts, threshold, alike), "rest")
-    for most, low in zip((1 << 30, *steps), (*steps, alike)):
-        parts = united(parts, verified(_apart(rest.filter(f"shared >= {low} and shared < {most}"), parts).hint("rebalance"), texts, verify))
+    links = written(_rest(met, marks, texts, parts, elements, threshold, alike), "rest")
     free_shuffles(spark)
-    return parts
+    return united(parts, links)

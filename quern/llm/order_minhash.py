@@ -233,6 +233,19 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], np.diff(offsets)
 
 
+def _elements(threshold: float):
+    """For the comparison in full (near.py): labelled words, as texts share at least what an alignment keeps."""
+
+    def of(texts: pa.Array):
+        words, counts = word_hashes(*_flat(texts))
+        each = np.split(words, np.cumsum(counts)[:-1])
+        longest_less = lambda longest: longest - ((1 - threshold) * longest + 1e-9).astype(np.int64)
+        _powers.clear()
+        return _labelled(words, np.repeat(np.arange(len(counts)), counts)), counts, lambda n, m: longest_less(np.maximum(n, m)), lambda i, j: similar(each[i], each[j], threshold)
+
+    return of
+
+
 _KEYS = "doc_id long, th long, h1 long, h2 long, n_words int, keys array<long>, bag array<tinyint>"
 _KEYS_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_words", pa.int32()), ("keys", pa.list_(pa.int64())), ("bag", pa.list_(pa.int8()))])
 
@@ -300,7 +313,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, repeats: int = REPEATS
     texts = written(own.join(some.select("id", "doc", "th"), (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th"))).dropDuplicates(["id"]).select("id", "_text"), "texts")
     marks = written(some.select("id", F.col("n_words").alias("n"), "bag"), "marks")
     free_shuffles(spark)
-    parts = linked(met, marks, texts, _verify_task(threshold), threshold, ALIKE)
+    parts = linked(met, marks, texts, _verify_task(threshold), _elements(threshold), threshold, ALIKE)
     same = made.join(classes.select("h1", "h2", F.col("id").alias("class"), F.col("doc").alias("class_id")), ["h1", "h2"]).filter("n_words > 0").select("doc_id", "class", "class_id", "n_words").distinct()
     # Different texts under one doc_id: their classes are linked through it.
     several = written(same.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.collect_set("class").alias("all")).filter("a < z").select("a", F.explode("all").alias("b")), "several")

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from quern.llm import near
+from quern.llm import lines, near
 
 
 def members(rng, k, draws):
@@ -50,3 +50,22 @@ def test_a_linked_bucket_isnt_compared_with_itself(monkeypatch):
     table = pa.table({"id": pa.array(np.arange(k)), "n": pa.array(np.full(k, 100, np.int32)), "part": pa.array(part), "bag": lists, "unit": pa.array(np.zeros(k, np.int64)), "first": every, "second": every})
     near._pairs_task(0.8, 0.8)(None, table)
     assert sum(asked) == 2 * k
+
+
+def test_the_comparison_in_full_returns_links_not_pairs():
+    """80 members whose bags are alike, of which the texts of two pairs are similar: two links leave the task, for a cycle one less."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdefgh"), 60)) for _ in range(80)]
+    texts[50], texts[60], texts[70], texts[71] = texts[5][:-1] + "x", texts[6][:-1] + "y", texts[7][:-1] + "z", texts[7][:-2] + "zz"
+    k, draws = len(texts), 128
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * draws), pa.array(np.ones(k * draws, np.int8)))
+    every, ids = np.ones(2 * k, bool), np.arange(k) * 3
+    one = pa.table({"id": pa.array(ids), "n": pa.array(np.full(k, 57, np.int32)), "part": pa.array(ids), "bag": lists, "_text": pa.array(texts), "unit": pa.array(np.zeros(k, np.int64))})
+    table = pa.concat_tables([one, one.set_column(5, "unit", pa.array(np.ones(k, np.int64)))]).append_column("first", pa.array(every)).append_column("second", pa.array(every))
+    assert near._pairs_task(0.8, 0.8)(None, table).num_rows == k * (k - 1)  # each pair in both units
+    got = near._links_task(0.8, 0.8, lines._elements(0.8))(None, table).to_pandas()
+    part = {i: i for i in range(k)}
+    for a, b in zip(got.a // 3, got.b // 3, strict=True):
+        assert part[a] != part[b] and lines.similar_lines([texts[a]], [texts[b]], 0.8) == [True]
+        part = {i: part[a] if p == part[b] else p for i, p in part.items()}
+    assert len(got) == 4 and part[5] == part[50] and part[6] == part[60] and part[7] == part[70] == part[71]
