@@ -1,4 +1,4 @@
-"""Operator 8: fuzzy line dedup by MinHash.
+"""Operator 8: fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A line is a trimmed, non-empty piece between line feeds; equal lines are one line.
 Two lines are near if the Jaccard similarity of their sets of SHINGLE-character
@@ -6,23 +6,20 @@ shingles is THRESHOLD or more (a shorter line's set is itself). Linked lines for
 components; of each component the occurrence with the smallest (doc_id, place) stays
 and every other occurrence goes.
 
-It was asked for as DataFrame operations only. That form can't meet its limits with whole
-results (figures in the README), so this is numpy in Arrow batches:
-
-1. Parse. Each task cuts its texts into lines. Of equal lines only the first occurrence
-   leaves the task, the others are repeats already; so a line in a third of all documents
-   costs a record a task. Lines are named by two 64-bit hashes.
-2. Signatures: minima of hashes of SIGNED-character shingles, ROWS of them a key. Short
-   lines use every shingle, longer ones those whose hash begins with two or four zero bits.
-   The ranges of lengths overlap by more than the similarity allows, so near lines have a
-   range in common. Of the lines of a task with one key, one stands for all in the key's
-   bucket, so a bucket's size follows the tasks, not the lines; the others have met already.
-3. Buckets of lines and of keys meet in one shuffle of packed arrays. It gives the first
-   occurrence of each line, all repeats, and the members of each key with two lines or more.
-4. Only those lines' texts are fetched. Members are compared with leaders, then every bucket
-   in full (near.py); pairs that bags of MinHash draws allow are verified by the exact
-   Jaccard similarity of their sets; distributed union-find gives the components.
-5. The documents drop the places that go.
+1. Signatures: minima of hashes of the SIGNED-byte strings of a line's UTF-8, in one hash
+   aggregate with partial aggregation before the only shuffle; texts aren't shuffled.
+   Short lines use every such string (level 0), longer ones those whose hash begins with two
+   or four zero bits (levels 1, 2). The levels' ranges of lengths overlap by more than the
+   similarity allows, so near lines have a level in common; lines that repeat one to three
+   characters again and again have all levels. Lines are named by two 64-bit hashes.
+2. Banding: ROWS minima make a key. Members of a bucket are compared with its leaders
+   (near.py), a pair a row at most.
+3. Every bucket that still holds several parts is compared in full, buckets with the same
+   best connected member as one unit. First each member is asked whether sketches allow it
+   any partner in another part, in a semi join that makes no pairs; the members left are
+   compared by their hashed shingles within the join, so only links become rows.
+4. Pairs whose sketches allow it are verified by the exact Jaccard similarity over all
+   shingles; components by distributed union-find.
 
 Defined results: null and empty texts have no lines and come back as they are; blank
 lines are never repeats and stay; rows with equal doc_id and text are one document and
@@ -33,429 +30,265 @@ columns of that name. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from xxhash import xxh3_128_digest
 
-from quern.llm.common import free_shuffles, lean, ragged, small_batches, written
-from quern.llm.near import linked
-from quern.llm.substrings import mix
+from quern.llm import near
+from quern.llm.common import drop_written, fingerprint, free_shuffles, written
+from quern.llm.components import united
+from quern.llm.line_sets import _elements, bags, similar_lines  # noqa: F401  the plain form, for tests
 
-#: Characters of the shingles that the similarity is about, and of those that are signed; the latter are longer, as
-#: hardly any two unlike lines have them in common by three or four minima.
+#: Characters of the shingles that the similarity is about, and bytes of the strings that are signed; the latter are
+#: longer, as hardly any two unlike lines have them in common by three or four minima.
 SHINGLE, SIGNED, THRESHOLD = 4, 7, 0.8
 BANDS, ROWS = 12, 4
 SHORT_BANDS, SHORT_ROWS = 13, 3
-#: Lines of up to SHORT[1] characters sign every shingle, lines of over SHORT[0] and up to LONG[1] one in four, lines
-#: of over LONG[0] one in sixteen. Characters that repeat what stands one to three places before don't count.
+#: Characters of lines of level 0 (up to SHORT[1]), 1 (over SHORT[0], up to LONG[1]) and 2 (over LONG[0]).
 SHORT, LONG = (100, 125), (320, 400)
-#: Draws of the bag of a line's shingles: the least of those that begin with each of 128 values.
-BAG = 128
-#: Characters that are parsed together, characters after which a task sends what it has, bytes of text of a bucket.
-BLOCK, FLUSH, BUCKET = 1 << 19, 16 << 20, 16 << 20
+#: Hash bits that are zero in the sample of each level.
+BITS = (0, 2, 4)
+#: Bytes after which a run repeats: one of period 1, 2, 3 or 6. Lines with runs have all levels, as their length says little of their sets.
+PERIOD = 6
+#: A hash deals a line's strings into so many bins, each of whose minima is a draw; further draws take further hashes.
+BINS = 8
+#: Four bits of each of the first minima are the sketch. At the very threshold lines share two thirds of their minima
+#: on average; so many equal draws are over 4 standard deviations below, of draws and sample.
+DRAWS, LEAST_EQUAL = 48, (19, 10, 10)
+#: Members of a unit that one task compares with all others of it: by sketches, by shingles.
+LIGHT, HEAVY = 2048, 512
 _NULL_ID = 2**63 - 1
-_FLIPS = np.random.default_rng(20).integers(0, 2**32, 4096).astype(np.uint32)
 
 
-class Lines:
-    """The non-blank lines of texts: row of the text, place among its pieces, line, and two names."""
+def shingles(line: Column, k: int) -> Column:
+    """The distinct k-character strings of a line as 64-bit hashes; a shorter line is its own."""
+    at = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - (4 * k - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * k))))
+    # The encoded line is bound by a lambda, so that it isn't copied for each of its shingles.
+    every = F.transform(F.array(F.encode(line, "UTF-32")), at)[0]
+    return F.when(F.char_length(line) < k, F.array(F.xxhash64(line))).otherwise(F.array_distinct(every))
 
-    def __init__(self, texts: list[str]):
-        self.row, self.place, self.line, names = [], [], [], []
-        for row, text in enumerate(texts):
-            for place, piece in enumerate(text.split("\n")):
-                if line := piece.strip(" "):
-                    self.row.append(row)
-                    self.place.append(place)
-                    self.line.append(line)
-                    names.append(xxh3_128_digest(line))
-        self.h1, self.h2 = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2).T.copy()
 
+def _int(x: Column) -> Column:
+    """The low 32 bits of a long."""
+    return (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
 
-def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lines' characters one after another, and each line's begin and size; a character stands between two lines."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    return np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32), np.cumsum(sizes + 1) - sizes - 1, sizes
 
+def _runs(line: Column) -> Column:
+    """Whether the line holds a run; all of at least 3 * PERIOD bytes are found."""
+    at = lambda b: F.exists(F.sequence(F.lit(1), F.octet_length(b) - (2 * PERIOD - 1), F.lit(PERIOD)), lambda i: F.substring(b, i, F.lit(PERIOD)) == F.substring(b, i + PERIOD, F.lit(PERIOD)))
+    return F.transform(F.array(line.cast("binary")), at)[0]
 
-_UP, _INVERSE = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
 
-
-def _powers(base: int, n: int, held: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006  kept between calls
-    """Powers of an odd base modulo 2**32."""
-    out = held.get(base)
-    if out is None or len(out) < n:
-        out, done = np.ones(max(n, BLOCK + BLOCK // 2), np.uint32), 1
-        while done < len(out):
-            out[done : 2 * done] = out[: min(done, len(out) - done)] * np.uint32(pow(base, done, 1 << 32))
-            done *= 2
-        held.clear() if n > 4 * BLOCK else None
-        held[base] = out
-    return out
-
-
-def _mix32(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x846CA68B)
-    return h ^ (h >> np.uint32(16))
-
-
-def _grams(flat: np.ndarray, k: int) -> np.ndarray:
-    """A 32-bit hash of the k characters from each place; its high bits are the good ones."""
-    sums = np.zeros(len(flat) + 1, np.uint32)
-    np.cumsum((flat + np.uint32(1)) * _powers(_UP, len(flat))[: len(flat)], out=sums[1:], dtype=np.uint32)
-    return (sums[k:] - sums[:-k]) * _powers(_INVERSE, len(flat))[: len(flat) - k + 1]
-
-
-def band_keys(lines: list[str], bands: int, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): the keys of all lines. Lines of less than SHINGLE characters have none."""
-    flat, begin, sizes = _points(lines)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-    if len(flat) >= k:
-        value = _grams(flat, k)
-        again = np.zeros(len(value), bool)
-        for back in (1, 2, 3):
-            again[back:] |= value[back:] == value[:-back]
-        repeat = np.zeros(len(value) + 1, np.int32)
-        np.cumsum(again, out=repeat[1:])
-        last = np.minimum(begin + np.maximum(sizes - k + 1, 0), len(value))
-        length = sizes - (repeat[last] - repeat[np.minimum(begin, last)])
-        every = np.flatnonzero((length <= SHORT[1]) & (sizes >= k))
-        counts = sizes[every] - k + 1
-        out.append(_minima(np.repeat(every, counts), value[ragged(np.arange(len(value)), begin[every], counts)], 1 << 16, max(SHORT_BANDS, bands), SHORT_ROWS))
-        for tag, bits, above, most in ((2, 2, SHORT[0], LONG[1]), (3, 4, LONG[0], 1 << 62)):
-            at = np.flatnonzero(value < np.uint32(1 << (32 - bits)))
-            line = np.searchsorted(begin, at, side="right") - 1
-            ok = (at < last[line]) & (length[line] > above) & (length[line] <= most)
-            out.append(_minima(line[ok], value[at[ok]], tag << 16, bands, rows))
-    # Lines that have shingles but are shorter than k are read round, so that "----" meets "----------".
-    few = np.flatnonzero((sizes >= SHINGLE) & (sizes < k))
-    if len(few):
-        round_ = [(lines[i] * k)[: len(lines[i]) + k - 1] for i in few]
-        value, counts = [_grams(_points([x])[0], k) for x in round_], sizes[few]
-        out.append(_minima(np.repeat(few, counts), np.concatenate(value), 1 << 16, max(SHORT_BANDS, bands), SHORT_ROWS))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-
-
-def _minima(line: np.ndarray, value: np.ndarray, tag: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    if not len(line):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low = _mix32(value)
-    edges = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    keys = np.zeros((len(edges), bands), np.uint64)
-    for b in range(bands):
-        key = np.full(len(edges), tag + b, np.uint64)
-        for r in range(rows):  # a minimum over h XOR a constant is a draw that equal sets share
-            key = mix(key + np.minimum.reduceat(low ^ _FLIPS[b * rows + r], edges))
-        keys[:, b] = key
-    return np.repeat(line[edges], bands), keys.ravel()
-
-
-_BLOBS = "bucket long, kind string, data binary"
-_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("data", pa.binary())])
-_KINDS = {
-    "line": (np.uint64, np.uint64, np.int64, np.int32, np.int64),  # names, document, place, row name
-    "key": (np.uint64, np.uint64),  # key, line
-    "met": (np.uint64, np.uint64),  # key, line: of keys with two lines or more
-    "gone": (np.int64, np.int32),  # row name, place
-}
-
-
-def _pack(arrays: list[np.ndarray], kind: str) -> bytes:
-    return b"".join(np.ascontiguousarray(a.astype(t, copy=False)).tobytes() for a, t in zip(arrays, _KINDS[kind], strict=True))
-
-
-def _unpack(kind: str, blobs: list[bytes]) -> list[np.ndarray]:
-    types = [np.dtype(t) for t in _KINDS[kind]]
-    width = sum(t.itemsize for t in types)
-    parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in types]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for part, t in zip(parts, types, strict=True):
-            part.append(np.frombuffer(blob, t, n, at))
-            at += n * t.itemsize
-    return [np.concatenate(p) for p in parts]
-
-
-def _deal(kind: str, bucket: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, str, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-        yield int(bucket[part[0]]), kind, _pack([a[part] for a in arrays], kind)
-
-
-def _batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
-
-
-def _edges(*keys: np.ndarray) -> np.ndarray:
-    """Where a new group begins in sorted keys."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
-def _firsts(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of "line" records: the first occurrence of each line, and (row name, place) of those that come after it."""
-    h1, h2, doc, place, name = arrays
-    order = np.lexsort((name, place, doc, h2, h1))
-    h1, h2, doc, place, name = (a[order] for a in arrays)
-    edges = _edges(h1, h2)
-    sizes = np.diff(np.concatenate([edges, [len(h1)]]))
-    later = (doc != np.repeat(doc[edges], sizes)) | (place != np.repeat(place[edges], sizes)) | (name != np.repeat(name[edges], sizes))
-    return [a[edges] for a in (h1, h2, doc, place, name)], [name[later], place[later]]
-
-
-def _met(key: np.ndarray, line: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(key, line) of the keys with two lines or more, and of one line a key."""
-    order = np.lexsort((line, key))
-    key, line = key[order], line[order]
-    new = _edges(key, line)
-    key, line = key[new], line[new]
-    edges = _edges(key)
-    many = np.repeat(np.diff(np.concatenate([edges, [len(key)]])) > 1, np.diff(np.concatenate([edges, [len(key)]])))
-    return [key[many], line[many]], [key[edges], line[edges]]
-
-
-def _parse_task(buckets: int, bands: int, rows: int, k: int):
-    """Steps 1 and 2. Buckets: keys, then lines, then documents, then members that have met."""
-
-    def flush(held: list[list[np.ndarray]], keyed: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        first, gone = _firsts([np.concatenate(x) for x in zip(*held, strict=True)])
-        met, one = _met(*(np.concatenate(x) for x in zip(*keyed, strict=True)))
-        out = [*_deal("line", buckets + (first[0] % np.uint64(buckets)).astype(np.int64), first), *_deal("gone", 2 * buckets + gone[0] % buckets, gone)]
-        out += [*_deal("met", 3 * buckets + (met[0] % np.uint64(buckets)).astype(np.int64), met), *_deal("key", (one[0] % np.uint64(buckets)).astype(np.int64), one)]
-        for i in range(0, len(out), 256):
-            yield _batch(out[i : i + 256])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keyed, size = [], [], 0
-        for batch in batches:
-            docs, names, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for a, b in _cuts([len(t) for t in texts], BLOCK):
-                lines = Lines(texts[a:b])
-                held.append([lines.h1, lines.h2, docs[a:b][lines.row], np.array(lines.place, np.int32), names[a:b][lines.row]])
-                one = np.unique(lines.h1, return_index=True)[1]
-                line, key = band_keys([lines.line[i] for i in one], bands, rows, k)
-                keyed.append([key, lines.h1[one][line]])
-                size += sum(map(len, texts[a:b]))
-                if size >= FLUSH:
-                    yield from flush(held, keyed)
-                    held, keyed, size = [], [], 0
-        if held:
-            yield from flush(held, keyed)
-        lean()
-
-    return run
-
-
-def _cuts(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
-    """Index ranges of texts with about limit characters each; a longer text is alone."""
-    at = size = 0
-    for i, n in enumerate(sizes):
-        if size and size + n > limit:
-            yield at, i
-            at, size = i, 0
-        size += n + 1
-    if at < len(sizes):
-        yield at, len(sizes)
-
-
-def _bucket_task(buckets: int):
-    """Step 3, for one bucket of keys or lines; the others pass."""
-
-    def run(key, table):
-        at = key[0].as_py()
-        if at >= 2 * buckets:
-            return table
-        if at < buckets:
-            met, _ = _met(*_unpack("key", table.column("data").to_pylist()))
-            return pa.Table.from_batches([_batch([(3 * buckets + at, "met", _pack(met, "met"))] if len(met[0]) else [])], schema=_ARROW)
-        first, gone = _firsts(_unpack("line", table.column("data").to_pylist()))
-        return pa.Table.from_batches([_batch([(at, "line", _pack(first, "line")), *_deal("gone", 2 * buckets + gone[0] % buckets, gone)])], schema=_ARROW)
-
-    return run
-
-
-def _rows_of(kind: str, blobs: DataFrame, schema: str) -> DataFrame:
-    """The records of a kind as rows."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                arrays = [a.view(np.int64) if a.dtype == np.uint64 else a for a in _unpack(kind, [blob])]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
-
-    return blobs.filter(F.col("kind") == kind).select("data").mapInArrow(run, schema)
-
-
-def _set(line: str, k: int = SHINGLE) -> set[str]:
-    """The k-character strings of a line; a shorter line is its own."""
-    return {line[i : i + k] for i in range(len(line) - k + 1)} or {line}
-
-
-def similar_lines(x: list[str], y: list[str], threshold: float) -> list[bool]:
-    """Whether the Jaccard similarity of each pair of lines is threshold or more."""
-    out, last, a = [], None, set()
-    for p, q in zip(x, y, strict=True):
-        if p != last:  # a leader's pairs often follow one another
-            last, a = p, _set(p)
-        b = _set(q)
-        both = len(a & b)
-        out.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
-    return out
-
-
-def _verify_task(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = pa.array(similar_lines(x, y, threshold), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
-        lean()
-
-    return run
-
-
-_KNOWN = "id long, n int, bag array<tinyint>, _text string"
-_KNOWN_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bag", pa.list_(pa.int8())), ("_text", pa.string())])
-
-
-def _shingled(lines: list[str]) -> np.ndarray:
-    """Hashes of the shingles of lines without repeats, below the number of the line; a shorter line is filled up."""
-    flat, begin, sizes = _points([x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\n") for x in lines])
-    counts = sizes - SHINGLE + 1
-    low = _mix32(_grams(flat, SHINGLE))[ragged(np.arange(max(0, len(flat) - SHINGLE + 1)), begin, counts)]
-    return np.unique(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(32) | low)
-
-
-def _elements(threshold: float):
-    """For the comparison in full (near.py): hashed shingles, of which near lines share so many; some slack for equal hashes."""
-
-    def of(texts: pa.Array):
-        lines = texts.to_pylist()
-        every = _shingled(lines)
-        counts = np.bincount((every >> np.uint64(32)).astype(np.int64), minlength=len(lines))
-        return every.astype(np.uint32), counts, lambda n, m: (threshold / (1 + threshold) - 1e-4) * (n + m) - 1e-6, lambda i, j: similar_lines([lines[i]], [lines[j]], threshold)[0]
-
-    return of
-
-
-def bags(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of shingles of each line, and a byte for each of BAG ranges of their hashes: of the least in it, 0 for none."""
-    every = _shingled(lines)
-    cell = (every >> np.uint64(25)).astype(np.int64)  # line and range
-    first = _edges(cell)
-    out = np.zeros(len(lines) * BAG, np.uint8)
-    out[cell[first]] = every[first].astype(np.uint32) * np.uint32(0x9E3779B1) % np.uint32(255) + np.uint32(1)
-    return np.bincount(cell >> 7, minlength=len(lines)).astype(np.int32), out.reshape(-1, BAG).view(np.int8)
-
-
-def _fetch(key, docs, asked):
-    """Step 4: the texts of the asked lines (id, place) of a bucket's documents."""
-    rows = [pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _KNOWN_ARROW], schema=_KNOWN_ARROW)]
-    ids, texts, last, pieces = [], [], None, []
-    if asked.num_rows:
-        own = dict(zip(docs.column("_name").to_pylist(), docs.column("_text").to_pylist(), strict=True))
-        for name, i, place in sorted(zip(*(asked.column(c).to_pylist() for c in ("name", "id", "place")), strict=True)):
-            if name != last:
-                last, pieces = name, own[name].split("\n")
-            ids.append(i)
-            texts.append(pieces[place].strip(" "))
-    for a, b in _cuts([len(t) for t in texts], BLOCK):
-        n, bag = bags(texts[a:b])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BAG), pa.array(bag.ravel()))
-        rows.append(pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(n), lists, pa.array(texts[a:b], pa.string())], schema=_KNOWN_ARROW))
-    return pa.Table.from_batches(rows)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """_doc orders the documents, _name is a hash of a row's id and text."""
+    text = F.col("text").cast("string")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    return docs.select(doc.alias("_doc"), F.xxhash64(doc, text).alias("_name"), text.alias("_text")).filter("_text is not null")
 
 
-def _pack_gone(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows = list(_deal("gone", 2 * buckets + name % buckets, [name, place]))
-            if rows:
-                yield _batch(rows)
+def _lined(docs: DataFrame, *columns: str) -> DataFrame:
+    """A row for each non-blank line: the columns, place, line and its two names."""
+    out = docs.select(*columns, F.posexplode(F.split("_text", "\n", -1)).alias("place", "_piece"))
+    out = out.select(*columns, "place", F.trim("_piece").alias("line")).filter("line != ''")
+    return out.select("*", fingerprint(F.col("line"), 1).alias("id"), fingerprint(F.col("line"), 2).alias("h2"))
 
-    return run
 
+def signatures(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SIGNED) -> DataFrame:
+    """Every distinct line at each of its levels: id, h2, level, name of a document that has it, occurrences n, keys, sketch w0 to w3.
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """_doc orders the documents, _name is a hash of a row's id and text, by which rows are dealt."""
-    text = F.col("text").cast("string")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
-    return docs.select(F.struct(*docs.columns).alias("_row"), doc.alias("_doc"), F.xxhash64(doc, text).alias("_name"), text.alias("_text"))
+    Lines of less than SHINGLE characters have level -1 and no keys: only equal ones are near.
+    """
+    draws = -(-max(bands * rows, SHORT_BANDS * SHORT_ROWS, DRAWS) // BINS) * BINS
+    hashes = draws // BINS
+    size, level, i, x = F.col("size"), F.col("level"), F.col("i"), F.col("x")
+    of = lambda *levels: F.array(*[F.lit(n) for n in levels])
+    levels = F.when(size < SHINGLE, of(-1)).when(size <= SHORT[0], of(0)).when(_runs(F.col("line")), of(0, 1, 2))
+    levels = levels.when(size <= SHORT[1], of(0, 1)).when(size <= LONG[0], of(1)).when(size <= LONG[1], of(1, 2)).otherwise(of(2))
+    # Lines that have shingles but are shorter than k are read round, so that "----" meets "----------".
+    round_ = F.substring(F.repeat("line", F.lit(k)), F.lit(1), size + (k - 1))
+    lines = _lined(keyed, "_name").withColumn("size", F.char_length("line"))
+    lines = lines.select("id", "h2", "_name", F.when(size.between(SHINGLE, k - 1), round_).otherwise(F.col("line")).cast("binary").alias("bytes"), F.explode(levels).alias("level"))
+    last = F.when(level < 0, 0).otherwise(F.greatest(F.octet_length("bytes") - k, F.lit(0)))
+    # One row for each string, made and hashed in generated code.
+    marks = lines.select("id", "h2", "_name", "level", "bytes", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    marks = marks.select("id", "h2", "_name", "level", "i", F.xxhash64(F.substring("bytes", i + 1, F.lit(k))).alias("x"))
+    drawn = (level == 0) | (level == 1) & (F.shiftrightunsigned(x, 64 - BITS[1]) == 0) | (level == 2) & (F.shiftrightunsigned(x, 64 - BITS[2]) == 0)
+    marks = marks.filter(drawn | (i == 0)).select("id", "h2", "level", "_name", (i == 0).cast("int").alias("one"), F.when(drawn, x).alias("x"))
+    mixed = [F.xxhash64("x", F.lit(g)).alias(f"z{g}") for g in range(hashes)]
+    marks = marks.select("*", *mixed)
+    z = [F.col(f"z{g}") for g in range(hashes)]
+    marks = marks.select("id", "h2", "level", "_name", "one", *[F.when(x.isNotNull(), F.shiftrightunsigned(z[g], 61)).cast("int").alias(f"b{g}") for g in range(hashes)], *[_int(z[g]).alias(f"v{g}") for g in range(hashes)])
+    # Draw n is of hash n % hashes and bin n // hashes, so that the draws of a key are of different hashes. Only one bin a
+    # hash takes a string; all buffers are of fixed width, so this is a hash aggregate.
+    minima = [F.expr(f"min(v{n % hashes}) filter (where b{n % hashes} = {n // hashes})").alias(f"d{n}") for n in range(draws)]
+    made = marks.groupBy("id", "h2", "level").agg(F.min("_name").alias("name"), F.sum("one").alias("n"), *minima)
+    # An empty bin takes what the next bins in an order of its own have.
+    rng, filled = random.Random(20), []
+    for n in range(draws):
+        others = [j for j in range(BINS) if j != n // hashes]
+        rng.shuffle(others)
+        filled.append(F.coalesce(f"d{n}", *[f"d{j * hashes + n % hashes}" for j in others]).alias(f"m{n}"))
+    made = made.select("id", "h2", "level", "name", "n", *filled)
+    top = F.shiftleft(level.cast("long"), 62)
+    key = lambda b, each: F.shiftrightunsigned(F.xxhash64(F.lit(b), *[f"m{n}" for n in range(b * each, (b + 1) * each)]), 2).bitwiseOR(top)
+    keys = F.when(F.col("m0").isNull(), F.array().cast("array<bigint>")).when(level == 0, F.array(*[key(b, SHORT_ROWS) for b in range(min(max(SHORT_BANDS, bands), draws // SHORT_ROWS))]))
+    keys = keys.otherwise(F.array(*[key(b, rows) for b in range(bands)]))
+
+    def word(bit: int) -> Column:
+        out = F.lit(0).cast("long")
+        for n in range(DRAWS):
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"m{n}"), bit).bitwiseAND(F.lit(1)).cast("long"), n))
+        return out.alias(f"w{bit}")
+
+    return made.select("id", "h2", "level", "name", "n", keys.alias("keys"), *[word(bit) for bit in range(4)])
+
+
+def _allowed(a: str, b: str) -> Column:
+    """Whether the sketches of a and b, of one level, allow the similarity."""
+    unlike = F.lit(0).cast("long")
+    for n in range(4):
+        unlike = unlike.bitwiseOR(F.col(f"w{n}{a}").bitwiseXOR(F.col(f"w{n}{b}")))
+    return F.bit_count(unlike) <= F.when(F.col(f"level{a}") == 0, DRAWS - LEAST_EQUAL[0]).otherwise(DRAWS - LEAST_EQUAL[1])
+
+
+_SKETCH = ["w0", "w1", "w2", "w3"]
+
+
+def _side(columns: list[str], side: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}{side}") for c in columns]
+
+
+def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose sketches allow the similarity; no text is moved for the others."""
+    one = pairs.join(known.select(*_side(["id", "level", *_SKETCH], "_a")), F.col("a") == F.col("id_a"))
+    two = one.join(known.select(*_side(["id", "level", *_SKETCH], "_b")), (F.col("b") == F.col("id_b")) & (F.col("level_a") == F.col("level_b")) & _allowed("_a", "_b"))
+    return two.select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of the distinct pairs (a, b), those whose lines are near."""
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    two = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    # As generated rows, the sets are made once, though the similarity names them often.
+    sets = two.select("a", "b", F.explode(F.array(F.struct(shingles(F.col("x"), SHINGLE).alias("x"), shingles(F.col("y"), SHINGLE).alias("y")))).alias("s"))
+    sets = sets.select("a", "b", (F.size("s.x") + F.size("s.y")).alias("sum"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("both"))
+    return sets.filter(F.col("both") >= threshold * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and line of the wanted (id, h2, name): one document of each line is looked through."""
+    hit = _lined(keyed.join(wanted.select(F.col("name").alias("_name")).distinct(), "_name"), "_name").select(F.col("_name").alias("name"), "id", "h2", "line")
+    return hit.join(wanted, ["name", "id", "h2"]).select("id", "line").dropDuplicates(["id"])
+
+
+def _mained(rows: DataFrame, size: int, few: bool) -> DataFrame:
+    """rows (unit, level, id, part) of units with several parts: is_main of the largest part's, and the cuts into size members or, if few, members outside it."""
+    sizes = rows.groupBy("unit", "level", "part").agg(F.count("*").alias("m")).groupBy("unit", "level")
+    sizes = sizes.agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    many = F.col("all") - F.col("top.m") if few else F.col("all")
+    cuts = sizes.select("unit", "level", F.col("top.part").alias("main"), F.ceil(many / size).alias("cuts"))
+    return rows.join(cuts, ["unit", "level"]).withColumn("is_main", F.col("part") == F.col("main")).drop("main")
+
+
+def _facing(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """rows dealt into their unit's cuts, all rows in each cut, and the condition of a join of members of different parts that sketches allow."""
+    columns = ["unit", "level", "id", "part", "is_main", *columns]
+    one = rows.select(*_side(columns, "_a"), F.pmod(F.xxhash64("id", "unit"), F.col("cuts")).alias("cut_a"))
+    two = rows.select(*_side(columns, "_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut_b"))
+    on = F.lit(True)
+    for c in ("unit", "level", "cut"):
+        on = on & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    return one, two, on & (F.col("part_a") != F.col("part_b")) & _allowed("_a", "_b")
+
+
+def _rest(met: DataFrame, known: DataFrame, texts: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of different parts of each unit."""
+    spark = met.sparkSession
+    placed = near._placed(met, parts)
+    keys = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max(F.struct("meets", "id")).alias("best")).filter("p < q")
+    some = placed.join(keys.select("key", F.xxhash64("best.id").alias("unit")), "key").select("unit", "id", "part").distinct()
+    rows = written(_mained(some.join(known.select("id", "level", *_SKETCH), "id"), LIGHT, False), "apart")
+    one, two, on = _facing(rows, _SKETCH)
+    left = written(one.join(two, on, "left_semi").select("unit_a", "level_a", "id_a", "part_a", *[f"{c}_a" for c in _SKETCH]).toDF("unit", "level", "id", "part", *_SKETCH), "left")
+    free_shuffles(spark)
+    drop_written(rows)
+    sets = texts.join(left.select("id").distinct(), "id").select("id", F.transform(shingles(F.col("line"), SHINGLE), _int).alias("set"))
+    rows = _mained(left, HEAVY, True).join(sets, "id")
+    one, two, on = _facing(rows, [*_SKETCH, "set"])
+    # Hashes of 32 bits decide but for one element; what they let pass is verified.
+    total = F.size("set_a") + F.size("set_b")
+    near_ = F.size(F.array_intersect("set_a", "set_b")) + 1 >= threshold / (1 + threshold) * total - 1e-6
+    alike = F.least(F.size("set_a"), F.size("set_b")) + 1 >= threshold * F.greatest(F.size("set_a"), F.size("set_b"))
+    pairs = one.filter("not is_main_a").join(two, on & (F.col("is_main_b") | (F.col("id_a") < F.col("id_b"))) & alike & near_)
+    likely = written(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "likely")
+    free_shuffles(spark)
+    return _verified(likely, texts, threshold)
 
 
-def repeats(keyed: DataFrame, buckets: int, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SIGNED) -> DataFrame:
-    """Blobs of the places that go, in the buckets of the documents."""
+def repeats(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SIGNED) -> DataFrame:
+    """_name, gone array<int>: of each document that loses any, the places between line feeds that go."""
     spark = keyed.sparkSession
-    own = keyed.filter("_text is not null").select("_doc", "_name", "_text")
-    parsed = own.mapInArrow(_parse_task(buckets, bands, rows, k), _BLOBS)
-    found = written(parsed.groupBy("bucket").applyInArrow(_bucket_task(buckets), _BLOBS), "line-buckets")
+    lines = written(signatures(keyed, bands, rows, k), "signatures")
+    free_shuffles(spark)
+    members = lines.select("id", F.explode("keys").alias("key")).repartition("key")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = written(members.join(sizes, "key").distinct(), "members")
+    free_shuffles(spark)
+    met = written(met.join(met.groupBy("id").agg(F.sum("size").alias("meets")), "id"), "met")
+    known = written(lines.join(met.select("id").distinct(), "id", "left_semi").drop("keys", "n"), "known")
+    many = written(lines.filter("n > 1").select("id", "h2").distinct(), "many")
+    drop_written(lines)
     free_shuffles(spark)
-    met = written(_rows_of("met", found, "key long, id long").distinct(), "members")
-    first = _rows_of("line", found, "id long, h2 long, doc long, place int, name long").drop("h2")
-    known = written(first.join(met.select("id").distinct(), "id"), "firsts")
-    asked = known.select("id", "place", "name", F.pmod("name", F.lit(buckets)).alias("bucket")).groupBy("bucket")
-    by_doc = own.select("_name", "_text", F.pmod("_name", F.lit(buckets)).alias("bucket")).groupBy("bucket")
-    lines = written(by_doc.cogroup(asked).applyInArrow(_fetch, _KNOWN).dropDuplicates(["id"]), "lines")
+    texts = written(_texts(keyed, known.select("name", "id", "h2").distinct()), "texts")
     free_shuffles(spark)
-    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
-    members = written(met.join(sizes, "key"), "met")
-    parts = linked(members, lines.select("id", "n", "bag"), lines.select("id", "_text"), _verify_task(threshold), _elements(threshold), threshold, threshold)
-    # The first occurrence of each line of a component goes, but for the first of them.
-    at = F.struct("doc", "place", "name")
-    placed = known.join(parts.select(F.col("node").alias("id"), "component"), "id").select("component", at.alias("at"))
-    least = placed.groupBy("component").agg(F.min("at").alias("least"))
-    more = placed.join(least, "component").filter("at != least").select("at.name", "at.place")
-    return found.filter("kind = 'gone'").unionByName(more.mapInArrow(_pack_gone(buckets), _BLOBS))
-
-
-def _drop_task(names: list[str], at: int, n_lines: int, n_kept: int):
-    """Step 5: a bucket's documents without the places that go."""
-
-    def run(key, docs, blobs):
-        name, place = _unpack("gone", blobs.column("data").to_pylist())
-        order = np.lexsort((place, name))
-        name, place = name[order], place[order]
-        docs = docs.combine_chunks()
-        own = docs.column("_row").chunk(0).flatten() if docs.num_rows else []
-        texts, lines, kept = [], [], []
-        for doc, text in zip(docs.column("_name").to_pylist(), docs.column("_text").to_pylist(), strict=True):
-            a, b = np.searchsorted(name, doc), np.searchsorted(name, doc, side="right")
-            pieces = text.split("\n") if text is not None else []
-            solid = sum(1 for p in pieces if p.strip(" "))
-            gone = set(place[a:b].tolist())
-            texts.append("\n".join(p for i, p in enumerate(pieces) if i not in gone) if gone else text)
-            lines.append(solid)
-            kept.append(solid - len(gone))
-        own = list(own) + [None] * (len(names) - len(own))
-        own[at], own[n_lines], own[n_kept] = pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(kept, pa.int64())
-        return pa.table([pa.array([]) if c is None else c for c in own], names=names)
-
-    return run
+    parts = written(texts.select(F.col("id").alias("node"), F.col("id").alias("component")), "parts")
+    for turn in range(near.TURNS + 1):
+        some = met.filter(F.pmod("key", F.lit(near.FIRST)) == 0) if turn == 0 else met.filter("size > 2") if turn == near.TURNS else met
+        likely = written(_likely(near._led(some, parts, turn), known).hint("rebalance"), "likely")
+        free_shuffles(spark)
+        last, parts = parts, united(parts, _verified(likely, texts, threshold))
+        drop_written(likely)
+        drop_written(last)
+        free_shuffles(spark)
+    last, parts = parts, united(parts, _rest(met, known, texts, parts, threshold))
+    drop_written(last)
+    drop_written(met)
+    drop_written(texts)
+    free_shuffles(spark)
+    # Only lines that occur again, or that are linked, can go; the others aren't looked at any more.
+    linked = parts.join(parts.filter("node != component").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("id"), "component")
+    again = known.select("id", "h2").distinct().join(linked.select("id"), "id", "left_semi").unionByName(many).distinct()
+    again = written(again.join(linked, "id", "left").select("id", "h2", F.coalesce("component", "id").alias("part")), "again")
+    drop_written(parts)
+    at = F.struct("_doc", "place", "_name")
+    occurs = _lined(keyed, "_doc", "_name").select("_doc", "place", "_name", "id", "h2")
+    every = written(occurs.join(again, ["id", "h2"]).select("part", "_doc", "place", "_name"), "occurrences")
+    free_shuffles(spark)
+    stays = every.groupBy("part").agg(F.min(at).alias("at")).select("at._name", "at.place", F.lit(True).alias("stays"))
+    # By document, not by part: the occurrences of a common line never meet in one task.
+    places = every.select("_name", "place", F.lit(False).alias("stays")).unionByName(stays).groupBy("_name")
+    gone = places.agg(F.sort_array(F.array_except(F.collect_set("place"), F.collect_set(F.when(F.col("stays"), F.col("place"))))).alias("gone"))
+    out = written(gone.filter(F.size("gone") > 0), "gone")
+    drop_written(every)
+    free_shuffles(spark)
+    return out
 
 
 def dedup(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_kept"), **options: object) -> DataFrame:
     """docs with the numbers of its non-blank lines and of those kept, text without the others. Other columns stay."""
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop(*counts).withColumn("text", F.col("text").cast("string"))
-    keyed = _keyed(docs)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    buckets = max(1, -(-total // max(BUCKET, total // 50_000)))
-    gone = repeats(keyed, buckets, **options).withColumn("bucket", F.col("bucket") - 2 * buckets).groupBy("bucket")
-    by_doc = keyed.select("_row", "_name", "_text", F.pmod("_name", F.lit(buckets)).alias("bucket")).groupBy("bucket")
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
-    return by_doc.cogroup(gone).applyInArrow(_drop_task(schema.names, docs.columns.index("text"), len(docs.columns), len(docs.columns) + 1), schema)
+    gone = repeats(_keyed(docs), **options).withColumnRenamed("_name", "_of")
+    name = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), F.col("text"))
+    out = docs.select(F.struct(*docs.columns).alias("_row"), name.alias("_name")).join(gone, F.col("_name") == F.col("_of"), "left")
+    out = out.withColumn("_pieces", F.split("_row.text", "\n", -1))
+    # gone is sorted, so what stays between its places is sliced.
+    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("_pieces")))
+    spans = F.filter(F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct((a + 2).alias("s"), (b - a - 1).alias("n"))), lambda s: s["n"] > 0)
+    rest = F.array_join(F.transform(spans, lambda s: F.array_join(F.slice("_pieces", s["s"], s["n"]), "\n")), "\n")
+    n = F.coalesce(F.size(F.filter("_pieces", lambda x: F.trim(x) != "")), F.lit(0))
+    columns = [F.when(F.col("gone").isNotNull(), rest).otherwise(F.col("_row.text")).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
+    return out.select(*columns, n.cast("long").alias(counts[0]), (n - F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias(counts[1]))
 
 
 def report(docs: DataFrame) -> DataFrame:

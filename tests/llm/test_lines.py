@@ -155,3 +155,18 @@ def test_null_ids_and_a_hot_line(spark):
     assert got.columns == df.columns and got.count() == 300
     texts = [r.text for r in got.collect()]
     assert sum("same line" in t for t in texts) == 1 and all("own line" in t for t in texts)
+
+
+def test_no_python_on_the_executors(spark, monkeypatch):
+    """DataFrame operations only; a run of one character meets a longer one whose level of lengths is another."""
+    from pyspark.sql import DataFrame, GroupedData
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    def fail(*args, **kwargs):
+        raise AssertionError("Python on the executors")
+
+    for kind, names in ((DataFrame, ("mapInArrow", "mapInPandas")), (GroupedData, ("applyInArrow", "applyInPandas")), (PandasCogroupedOps, ("applyInArrow", "applyInPandas"))):
+        for name in names:
+            monkeypatch.setattr(kind, name, fail)
+    df = spark.createDataFrame([(1, "=" * 90), (2, "=" * 900), (3, "one line\nanother line")], "doc_id long, text string")
+    assert {r.doc_id: r.n_kept for r in L.dedup(df).collect()} == {1: 1, 2: 0, 3: 2}
